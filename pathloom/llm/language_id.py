@@ -92,3 +92,24 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
 
     out = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(common.map_slices(make, "text"), "id long, lang_pred string, score double")
     return out.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_margin)).withColumnRenamed("id", id_col)
+
+
+def known(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = 0.0) -> DataFrame:
+    """``docs`` without the rows that are rejected: no letter, or a margin under ``min_margin``."""
+    spark = docs.sparkSession
+    common.bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(dictionaries)
+    at = docs.columns.index(text_col)
+
+    def make():
+        made = compressors(shared.value)
+
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = common.as_text(batch.column(at))
+            letters = pc.match_substring_regex(texts, r"\p{L}").to_pylist()
+            keep = [bool(ok and made and predict(made, t)[1] >= min_margin) for t, ok in zip(texts.to_pylist(), letters, strict=True)]
+            return batch.filter(pa.array(keep, pa.bool_()))
+
+        return apply
+
+    return docs.mapInArrow(common.map_slices(make, text_col), docs.schema)

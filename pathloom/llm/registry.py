@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, html_extract, language_id, lm_score, token_counts
+from . import ann, byte_bpe, decontaminate, html_extract, language_id, line_dedup, lm_score, ngram_join, suffix_dedup, token_counts
 from .common import crc, table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -26,6 +26,16 @@ def op2_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_deleted", "emptied", "kept_text")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
@@ -43,13 +53,21 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc("doc_id") % 4 == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm_score.score(table(spark, sf_dir, "documents"), crc("doc_id") % 5 != 1)
     return found.select("doc_id", (crc("doc_id") % 5 == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_wrappers, op2_anisotropic_search, op5_byte_bpe, op6_token_counts, op7_language_id, op10_lm_score)}
+    return {f.__name__: f for f in (op1_html_wrappers, op2_anisotropic_search, op3_suffix_dedup, op4_line_dedup, op5_byte_bpe, op6_token_counts, op7_language_id, op8_ngram_join, op9_decontaminate, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
