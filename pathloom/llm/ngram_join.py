@@ -14,11 +14,15 @@ Documents with equal sets become one.  The short lists are merged by a shuffle
 on the shingle.
 
 A list may hold a third of all documents, so a list doesn't emit all its
-pairs.  In each round it names one document, and its members are verified
-against that one; what links is joined to components.  Lists whose members are
-all in one component are done.  After ``ROUNDS`` rounds the pairs of a list
-that are still in different components are verified one by one, filtered by
-size and position.  No pair is given up, so components are exact.
+pairs.  First it names one document, and its members are verified against that
+one; what links is joined to components.  Lists whose members are all in one
+component are done.  In further rounds each document that is in an unfinished
+list meets ``NAMED`` documents of its two longest unfinished lists.  After
+``ROUNDS`` rounds all pairs of a list that are still in different components
+are verified, but for those whose sizes, positions in the list or parity
+sketches rule a link out (each toggles a bit for every shingle, so that the
+bits in which two sketches differ are at most the shingles that only one set
+has).  No pair is given up, so components are exact.
 
 Null texts, empty texts and texts without words have no shingles and link with
 nothing.  Texts with fewer words than a shingle have one: all their words.
@@ -33,13 +37,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 from .components import components
 from .lm_score import bucket_of, trim, widen
 
 WORDS = 5
-ROUNDS = 3
+ROUNDS = 4
+#: Documents that a list names in a round but the first.
+NAMED = 6
 #: A link needs 100 I >= PERCENT U.
 PERCENT = 80
 
@@ -142,6 +149,22 @@ def short_lists(sets: DataFrame) -> DataFrame:
     return sets.select("doc_id", "n", "shared").mapInArrow(apply, "h long, doc long, n long, pos long")
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """(doc, s0, s1, alone): 128 bits of parity of the shared shingles, and how many are not shared."""
+
+    def apply(batches):
+        for batch in batches:
+            out = []
+            for n, shared in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                v = common.mix(widen(np.frombuffer(shared, np.uint8)))
+                bits = np.packbits(np.bincount((v & np.uint64(127)).astype(np.int64), minlength=128) & 1).view(np.int64)
+                out.append((bits[0], bits[1], n - len(v)))
+            s0, s1, alone = zip(*out, strict=True) if out else ([], [], [])
+            yield pa.record_batch([batch.column(0), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), pa.array(alone, pa.int64())], names=["doc", "s0", "s1", "alone"])
+
+    return sets.select("doc_id", "n", "shared").mapInArrow(apply, "doc long, s0 long, s1 long, alone long")
+
+
 def overlap(a: bytes, b: bytes) -> int:
     """Shingles of the shorter set found in the other by binary search."""
     x, y = (np.frombuffer(z, np.uint8) for z in ((a, b) if len(a) <= len(b) else (b, a)))
@@ -190,13 +213,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
                 break
         else:
             lists_now = lists.withColumn("comp", F.col("doc"))
-        if turn < rounds:  # one document of each list against the others
-            named = lists_now.groupBy("h").agg(F.min_by(F.struct("doc", "n", "comp"), F.struct(F.xxhash64("doc", F.lit(turn)), "doc")).alias("p"))
+        if turn == 0:  # one document of each list against the others
+            named = lists_now.groupBy("h").agg(F.min_by(F.struct("doc", "n", "comp"), F.struct(F.xxhash64("doc"), "doc")).alias("p"))
             named = named.select("h", F.col("p.doc").alias("other"), F.col("p.n").alias("m"), F.col("p.comp").alias("pcomp"))
             pairs = lists_now.join(named, "h").where("comp <> pcomp").where(FITS)
-        else:  # what is left, pair by pair; the overlap is at most what both have before and from the shared position
-            other = lists_now.select("h", F.col("doc").alias("other"), F.col("n").alias("m"), F.col("comp").alias("pcomp"), F.col("pos").alias("mpos"))
-            pairs = lists_now.join(other, "h").where("doc < other and comp <> pcomp").where(FITS).where("9 * (least(pos, mpos) + least(n - pos, m - mpos)) >= 4 * (n + m)")
+        elif turn < rounds:  # a few documents of each document's two longest lists
+            long = lists_now.join(lists_now.groupBy("h").agg(F.count("*").alias("c")), "h")
+            two = long.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("c"), "h"))).where("k <= 2")
+            drawn = two.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("doc", F.lit(turn)), "doc"))).where(F.col("k") <= NAMED)
+            pairs = two.join(drawn.select("h", F.col("doc").alias("other"), F.col("n").alias("m"), F.col("comp").alias("pcomp")), "h").where("comp <> pcomp").where(FITS)
+        else:  # what is left, pair by pair
+            drawn = lists_now.join(sketches(reps), "doc")
+            other = drawn.select("h", F.col("doc").alias("other"), F.col("n").alias("m"), F.col("comp").alias("pcomp"), F.col("pos").alias("mpos"), F.col("s0").alias("t0"), F.col("s1").alias("t1"), F.col("alone").alias("malone"))
+            # a link has 9 I >= 4 (n + m), and so at most (n + m) / 9 shingles on one side only
+            near = "9 * (bit_count(s0 ^ t0) + bit_count(s1 ^ t1) + alone + malone) <= n + m"
+            reach = "9 * (least(pos, mpos) + least(n - pos, m - mpos)) >= 4 * (n + m)"
+            pairs = drawn.join(other, "h").where("doc < other and comp <> pcomp").where(FITS).where(near).where(reach)
         pairs = pairs.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
         linked = common.materialise(verify(pairs, reps).select(F.col("a").alias("u"), F.col("b").alias("v")), "verified")
         found = found.union(linked)
