@@ -13,7 +13,8 @@ is as large as the vocabulary, and needs nothing else.
 Words are aggregated in each block before the shuffle, so a word that all
 texts share is one entry a block.  Null texts are empty; empty texts have no
 ids and decode to no bytes.  Rows with a null id are left out, since nothing
-could be joined to them.  Copies, ties and extra columns need no treatment.
+could be joined to them.  The input is read twice and must give its rows in the
+same order (files do); if it doesn't, the query fails and gives no wrong ids.  Copies, ties and extra columns need no treatment.
 """
 
 from __future__ import annotations
@@ -109,12 +110,29 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id is not null")
 
     def cut_blocks(batches):
+        """Blocks of the task's rows: (block, positions, words by bucket).  The id of a block is made
+        from its place and its rows, so that both readings below name it alike."""
+        import xxhash
+        from pyspark import TaskContext
+
+        place = 0
         for batch in batches:
             for part in common.slices(batch, "text", block_bytes):
-                block = common.new_block()
-                positions, out = scatter(part.column(0).to_numpy(zero_copy_only=False), common.as_text(part.column(1)), buckets)
-                n = len(out) + 1
-                yield pa.record_batch([pa.array([block] * n, pa.int64()), pa.array([-1] + [b for b, _ in out], pa.int32()), pa.array([positions] + [None] * (n - 1), pa.binary()), pa.array([None] + [w for _, w in out], pa.binary())], names=["block", "bucket", "positions", "words"])
+                ids, texts = part.column(0).to_numpy(zero_copy_only=False), common.as_text(part.column(1))
+                data, offsets = common.joined(texts)
+                seen = xxhash.xxh3_64(f"{TaskContext.get().partitionId()}/{place}")
+                for a in (ids, offsets, data):
+                    seen.update(np.ascontiguousarray(a).tobytes())
+                place += 1
+                yield seen.intdigest() >> 1, *scatter(ids, texts, buckets)
+
+    def cut_positions(batches):
+        for block, positions, _ in cut_blocks(batches):
+            yield pa.record_batch([pa.array([block], pa.int64()), pa.array([positions], pa.binary())], names=["block", "positions"])
+
+    def cut_words(batches):
+        for block, _, out in cut_blocks(batches):
+            yield pa.record_batch([pa.array([block] * len(out), pa.int64()), pa.array([b for b, _ in out], pa.int32()), pa.array([w for _, w in out], pa.binary())], names=["block", "bucket", "words"])
 
     def encode_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         model = encoder(shared.value, pattern)
@@ -128,6 +146,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "ids": out})
 
     def put_together(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if len(left) != 1 or right.empty:
+            raise ValueError("the rows came in another order when they were read again; write them as a table first")
         keys, sizes, numbers = common.unpack_arrays(left["positions"].iloc[0])
         parts = [common.unpack_arrays(b) for _, b in sorted(zip(right["bucket"], right["ids"], strict=True))]
         lengths = np.concatenate([p[0] for p in parts]).astype(np.int64)
@@ -137,9 +157,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         ends = np.concatenate([[0], np.cumsum(lengths[numbers])])[np.concatenate([[0], np.cumsum(sizes)])]
         return pd.DataFrame({"id": keys, "n_tokens": np.diff(ends), "ids": [tokens[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]})
 
-    cuts = common.materialise(rows.mapInArrow(cut_blocks, "block long, bucket int, positions binary, words binary"), "words")
-    replies = cuts.where("bucket >= 0").select("block", "bucket", "words").groupBy("bucket").applyInPandas(encode_bucket, "block long, bucket int, ids binary")
-    out = cuts.where("bucket < 0").select("block", "positions").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(put_together, "id long, n_tokens long, ids binary")
+    # the rows are read twice: what moves is the words and ids of the blocks, and once the positions
+    words = rows.mapInArrow(cut_words, "block long, bucket int, words binary")
+    replies = words.groupBy("bucket").applyInPandas(encode_bucket, "block long, bucket int, ids binary")
+    positions = rows.mapInArrow(cut_positions, "block long, positions binary")
+    out = positions.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(put_together, "id long, n_tokens long, ids binary")
     return out.withColumnRenamed("id", id_col)
 
 
