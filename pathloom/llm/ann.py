@@ -140,7 +140,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, packed: np.ndarray, qids: np.nd
                 if len(out) >= k and -negative < out[k - 1][0]:
                     break
                 g = lead[row]
-                own = ids[by_group[starts[g] : starts[g] + k + 1]]
+                own = ids[by_group[starts[g] : min(starts[g] + k + 1, starts[g + 1])]]
                 out += [(float(-negative), int(v)) for v in own if v != qids[at + i]][:k]
                 out.sort(key=lambda e: (-e[0], e[1]))
                 out = out[:k]
