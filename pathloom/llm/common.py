@@ -125,9 +125,9 @@ def words(column: pa.Array, lower: bool = True) -> tuple[pa.DictionaryArray, np.
         starts[offsets[:-1][offsets[:-1] < len(data)]] |= inside[offsets[:-1][offsets[:-1] < len(data)]]
     at = np.flatnonzero(starts)
     rows = np.searchsorted(at, offsets)
-    kept = np.cumsum(inside)
-    lengths = np.concatenate([[0], kept])
-    ends = np.append(lengths[at], kept[-1] if len(kept) else 0).astype(np.int32)
+    kept = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(inside, out=kept[1:])
+    ends = np.append(kept[at], kept[-1])
     flat = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[inside]))])
     return flat.dictionary_encode(), rows
 

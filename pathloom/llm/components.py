@@ -12,15 +12,12 @@ from pyspark.sql import functions as F
 from . import common
 
 
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node that a link (u, v) names; the component is its smallest node.
 
     Links may repeat and may join a node with itself; null ends are left out.
     """
     now = common.materialise(links.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = None
     while True:
         # large star: larger neighbours of u go to the smallest of u and its neighbours
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,9 +28,9 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(lowest, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = common.materialise(small, "links")
-        state = now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.count_distinct("u")).first()
-        if tuple(state) == before:
+        # done when every tree is a star: no node has two parents, or a parent and children
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty():
             break
-        before = tuple(state)
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -22,7 +22,9 @@ list meets ``NAMED`` documents of its two longest unfinished lists.  After
 are verified, but for those whose sizes, positions in the list or parity
 sketches rule a link out (each toggles a bit for every shingle, so that the
 bits in which two sketches differ are at most the shingles that only one set
-has).  No pair is given up, so components are exact.
+has).  A pair in many lists is made at the first, or after a list that only one
+of the two is in.  No pair is given up, so components are exact.  Each round
+joins the components of the round before, not all links found.
 
 Null texts, empty texts and texts without words have no shingles and link with
 nothing.  Texts with fewer words than a shingle have one: all their words.
@@ -173,18 +175,26 @@ def overlap(a: bytes, b: bytes) -> int:
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, with their overlap."""
+    """The pairs (a, b) that link, with their components (u, v) and overlap."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
 
     def apply(batches):
         for batch in batches:
-            a, b, na, nb, sa, sb = (batch.column(i).to_pylist() for i in range(6))
+            na, nb, sa, sb = (batch.column(i).to_pylist() for i in range(4, 8))
             common_ = [overlap(x, y) for x, y in zip(sa, sb, strict=True)]
             kept = [i for i, c in enumerate(common_) if 100 * c >= PERCENT * (na[i] + nb[i] - c)]
-            yield pa.record_batch([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64()), pa.array([common_[i] for i in kept], pa.int64())], names=["a", "b", "overlap"])
+            ends = batch.select(["a", "b", "u", "v"]).take(pa.array(kept, pa.int64()))
+            yield ends.append_column("overlap", pa.array([common_[i] for i in kept], pa.int64()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(apply, "a long, b long, overlap long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "u", "v", "na", "nb", "sa", "sb").mapInArrow(apply, "a long, b long, u long, v long, overlap long")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (node, component) after ``links`` between components (a node without a label is its own)."""
+    above = common.materialise(components(links), "joined")
+    moved = labels.join(above.select(F.col("node").alias("component"), F.col("component").alias("above")), "component", "left").select("node", F.coalesce("above", "component").alias("component"))
+    return common.materialise(moved.union(above.join(labels, "node", "left_anti").select("node", "component")), "labels")
 
 
 FITS = "5 * least(n, m) >= 4 * greatest(n, m)"
@@ -202,8 +212,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     reps = common.materialise(may.join(members.where("doc_id = rep").select("doc_id"), "doc_id"), "reps")
     entries = short_lists(reps)
     lists = common.materialise(entries.join(entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "h"), "lists")
-    found = spark.createDataFrame([], "u long, v long")
     labels = None
+    rounds = max(1, rounds)  # the last is pair by pair
     for turn in range(rounds + 1):
         if labels is not None:
             labelled = lists.join(labels, lists["doc"] == labels["node"], "left").select("h", "doc", "n", "pos", F.coalesce("component", "doc").alias("comp"))
@@ -222,17 +232,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
             two = long.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("c"), "h"))).where("k <= 2")
             drawn = two.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("doc", F.lit(turn)), "doc"))).where(F.col("k") <= NAMED)
             pairs = two.join(drawn.select("h", F.col("doc").alias("other"), F.col("n").alias("m"), F.col("comp").alias("pcomp")), "h").where("comp <> pcomp").where(FITS)
-        else:  # what is left, pair by pair
-            drawn = lists_now.join(sketches(reps), "doc")
-            other = drawn.select("h", F.col("doc").alias("other"), F.col("n").alias("m"), F.col("comp").alias("pcomp"), F.col("pos").alias("mpos"), F.col("s0").alias("t0"), F.col("s1").alias("t1"), F.col("alone").alias("malone"))
+        else:  # what is left, pair by pair, at the first list that both are in: later ones follow a list that both are in
+            before = F.lag("h").over(Window.partitionBy("doc").orderBy("pos"))
+            drawn = lists_now.withColumn("before", before).join(sketches(reps), "doc")
+            other = drawn.select("h", F.col("before").alias("mbefore"), F.col("doc").alias("other"), F.col("n").alias("m"), F.col("comp").alias("pcomp"), F.col("pos").alias("mpos"), F.col("s0").alias("t0"), F.col("s1").alias("t1"), F.col("alone").alias("malone"))
             # a link has 9 I >= 4 (n + m), and so at most (n + m) / 9 shingles on one side only
             near = "9 * (bit_count(s0 ^ t0) + bit_count(s1 ^ t1) + alone + malone) <= n + m"
             reach = "9 * (least(pos, mpos) + least(n - pos, m - mpos)) >= 4 * (n + m)"
-            pairs = drawn.join(other, "h").where("doc < other and comp <> pcomp").where(FITS).where(near).where(reach)
-        pairs = pairs.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
-        linked = common.materialise(verify(pairs, reps).select(F.col("a").alias("u"), F.col("b").alias("v")), "verified")
-        found = found.union(linked)
-        labels = common.materialise(components(found), "labels")
+            fresh = "before is null or mbefore is null or before <> mbefore"
+            pairs = drawn.join(other, "h").where("doc < other and comp <> pcomp").where(fresh).where(FITS).where(near).where(reach)
+        pairs = pairs.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b"), F.least("comp", "pcomp").alias("u"), F.greatest("comp", "pcomp").alias("v")).distinct()
+        linked = common.materialise(verify(pairs, reps).select("u", "v"), "verified")
+        labels = common.materialise(components(linked), "labels") if labels is None else merged(labels, linked)
     ids = members.join(labels, members["rep"] == labels["node"], "left").select(F.col("doc_id"), F.coalesce("component", "rep").alias("c"))
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(ids, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
     return out.withColumnRenamed("doc_id", id_col)

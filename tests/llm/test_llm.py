@@ -1,5 +1,6 @@
 """The operators against brute force on a small fixture with odd rows."""
 
+import random
 import re
 import struct
 import zlib
@@ -75,7 +76,8 @@ def test_lm_score(docs, rows, empty):
     assert lm_score.score(empty, common.crc("doc_id") % 5 != 1).count() == 0
 
 
-def test_ngram_join(docs, rows, empty):
+def jaccard_components(rows):
+    """(n_shingles, component_id) of each id, from all pairs."""
     sets = {}
     for i, t in rows:
         w = words(t)
@@ -93,11 +95,36 @@ def test_ngram_join(docs, rows, empty):
             if a < b and (c := len(sets[a] & sets[b])) and 100 * c >= 80 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_ngram_join(docs, rows, empty):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs, block_bytes=100_000).collect()}
-    assert got == {i: (len(sets[i]), find(i)) for i in ids}
+    assert got == jaccard_components(rows)
     assert ngram_join.join(empty).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [1, 2, ngram_join.ROUNDS])
+def test_ngram_join_pair_by_pair(spark, rounds):
+    """Near copies just above and below the threshold that share most lists, and a passage that many documents hold."""
+    rng = random.Random(5)
+    base, passage = [f"w{i}" for i in range(80)], [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(120):
+        text = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            text[rng.randrange(80)] = f"x{rng.randrange(8)}"
+        rows.append((i, " ".join(text)))
+    for i in range(120, 180):
+        tail = [f"t{rng.randrange(6)}" for _ in range(rng.randrange(1, 9))]
+        rows.append((i, " ".join(passage + tail)))
+    rng.shuffle(rows)
+    want = jaccard_components(rows)
+    assert 4 < len({c for _, c in want.values()}) < 170
+    found = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), rounds=rounds, block_bytes=10_000)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == want
+
+
 def test_suffix_dedup(docs, rows, empty):
     got = {r.doc_id: r for r in suffix_dedup.dedup_spans(docs, block_bytes=100_000).collect()}
     seen = {}
