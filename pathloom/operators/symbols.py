@@ -2,12 +2,14 @@
 
 from ..plans.core import plan
 
+# Files are cut into bins of 64 lines; an ordinal names one definition, so the first one is found by partial minima.
 plan("enclosing_function", """
-select site, line, name, qname, start_line, end_line from (
-  select u.site, u.line, f.name, f.qname, f.start_line, f.end_line,
-         row_number() over (partition by u.site order by case when f.file_path = u.file_path then 0 else 1 end, f.ordinal) as k
-  from use_site u join function_def f on f.base = u.base and u.line between f.start_line and f.end_line) x
-where k = 1""")
+select b.site, b.line, f.name, f.qname, f.start_line, f.end_line
+from (select u.site, u.line, coalesce(min(case when f.file_path = u.file_path then f.ordinal end), min(f.ordinal)) as ordinal
+      from use_site u join (select d.ordinal, d.file_path, d.base, d.start_line, d.end_line, @series(floor(d.start_line / 64)¦floor(d.end_line / 64))@ as bin from function_def d) f
+        on f.base = u.base and f.bin = cast(floor(u.line / 64) as bigint) and u.line between f.start_line and f.end_line
+      group by u.site, u.line) b
+join function_def f on f.ordinal = b.ordinal""")
 plan("function_by_name", """
 select site, ordinal, qname, start_line from (
   select u.site, f.ordinal, f.qname, f.start_line, row_number() over (partition by u.site order by f.ordinal) as k

@@ -17,7 +17,7 @@ def plain(rows):
     return sorted((tuple(None if v is None else float(v) if isinstance(v, (int, float)) or type(v).__name__ == "Decimal" else v for v in r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", ["top_units", "depth", "full_segment", "coverage", "merged_constraint", "symbol_fallback", "nearest_label", "validation_category", "cfg_closure", "cfg_components"])
+@pytest.mark.parametrize("name", ["top_units", "depth", "full_segment", "coverage", "merged_constraint", "enclosing_function", "symbol_fallback", "nearest_label", "validation_category", "cfg_closure", "cfg_components"])
 def test_oracle(spark, name):
     got = catalog.queries()[name](spark, SF)
     con = duckdb.connect()
