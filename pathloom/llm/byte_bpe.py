@@ -125,6 +125,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     seen.update(np.ascontiguousarray(a).tobytes())
                 place += 1
                 yield seen.intdigest() >> 1, *scatter(ids, texts, buckets)
+                del ids, texts, data, offsets
+                common.release()
 
     def cut_positions(batches):
         for block, positions, _ in cut_blocks(batches):
@@ -159,9 +161,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     # the rows are read twice: what moves is the words and ids of the blocks, and once the positions
     words = rows.mapInArrow(cut_words, "block long, bucket int, words binary")
-    replies = words.groupBy("bucket").applyInPandas(encode_bucket, "block long, bucket int, ids binary")
+    replies = words.groupBy("bucket").applyInPandas(common.of_group(encode_bucket), "block long, bucket int, ids binary")
     positions = rows.mapInArrow(cut_positions, "block long, positions binary")
-    out = positions.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(put_together, "id long, n_tokens long, ids binary")
+    out = positions.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(common.of_cogroup(put_together), "id long, n_tokens long, ids binary")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -187,5 +189,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
                 cuts = ends[offsets // 4]
                 whole = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(cuts)), pa.py_buffer(joined)])
                 yield pa.record_batch([*part.columns, whole.cast(pa.binary())], names=[*part.schema.names, "decoded"])
+                del ids, data, offsets, pieces, joined, ends, cuts, whole
+                common.release()
 
     return encoded.mapInArrow(apply, f"{schema}, decoded binary")

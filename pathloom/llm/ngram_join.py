@@ -97,6 +97,8 @@ def shared_sets(docs: DataFrame, id_col: str, text_col: str, k: int, block_bytes
                 ends = np.searchsorted(b[order], np.arange(buckets + 1))
                 out = [(int(i), common.pack_arrays(trim(keys[p]).ravel(), np.minimum(counts[p], 255).astype(np.uint8))) for i in np.flatnonzero(np.diff(ends)) for p in [order[ends[i] : ends[i + 1]]]]
                 yield pd.DataFrame({"block": pd.Series([block] * len(out), dtype="int64"), "bucket": pd.Series([i for i, _ in out], dtype="int32"), "keys": [g for _, g in out]})
+                del value, keys, counts, b, order, ends, out
+                common.release()
 
     def lengths(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts = zip(*(common.unpack_arrays(g) for g in pdf["keys"]), strict=True)
@@ -128,8 +130,8 @@ def shared_sets(docs: DataFrame, id_col: str, text_col: str, k: int, block_bytes
         return pd.DataFrame({"doc_id": ids, "n": n.astype(np.int64), "shared": out})
 
     sent = blocks.mapInPandas(scatter, "block long, bucket int, keys binary")
-    replies = sent.groupBy("bucket").applyInPandas(lengths, "block long, bucket int, grades binary")
-    return common.materialise(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(gather, "doc_id long, n long, shared binary"), "sets")
+    replies = sent.groupBy("bucket").applyInPandas(common.of_group(lengths), "block long, bucket int, grades binary")
+    return common.materialise(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(common.of_cogroup(gather), "doc_id long, n long, shared binary"), "sets")
 
 
 def short_lists(sets: DataFrame) -> DataFrame:
