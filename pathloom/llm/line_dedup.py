@@ -1,10 +1,14 @@
 """Line deduplication by pairwise alignment.
 
-Documents that overlap are found through the hashes of their lines: a rare
-line (in at most ``RARE`` documents) pairs all documents that hold it, and any
-more frequent line pairs each of them with the first one (the smallest id), so
-that no list of a frequent line is expanded into all its pairs and no line is
-given up.  Both documents of a pair are aligned with patience diff: lines that
+A block can go from a document only if an earlier one holds the same lines next
+to each other, so documents are paired by their windows: runs of lines of at
+least ``BLOCK_WORDS`` words that are least around some line (``windows``).  A
+window of at most ``RARE`` documents pairs all of them; any other first pairs
+each with the smallest id that holds it.  Where a line of such a window is kept
+after that, further earlier holders follow in rounds of growing size, until the
+line is deleted or no earlier holder is left: the result is that of all pairs.
+Documents with the same lines stand for each other, so only the first of them
+is aligned.  Both documents of a pair are aligned with patience diff: lines that
 are unique on both sides and stand in the same order (the longest increasing
 run) are anchors, what lies between anchors is aligned in the same way, and
 equal lines next to an anchor join it.  An aligned common block of at least
@@ -24,13 +28,15 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 RARE = 4
 BLOCK_WORDS = 8
+#: Further holders of the first round after the smallest id; each round has ``GROWTH`` times as many.
+FURTHER, GROWTH = 4, 4
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -105,6 +111,21 @@ def deleted(a: list[tuple[int, int, int]], b: list[tuple[int, int, int]], words:
     return out
 
 
+def windows(no: list[int], h: list[int], size: list[int], words: int) -> list[tuple[int, int, int]]:
+    """(value, first, last line number) of runs of at least so many words: from each line the shortest, and the
+    longer ones that are below it without that line.  A common block with a line has one of them around it."""
+    out = []
+    for i in range(len(no)):
+        total, j, short = 0, i, True
+        while j < len(no) and no[j] - no[i] == j - i and (short or total - size[i] < words):
+            total += size[j]
+            if total >= words and (short or total - size[i] < words):
+                out.append((hash(tuple(h[i : j + 1])), no[i], no[j]))
+                short = False
+            j += 1
+    return out
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with its columns and, added, ``kept_text``, ``n_lines``, ``n_deleted`` and ``emptied``."""
     common.bounded_batches(docs.sparkSession)
@@ -112,22 +133,70 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     trimmed = F.regexp_replace("line", r"^\s+|\s+$", "")
     lines = texts.where("doc is not null and text is not null").select("doc", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).select("doc", "no", trimmed.alias("line"))
     lines = lines.where("line <> ''").select("doc", "no", F.xxhash64("line").alias("h"), (F.size(F.split("line", r"\s+"))).alias("words"))
-    several = lines.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("c")).where("first < last")
-    met = common.materialise(lines.join(several.select("h", "first", "c"), "h"), "lines")
-    by_doc = met.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("no", "h", "words"))).alias("lines"))
-    often = met.where("first < doc").select(F.col("first").alias("a"), F.col("doc").alias("b"))
-    few = met.where(F.col("c") <= rare).select("h", "doc").distinct()
-    pairs = few.select("h", F.col("doc").alias("a")).join(few.select("h", F.col("doc").alias("b")), "h").where("a < b").select("a", "b")
-    pairs = often.union(pairs).distinct()
+    several = lines.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    met = lines.join(several.select("h"), "h").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("no", "h", "words"))).alias("lines"))
+    by_doc = common.materialise(met.withColumn("key", F.xxhash64("lines")), "lines")
+    unlike = common.materialise(by_doc.groupBy("key").agg(F.min("doc").alias("doc")).select("doc"), "unlike")
+
+    def cut(batches):
+        for pdf in batches:
+            rows = []
+            for doc, *of in zip(pdf["doc"], pdf["no"], pdf["h"], pdf["words"], strict=True):
+                seen = set()
+                for w, lo, hi in windows(*(x.tolist() for x in of), block_words):
+                    rows.append((doc, w, lo, hi, w not in seen))
+                    seen.add(w)
+            yield pd.DataFrame(rows, columns=["doc", "w", "lo", "hi", "once"])
+            del pdf, rows
+            common.release()
 
     def align(batches):
         for pdf in batches:
-            found = [deleted([tuple(x.values()) for x in a], [tuple(x.values()) for x in b], block_words) for a, b in zip(pdf["la"], pdf["lb"], strict=True)]
+            found = [deleted(list(zip(*(x.tolist() for x in p[:3]), strict=True)), list(zip(*(x.tolist() for x in p[3:]), strict=True)), block_words) for p in zip(*(pdf[c] for c in sides_of), strict=True)]
             yield pd.DataFrame({"b": pdf["b"], "gone": found})[[bool(x) for x in found]]
-
-    sides = pairs.join(by_doc.select(F.col("doc").alias("a"), F.col("lines").alias("la")), "a").join(by_doc.select(F.col("doc").alias("b"), F.col("lines").alias("lb")), "b")
-    gone = sides.select("b", "la", "lb").mapInPandas(align, "b long, gone array<int>").select("b", F.explode("gone").alias("no")).distinct().groupBy("b").agg(F.collect_set("no").alias("__gone"))
-    out = docs.join(gone.withColumnRenamed("b", "__b"), docs[id_col] == F.col("__b"), "left")
+            del pdf, found
+            common.release()
+
+    parts = ("no", "h", "words")
+    sides_of = [s + c for s in ("la", "lb") for c in parts]
+
+    def aligned(sides: DataFrame) -> DataFrame:
+        return sides.select("b", *[F.col(f"{s}.{c}").alias(s + c) for s in ("la", "lb") for c in parts]).mapInPandas(align, "b long, gone array<int>")
+
+    def of_pairs(pairs: DataFrame) -> DataFrame:
+        return aligned(pairs.distinct().join(by_doc.select(F.col("doc").alias("a"), F.col("lines").alias("la")), "a").join(by_doc.select(F.col("doc").alias("b"), F.col("lines").alias("lb")), "b"))
+
+    def together(found: DataFrame) -> DataFrame:
+        return found.select("b", F.explode("gone").alias("no")).groupBy("b").agg(F.collect_set("no").alias("__gone"))
+
+    def left(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """The windows that have a line which is not deleted yet."""
+        rows = rows.join(together(found).withColumnRenamed("b", "doc"), "doc", "left")
+        return rows.where(F.col("__gone").isNull() | (F.size(F.array_except(F.sequence("lo", "hi"), "__gone")) > 0)).drop("__gone")
+
+    cuts = by_doc.join(unlike, "doc", "left_semi").select("doc", *[F.col(f"lines.{c}").alias(c) for c in parts]).mapInPandas(cut, "doc long, w long, lo int, hi int, once boolean")
+    cuts = common.materialise(cuts, "windows")
+    held = cuts.where("once").select("w", "doc")
+    lists = common.materialise(held.groupBy("w").agg(F.min("doc").alias("first"), F.count("*").alias("c")).where("c > 1"), "lists")
+    often = held.join(lists, "w").where("first < doc").select(F.col("first").alias("a"), F.col("doc").alias("b"))
+    few = held.join(lists.where(F.col("c") <= rare), "w").select("w", "doc")
+    pairs = few.select("w", F.col("doc").alias("a")).join(few.select("w", F.col("doc").alias("b")), "w").where("a < b").select("a", "b")
+    copies = by_doc.join(unlike, "doc", "left_anti").select(F.col("doc").alias("b"), F.col("lines").alias("la"), F.col("lines").alias("lb"))
+    found = common.materialise(of_pairs(often.union(pairs)).union(aligned(copies)), "deleted")
+    kept = common.materialise(left(cuts.join(lists.where(F.col("c") > rare), "w").where("first < doc").select("doc", "w", "lo", "hi"), found), "kept")
+    if not kept.isEmpty():
+        ranks = held.join(kept.select("w").distinct(), "w", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("w").orderBy("doc")))
+        ranks = common.materialise(ranks, "ranks")
+        done, more = 1, FURTHER
+        kept = kept.join(ranks, ["w", "doc"]).where(F.col("rank") > done + 1)
+        while not kept.isEmpty():
+            next_ones = ranks.where((F.col("rank") > done) & (F.col("rank") <= done + more)).select("w", F.col("doc").alias("a"))
+            new = common.materialise(of_pairs(kept.select("w", F.col("doc").alias("b")).join(next_ones, "w").where("a < b").select("a", "b")), "deleted")
+            found = found.union(new)
+            done, more = done + more, more * GROWTH
+            kept = common.materialise(left(kept.where(F.col("rank") > done + 1), found), "kept")
+    gone = together(found)
+    out = docs.join(gone.withColumnRenamed("b", "__b").hint("merge"), docs[id_col] == F.col("__b"), "left")
     split = F.split(docs[text_col], "\n", -1)
     kept = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(F.array_join(F.filter(split, lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
     n = F.when(docs[text_col].isNull(), 0).otherwise(F.size(split)).cast("long")

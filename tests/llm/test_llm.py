@@ -157,6 +157,19 @@ def test_line_dedup(spark):
     assert got[3] == (None, 0, False) and got[4] == ("", 0, False) and got[5] == ("", 3, True)
 
 
+def test_line_dedup_is_that_of_all_pairs(spark):
+    """Lines of many documents in crossed orders, some twice in a document, some short: every earlier holder counts."""
+    rng = random.Random(7)
+    pool = [" ".join([f"line{i}"] * n) for i, n in enumerate([8, 9, 10, 12, 3, 4, 5, 7, 1])]
+    rows = [(i, "\n".join(rng.choice([*pool, f"own {i} {k}", ""]) for k in range(rng.randrange(1, 9)))) for i in range(150)]
+    cut = {i: [(n, x, len(x.split())) for n, x in enumerate(t.split("\n")) if x and "own" not in x] for i, t in rows}
+    gone = {b: {n for a in range(b) for n in line_dedup.deleted(cut[a], cut[b], 8)} for b in cut}
+    first_only = {b: {n for a in {min(i for i in cut if any(y[1] == x[1] for y in cut[i])) for x in cut[b]} - {b} for n in line_dedup.deleted(cut[a], cut[b], 8)} for b in cut}
+    assert gone != first_only
+    got = {r.doc_id: (r.kept_text, r.n_deleted) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: ("\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]), len(gone[i])) for i, t in rows}
+
+
 def test_patience():
     assert line_dedup.patience(list("abcxde"), list("abcde")) == [(0, 0), (1, 1), (2, 2), (4, 3), (5, 4)]
 
