@@ -6,8 +6,9 @@ with the largest impact of each.  Every training document is read as passages
 of ``PASSAGE`` words, half overlapping, and each passage is a query.  A passage
 whose terms cannot reach the lowest threshold of any item, by the largest
 impact of each term, is passed over; the others run block-max WAND and give
-every item whose score is at least ``SHARE`` of what the item scores against
-itself.  A found item is verified on the words around the passage: the share of
+every item whose score is at least ``SHARE`` of the most that a passage can score
+on it: the item's best run of the terms of ``PASSAGE`` words, or all of a shorter
+item.  A found item is verified on the words around the passage: the share of
 its question's trigrams, and of its answer's, that occur there.  The question
 is the item up to its last line or sentence and the answer the rest; an item of
 one sentence is all question.
@@ -78,32 +79,49 @@ def item_terms(text: str) -> list[int]:
     return grams(values, min(GRAM, len(values))).tolist() if len(values) else []
 
 
+def best_window(terms: list[int], impacts: dict[int, float], width: int) -> float:
+    """The largest sum of impacts, each once, of so many terms in a row."""
+    held: Counter = Counter()
+    total = best = 0.0
+    for i, t in enumerate(terms):
+        held[t] += 1
+        total += impacts[t] if held[t] == 1 else 0.0
+        if i >= width:
+            held[terms[i - width]] -= 1
+            total -= impacts[terms[i - width]] if not held[terms[i - width]] else 0.0
+        best = max(best, total)
+    return best
+
+
 class Index:
     """Postings of a shard of items: term -> items and impacts, in blocks with their largest impact."""
 
     def __init__(self, items: list[tuple[int, str]], frequency: dict[int, int], n: int, mean: float) -> None:
-        self.ids, self.questions, self.answers, self.own = [], [], [], []
+        self.ids, self.questions, self.answers, self.own, self.most = [], [], [], [], []
         postings: dict[int, list[tuple[int, float]]] = {}
         for item_id, text in sorted(items):
-            terms = Counter(item_terms(text))
+            in_order = item_terms(text)
+            terms = Counter(in_order)
             if not terms:
                 continue
-            length, own = sum(terms.values()), 0.0
+            length, own, impacts = len(in_order), 0.0, {}
             for t, tf in terms.items():
                 idf = math.log(1 + (n - frequency[t] + 0.5) / (frequency[t] + 0.5))
                 impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
                 postings.setdefault(t, []).append((len(self.ids), impact))
+                impacts[t] = impact
                 own += impact
             question, answer = parts(text)
             self.ids.append(item_id)
             self.own.append(own)
+            self.most.append(own if length <= PASSAGE - GRAM + 1 else best_window(in_order, impacts, PASSAGE - GRAM + 1))
             self.questions.append(set(item_terms(question)))
             self.answers.append(set(item_terms(answer)))
         self.postings = postings
         self.blocks = {t: [(p[i : i + POSTINGS_BLOCK][-1][0], max(w for _, w in p[i : i + POSTINGS_BLOCK])) for i in range(0, len(p), POSTINGS_BLOCK)] for t, p in postings.items()}
         self.terms = np.array(sorted(postings), dtype=np.uint64)
         self.largest = np.array([max(w for _, w in postings[int(t)]) for t in self.terms])
-        self.least = SHARE * min(self.own, default=math.inf)
+        self.least = SHARE * min(self.most, default=math.inf)
         self.longest = max((len(q) + len(a) for q, a in zip(self.questions, self.answers, strict=True)), default=0) + 2 * GRAM
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
@@ -147,12 +165,12 @@ class Index:
                     b += 1
                 tight += blocks[b][1] if b < len(blocks) else 0.0
             after = pivot + 1
-            if tight >= SHARE * self.own[pivot]:
+            if tight >= SHARE * self.most[pivot]:
                 score = 0.0
                 for _, i in order:
                     if seek(i, pivot) == pivot:
                         score += lists[i][0][at[i]][1]
-                if score >= SHARE * self.own[pivot]:
+                if score >= SHARE * self.most[pivot]:
                     found.append((pivot, score))
             for _, i in order:
                 if (item := seek(i, after)) is not None:
