@@ -84,11 +84,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("fn").applyInPandas(one, "fn long, block long, component long")
 
 
-def dominators(edges: DataFrame, entry: int = 0) -> DataFrame:
-    """(fn, block, dominator, immediate): a block's dominators by the fixpoint over predecessors, from ``entry``."""
+def dominators(edges: DataFrame) -> DataFrame:
+    """(fn, block, dominator, immediate): a block's dominators by the fixpoint over predecessors, from the
+    entry, which is the function's smallest block."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, after, before = adjacency(pdf)
+        every, after, before = adjacency(pdf)
+        entry = every[0]
         nodes = reachable(entry, after)
         doms = {n: set(nodes) for n in nodes} | {entry: {entry}}
         changed = True

@@ -12,8 +12,10 @@ select l_orderkey as path_id,
 from lineitem""")
 
 plan("call_edge", """
-select distinct t_fn as caller, t_file as caller_file, t_line as line, f_fn as callee, f_file as callee_file
-from step where t_line % 2 = 0""")
+select distinct case when t_line % 2 = 0 then t_fn else f_fn end as caller, case when t_line % 2 = 0 then t_file else f_file end as caller_file,
+       case when t_line % 2 = 0 then t_line else f_line end as line,
+       case when t_line % 2 = 0 then f_fn else t_fn end as callee, case when t_line % 2 = 0 then f_file else t_file end as callee_file
+from step""")
 
 plan("function_def", """
 select p_partkey as ordinal, 'g' || cast(p_partkey % 40 as string) as name, 'ns::g' || cast(p_partkey % 40 as string) as qname,
@@ -32,11 +34,11 @@ plan("class_def", "select n_nationkey as ordinal, 'g' || cast(n_nationkey + 40 a
 
 plan("bb_edge", """
 select fn, src, dst, max_by(etype, ordinal) as etype
-from (select l_suppkey % 10 as fn, l_partkey % 12 as src, l_orderkey % 12 as dst,
+from (select l_orderkey - l_orderkey % 4 as fn, l_partkey % 12 as src, l_suppkey % 12 as dst,
              case l_returnflag when 'A' then 'TRUE' when 'R' then 'FALSE' else 'UNCONDITIONAL' end as etype,
              struct_key as ordinal
       from (select *, cast(l_orderkey as string) || '/' || cast(l_linenumber as string) || '/' || cast(l_partkey as string) || '/' || cast(l_suppkey as string) || '/' || l_returnflag as struct_key from lineitem) x
-      where l_linenumber <= 1 and l_partkey % 12 <> l_orderkey % 12 and (l_partkey + l_orderkey) % 5 = 0) y
+      where l_partkey % 12 <> l_suppkey % 12) y
 group by fn, src, dst""")
 
 plan("labelled_function", """

@@ -69,3 +69,18 @@ def test_sarif(spark, tmp_path):
 def test_latest(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, o int, v string")
     assert {(r.k, r.v) for r in readers.latest(rows, ["k"], "o").collect()} == {("a", "y"), ("b", "z")}
+
+
+def test_edges_of_all_rows(spark):
+    """Every row of lineitem that is no self-loop has its edge, and the last one names the kind; every step has its call."""
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").collect()
+    want = {}
+    for r in rows:
+        key = (r.l_orderkey - r.l_orderkey % 4, r.l_partkey % 12, r.l_suppkey % 12)
+        kind = {"A": "TRUE", "R": "FALSE"}.get(r.l_returnflag, "UNCONDITIONAL")
+        if key[1] != key[2]:
+            want[key] = max(want.get(key, ("", "")), (f"{r.l_orderkey}/{r.l_linenumber}/{r.l_partkey}/{r.l_suppkey}/{r.l_returnflag}", kind))
+    assert {(r.fn, r.src, r.dst): r.etype for r in graphs.bb_edges(spark, SF).collect()} == {k: v[1] for k, v in want.items()}
+    steps, calls = (catalog.queries()[q](spark, SF).collect() for q in ("step", "call_edge"))
+    pairs = {(c.caller, c.callee) for c in calls} | {(c.callee, c.caller) for c in calls}
+    assert all((s.t_fn, s.f_fn) in pairs for s in steps) and {c.line % 2 for c in calls} == {0, 1}
