@@ -29,6 +29,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -63,11 +64,14 @@ def mark(tag: str, attributes: str) -> str:
 
 
 def parse(page: str | None) -> list[tuple[str, str]]:
-    """(path, text) of the blocks of a page, in order; a path is the open block tags, outermost first."""
+    """(path, text) of the blocks of a page, in order; a path is the open block tags, outermost first.  Below
+    ``MAX_DEPTH`` it goes on with the tags alone that say what to keep (furniture, header, article, main)."""
     if not page:
         return []
     blocks: list[tuple[str, str]] = []
     stack: list[str] = []
+    paths: list[str] = [""]
+    opened: Counter = Counter()
     pieces: list[str] = []
     path = ""
 
@@ -78,6 +82,10 @@ def parse(page: str | None) -> list[tuple[str, str]]:
             if text:
                 blocks.append((path, text))
 
+    def cut(n: int) -> None:
+        opened.subtract(s.rstrip("!^") for s in stack[n:])
+        del stack[n:], paths[n + 1 :]
+
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() < at:
@@ -103,17 +111,23 @@ def parse(page: str | None) -> list[tuple[str, str]]:
             continue
         close()
         if m[1]:
-            named = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].rstrip("!^") == tag), None)
-            if named is not None and (tag in SECTIONS or not any(s.rstrip("!^") in SECTIONS for s in stack[named + 1 :])):
-                del stack[named:]
+            for i in range(len(stack) - 1 if opened[tag] else -1, -1, -1):
+                name = stack[i].rstrip("!^")
+                if name == tag:
+                    cut(i)
+                if name == tag or tag not in SECTIONS and name in SECTIONS:
+                    break
         elif tag not in VOID and not m[3].endswith("/"):
             while stack and stack[-1].rstrip("!^") not in SECTIONS:  # p, li, h1 ... end where a block begins
                 if tag in ("ul", "ol", "table", "p", "div") and stack[-1].rstrip("!^") in ("li", "td", "th", "dd", "tr", "tbody", "blockquote"):
                     break
-                stack.pop()
-            if len(stack) < MAX_DEPTH:
-                stack.append(mark(tag, m[3]))
-        path = ">".join(stack)
+                cut(len(stack) - 1)
+            one, above = mark(tag, m[3]), paths[-1]
+            told = len(stack) < MAX_DEPTH or (one[-1] in "!^" or one in MAIN) and one not in above.split(">")
+            stack.append(one)
+            paths.append((f"{above}>{one}" if above else one) if told else above)
+            opened[tag] += 1
+        path = paths[-1]
     if at < len(page):
         pieces.append(page[at:])
     close()
