@@ -14,7 +14,7 @@ steps after that: all pages count, and no task gets the pages of one host.
 A wrapper says for each slot how often it was met, how much text it held and
 under which elements it stands.  The main region of a host is its article or
 main element, if most of its pages have one, and else the group of slots with
-most text.  A slot is left out if it stands in navigation, header, footer,
+most text; pages without such an element have a wrapper and a group of their own.  A slot is left out if it stands in navigation, header, footer,
 aside, form or the like, or under a class, id or role that says advert,
 notice, sidebar, menu, comment and so on.
 
@@ -51,6 +51,7 @@ SECTIONS = frozenset("article aside body div dl fieldset figure footer form head
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+REGION = re.compile(r"<(?:article|main)(?![\w:-])", re.I)
 SPACE = re.compile(r"\s+")
 MAX_DEPTH = 64
 
@@ -211,14 +212,8 @@ def region(path: str) -> str | None:
     return None
 
 
-def roles(wrapper: list[list], pages: int) -> dict:
-    """What to keep on a host: its main regions, or else the paths with most text."""
-    held: dict[str, int] = {}
-    for path, _, _, _, met, _, _ in wrapper:
-        if (r := region(path)) and "!" not in path:
-            held[r] = max(held.get(r, 0), met)
-    if held and max(held.values()) * 2 >= pages:
-        return {"regions": sorted(held)}
+def main_under(wrapper: list[list]) -> dict:
+    """The parent of the paths with most text."""
     weight: dict[str, int] = {}
     for path, _, _, _, _, size, _ in wrapper:
         if not furniture(path, False):
@@ -227,14 +222,24 @@ def roles(wrapper: list[list], pages: int) -> dict:
     return {"under": max(sorted(weight), key=lambda p: weight[p])} if weight else {}
 
 
-def extract(blocks: list[tuple[str, str]], role: dict) -> str:
-    """The main text of a page by the roles of its host; by its own if it has no match."""
+def roles(with_region: list, without: list) -> dict:
+    """What to keep on a host, by the wrappers, numbers and regions of its pages with and without an article or
+    main element: its main regions, if most pages have one, and for the others the paths with most text."""
+    held = with_region[2]
+    if held and max(held.values()) * 2 >= with_region[1] + without[1]:
+        return {"regions": sorted(held)} | main_under(without[0])
+    return main_under(with_region[0] + without[0])
+
+
+def extract(blocks: list[tuple[str, str]], role: dict, bare: bool = True) -> str:
+    """The main text of a page by the roles of its host; by its own if it has no match.  ``bare``: the page has
+    neither article nor main, and so may be of another template than most pages of its host."""
     kept = [t for p, t in blocks if "!" not in p and any(p == r or p.startswith(r + ">") for r in role.get("regions", ()))]
-    if not kept and "under" in role:
+    if not kept and "under" in role and (bare or "regions" not in role):
         kept = [t for p, t in blocks if not furniture(p, False) and (p.rpartition(">")[0] == role["under"] or p.startswith(role["under"] + ">") or not role["under"])]
     if not kept:
         own = [t for p, t in blocks if "!" not in p and region(p)]
-        kept = own or ([t for p, t in blocks if not furniture(p, False)] if "regions" not in role else [])
+        kept = own or ([t for p, t in blocks if not furniture(p, False)] if bare or "regions" not in role else [])
     return "\n".join(kept)
 
 
@@ -243,28 +248,34 @@ def host_of(url: str) -> F.Column:
 
 
 def wrappers(pages: DataFrame, salts: int = 16, flush: int = 2000) -> DataFrame:
-    """(host, wrapper) of ``pages`` (host, html): folded in every task, merged by salt, then by host."""
+    """(host, wrapper) of ``pages`` (host, html): folded in every task, merged by salt, then by host.  A host has two,
+    one of its pages with an article or main element and one of the others, each with its number of pages and the
+    pages of each region."""
 
     def folded(batches):
         found: dict[str, list] = {}
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                one = expression(parse(page))
-                seen = found.get(host)
-                found[host] = [align(seen[0], one), seen[1] + 1] if seen else [one, 1]
+                blocks = parse(page)
+                one = [expression(blocks), 1, dict.fromkeys((r for p, _ in blocks if "!" not in p and (r := region(p))), 1)]
+                both = found.setdefault(host, [[[], 0, {}], [[], 0, {}]])
+                k = not (page and REGION.search(page))
+                both[k] = joined(both[k], one)
                 if len(found) > flush:
                     yield packed(found)
                     found = {}
         yield packed(found)
 
+    def joined(a: list, b: list) -> list:
+        return [align(a[0], b[0]), a[1] + b[1], {r: a[2].get(r, 0) + b[2].get(r, 0) for r in a[2] | b[2]}] if a[1] and b[1] else a if a[1] else b
+
     def packed(found: dict[str, list]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(list(found), pa.string()), pa.array([json.dumps(v) for v in found.values()], pa.string())], names=["host", "wrapper"])
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        total: list = [[], 0]
+        total: list = [[[], 0, {}], [[], 0, {}]]
         for text in sorted(pdf["wrapper"]):
-            nodes, n = json.loads(text)
-            total = [align(total[0], nodes) if total[1] else nodes, total[1] + n]
+            total = [joined(a, b) for a, b in zip(total, json.loads(text), strict=True)]
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(total)]})
 
     shape = "host string, wrapper string"
@@ -288,7 +299,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     shape = "id long, url string, text string, n_chars long"
 
     def texts(batch: pa.RecordBatch, role_of) -> pa.RecordBatch:
-        out = [extract(parse(p), role_of(i)) for i, p in enumerate(common.as_text(batch.column(2)).to_pylist())]
+        out = [extract(parse(p), role_of(i), not REGION.search(p)) for i, p in enumerate(common.as_text(batch.column(2)).to_pylist())]
         return pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     if size <= broadcast_bytes:

@@ -16,3 +16,12 @@ def test_page_200_deep(spark):
     plain = "<article><p>plain</p></article>"
     pages = [(1, "http://h/1", deep), (2, "http://h/2", inside), (3, "http://h/3", advert), (4, "http://h/4", unclosed), (5, "http://h/5", plain)]
     assert texts(spark, pages) == {1: "below", 2: "one\ntwo\nthree", 3: "text", 4: "\n".join(["x"] * 100 + ["end"]), 5: "plain"}
+
+
+def test_host_with_two_templates(spark):
+    """Most pages have an article, the others hold their prose in divs; a page whose article is empty has no text."""
+    pages = [(i, f"http://h/{i}", f"<div class=x><div>side</div></div><article><p>text {i}</p></article>") for i in range(6)]
+    pages += [(i, f"http://h/{i}", f"<nav>menu</nav><div>top {i}</div><section><div><p>long prose of page {i}</p><p>more of it</p></div></section>") for i in range(6, 9)]
+    pages += [(9, "http://h/9", "<div>side</div><article></article>"), (10, "http://h/10", "<div>unlike any other</div>")]
+    want = {i: f"text {i}" for i in range(6)} | {i: f"long prose of page {i}\nmore of it" for i in range(6, 9)} | {9: "", 10: "unlike any other"}
+    assert texts(spark, pages) == want
