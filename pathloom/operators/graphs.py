@@ -105,37 +105,48 @@ def dominators(edges: DataFrame) -> DataFrame:
     return edges.groupBy("fn").applyInPandas(one, "fn long, block long, dominator long, immediate boolean")
 
 
-def enumerate_paths(edges: DataFrame, target: int, max_depth: int = 20) -> DataFrame:
-    """(fn, path, constraints): paths backward from ``target`` to blocks without predecessors, in the order of
-    block ids, up to the caps; constraints are the TRUE and FALSE edges taken, as ``block:branch``."""
+def base(block) -> str:
+    return str(block).split("_L")[0]
+
+
+def enumerate_paths(edges: DataFrame, target: int | None = None, max_depth: int = 20) -> DataFrame:
+    """(fn, target, path, constraints): paths backward from ``target``, or from every block that is no clone, in the
+    order of block ids, up to the caps.  A path ends at the entry (the smallest block) and at a block without
+    predecessors, holds a block once and a base block twice at most; constraints are the TRUE and FALSE edges
+    taken, as ``base block:branch``."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, _, before = adjacency(pdf)
-        rows, calls = [], 0
-        todo = [(target, (target,), ())] if target in nodes else []
-        while todo and len(rows) < MAX_PATHS and calls < MAX_CALLS:
-            block, path, taken = todo.pop()
-            calls += 1
-            if not before[block] and len(path) > 1:
-                rows.append((">".join(map(str, path[::-1])), ",".join(taken[::-1])))
-            if len(path) <= 2 * max_depth:
-                for p, t in reversed(before[block]):
-                    if p not in path:
-                        todo.append((p, (*path, p), (*taken, f"{p}:{t}") if t != "UNCONDITIONAL" else taken))
-        return pd.DataFrame({"fn": pd.Series([int(pdf["fn"].iloc[0])] * len(rows), dtype="int64"), "path": pd.Series([r[0] for r in rows], dtype=object), "constraints": pd.Series([r[1] for r in rows], dtype=object)})
-
-    return edges.groupBy("fn").applyInPandas(one, "fn long, path string, constraints string")
+        own = sorted((n for n in nodes if str(n) == base(n)), key=lambda n: int(base(n)))
+        rows = []
+        for goal in own if target is None else [n for n in own if int(n) == target]:
+            found, calls = 0, 0
+            todo = [(goal, (goal,), ())]
+            while todo and found < MAX_PATHS and calls < MAX_CALLS:
+                block, path, taken = todo.pop()
+                calls += 1
+                if block == own[0] or not before[block] and len(path) > 1:
+                    rows.append((int(goal), ">".join(map(str, path[::-1])), ",".join(taken[::-1])))
+                    found += 1
+                if block != own[0] and len(path) <= 2 * max_depth:
+                    for p, t in reversed(before[block]):
+                        if p not in path and sum(base(x) == base(p) for x in path) < 2:
+                            todo.append((p, (*path, p), (*taken, f"{base(p)}:{t}") if t in ("TRUE", "FALSE") else taken))
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        return pd.DataFrame({"fn": pd.Series([int(pdf["fn"].iloc[0])] * len(rows), dtype="int64"), "target": pd.Series(columns[0], dtype="int64"), "path": pd.Series(columns[1], dtype=object), "constraints": pd.Series(columns[2], dtype=object)})
+
+    return edges.groupBy("fn").applyInPandas(one, "fn long, target long, path string, constraints string")
 
 
 def classify_constraints(paths: DataFrame) -> DataFrame:
-    """(fn, block, branch, count, total, kind): dominator if on all paths, must_take if the only branch of its block, else optional."""
+    """(fn, target, block, branch, count, total, kind): dominator if on all paths, must_take if the only branch of its block, else optional."""
     paths.createOrReplaceTempView("__paths")
     return paths.sparkSession.sql("""
-        with c as (select fn, path, explode(array_distinct(split(constraints, ','))) as c from __paths where constraints <> ''),
-             t as (select fn, count(*) as total from __paths group by fn),
-             g as (select c.fn, cast(split(c, ':')[0] as bigint) as block, split(c, ':')[1] as branch, count(*) as n from c group by 1, 2, 3)
-        select g.fn, g.block, g.branch, g.n, t.total, case when g.n = t.total then 'dominator' when count(*) over (partition by g.fn, g.block) = 1 then 'must_take' else 'optional' end as kind
-        from g join t on t.fn = g.fn""")
+        with c as (select fn, target, path, explode(array_distinct(split(constraints, ','))) as c from __paths where constraints <> ''),
+             t as (select fn, target, count(*) as total from __paths group by fn, target),
+             g as (select c.fn, c.target, cast(split(c, ':')[0] as bigint) as block, split(c, ':')[1] as branch, count(*) as n from c group by 1, 2, 3, 4)
+        select g.fn, g.target, g.block, g.branch, g.n, t.total, case when g.n = t.total then 'dominator' when count(*) over (partition by g.fn, g.target, g.block) = 1 then 'must_take' else 'optional' end as kind
+        from g join t on t.fn = g.fn and t.target = g.target""")
 
 
 def unroll(edges: DataFrame) -> DataFrame:
@@ -191,8 +202,7 @@ def cfg_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cfg_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forward = bb_edges(spark, sf_dir).where("src < dst")
-    return enumerate_paths(forward, 11)
+    return enumerate_paths(unroll(bb_edges(spark, sf_dir)))
 
 
 def cfg_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,3 +84,11 @@ def test_edges_of_all_rows(spark):
     steps, calls = (catalog.queries()[q](spark, SF).collect() for q in ("step", "call_edge"))
     pairs = {(c.caller, c.callee) for c in calls} | {(c.callee, c.caller) for c in calls}
     assert all((s.t_fn, s.f_fn) in pairs for s in steps) and {c.line % 2 for c in calls} == {0, 1}
+
+
+def test_paths_through_a_loop(spark):
+    """0 -> 1 -> 2 -> 1 (back), 1 -> 3: a path through the loop's second run, and paths to every block."""
+    edges = spark.createDataFrame([(1, 0, 1, "UNCONDITIONAL"), (1, 1, 2, "TRUE"), (1, 2, 1, "UNCONDITIONAL"), (1, 1, 3, "FALSE")], "fn long, src long, dst long, etype string")
+    paths = graphs.enumerate_paths(graphs.unroll(edges))
+    assert {(r.target, r.path, r.constraints) for r in paths.collect()} == {(0, "0", ""), (1, "0>1", ""), (2, "0>1>2", "1:TRUE"), (3, "0>1>3", "1:FALSE"), (3, "0>1>2>1_L1i2>3", "1:TRUE")}
+    assert {(r.target, r.block, r.branch, r.kind) for r in graphs.classify_constraints(paths).collect()} == {(2, 1, "TRUE", "dominator"), (3, 1, "FALSE", "optional"), (3, 1, "TRUE", "optional")}
