@@ -1,7 +1,7 @@
 """Benchmark decontamination with a BM25 inverted index and block-max WAND.
 
 The test items are indexed by their word trigrams (shorter items by what they
-have): every term has a postings list of items with BM25 impacts, in blocks
+have, and documents are searched by such grams too): every term has a postings list of items with BM25 impacts, in blocks
 with the largest impact of each.  Every training document is read as passages
 of ``PASSAGE`` words, half overlapping, and each passage is a query.  A passage
 whose terms cannot reach the lowest threshold of any item, by the largest
@@ -98,6 +98,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], frequency: dict[int, int], n: int, mean: float) -> None:
         self.ids, self.questions, self.answers, self.own, self.most = [], [], [], [], []
+        self.sizes: set[int] = set()  # of the grams by which the items are indexed
         postings: dict[int, list[tuple[int, float]]] = {}
         for item_id, text in sorted(items):
             in_order = item_terms(text)
@@ -113,6 +114,7 @@ class Index:
                 own += impact
             question, answer = parts(text)
             self.ids.append(item_id)
+            self.sizes.add(min(GRAM, len(word_values(pa.array([text]))[0])))
             self.own.append(own)
             self.most.append(own if length <= PASSAGE - GRAM + 1 else best_window(in_order, impacts, PASSAGE - GRAM + 1))
             self.questions.append(set(item_terms(question)))
@@ -180,14 +182,18 @@ class Index:
     def match(self, values: np.ndarray) -> dict[int, tuple[int, float, float, float]]:
         """Of one document (the values of its words): item -> (word it begins near, score, question, answer), verified, the best of each."""
         found: dict[int, tuple[int, float, float, float]] = {}
-        terms = grams(values, min(GRAM, len(values))) if len(values) else np.zeros(0, np.uint64)
-        if not len(terms) or not len(self.terms):
-            return found
+        for k in self.sizes if len(self.terms) else ():
+            self.match_grams(grams(values, k), PASSAGE - k + 1, found)
+        return found
+
+    def match_grams(self, terms: np.ndarray, width: int, found: dict) -> None:
+        """Adds what the grams of one length find; ``width`` of them are a passage."""
+        if not len(terms):
+            return
         where = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         known = self.terms[where] == terms
         weight = np.concatenate([[0], np.cumsum(np.where(known, self.largest[where], 0.0))])
-        width = PASSAGE - GRAM + 1
-        starts = np.arange(0, max(1, len(terms) - width // 2), PASSAGE // 2)
+        starts = np.arange(0, max(1, len(terms) - width + PASSAGE // 2), PASSAGE // 2)  # the last reaches the end
         ends = np.minimum(starts + width, len(terms))
         for s, e in zip(*(x[weight[ends] - weight[starts] >= self.least - 1e-9] for x in (starts, ends)), strict=True):
             for item, score in self.search([int(t) for t in terms[s:e][known[s:e]]]):
@@ -196,7 +202,6 @@ class Index:
                 a = len(self.answers[item] & around) / len(self.answers[item]) if self.answers[item] else 1.0
                 if q >= QUESTION and a >= ANSWER and (item not in found or score > found[item][1]):
                     found[item] = (int(s), score, q, a)
-        return found
 
 
 def shards(items: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> list[DataFrame]:

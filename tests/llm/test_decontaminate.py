@@ -13,3 +13,9 @@ def test_item_of_500_words(spark):
     item = " ".join(f"w{i}" for i in range(500))
     docs = [(1, "other words " * 70 + item + " more of it" * 30), (2, item), (3, " ".join(item.split()[:100])), (4, "other words " * 300)]
     assert found(spark, [(1, item), (2, "a short item of some words")], docs) == {(1, 1), (2, 1)}
+
+
+def test_short_items_and_the_last_trigram(spark):
+    ends = " ".join(f"x{i}" for i in range(62)) + " the last three"  # 63 trigrams
+    docs = [(1, "a text that names zanzibar and more"), (2, "one that has grey tower in it"), (3, "zanzibar"), (4, "grey tower"), (5, ends), (6, "grey and tower")]
+    assert found(spark, [(1, "Zanzibar"), (2, "grey tower"), (3, "the last three")], docs) == {(1, 1), (3, 1), (2, 2), (4, 2), (5, 3)}
