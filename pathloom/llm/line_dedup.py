@@ -14,18 +14,23 @@ run) are anchors, what lies between anchors is aligned in the same way, and
 equal lines next to an anchor join it.  An aligned common block of at least
 ``BLOCK_WORDS`` words is deleted from the later document (the larger id).
 
-Lines are compared without the white space at their ends; lines without words
-match nothing and end a block.  Decisions are made on
-the input, not on what other deletions leave.  Null texts are kept as null,
+Lines are compared without the white space at their ends, by 64-bit hashes;
+lines without words, and lines that only one document has, match nothing, are
+left out of the alignment and end a block.  Decisions are made on the input, not on what other deletions leave.  Null texts are kept as null,
 empty texts as empty.  A document keeps its row when all its lines are
-deleted; ``emptied`` says so.  Rows with a null id or, in copies, the same id
-are one document each by their id; texts of equal ids should be equal.  Extra
-columns of the input stay as they are.
+deleted; ``emptied`` says so.  Rows with a null id are kept as they are and
+match nothing.  Rows with one id are one document: none of them is earlier than
+another, equal ones fare alike, and each unequal text is aligned alone (a line's
+number carries 32 bits of the hash of its text).  Extra columns of the
+input stay as they are; one with the name of an added column gives way to it.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -35,6 +40,11 @@ from . import common
 
 RARE = 4
 BLOCK_WORDS = 8
+#: Bits of a line's place in its text; the bits above are of the text's hash.
+PLACE_BITS = 31
+#: Bytes of pairs that a Python worker holds at once, in MB.
+BATCH_MB = 4
+ADDED = ("kept_text", "n_lines", "n_deleted", "emptied")
 #: Further holders of the first round after the smallest id; each round has ``GROWTH`` times as many.
 FURTHER, GROWTH = 4, 4
 
@@ -126,15 +136,22 @@ def windows(no: list[int], h: list[int], size: list[int], words: int) -> list[tu
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with its columns and, added, ``kept_text``, ``n_lines``, ``n_deleted`` and ``emptied``."""
-    common.bounded_batches(docs.sparkSession)
+def text_number(text: F.Column) -> F.Column:
+    """What the numbers of the lines of a text have above their places."""
+    return F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit((1 << 32) - 1)), PLACE_BITS)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, block_words: int = BLOCK_WORDS, added: tuple[str, str, str, str] = ADDED) -> DataFrame:
+    """``docs`` with its columns and the ``added`` ones: kept text, numbers of lines and of deleted lines, emptied."""
+    common.bounded_batches(docs.sparkSession, BATCH_MB)
     texts = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
     trimmed = F.regexp_replace("line", r"^\s+|\s+$", "")
-    lines = texts.where("doc is not null and text is not null").select("doc", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).select("doc", "no", trimmed.alias("line"))
+    lines = texts.where("doc is not null and text is not null").select("doc", text_number(F.col("text")).alias("of"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).select("doc", (F.col("of") + F.col("place")).alias("no"), trimmed.alias("line"))
     lines = lines.where("line <> ''").select("doc", "no", F.xxhash64("line").alias("h"), (F.size(F.split("line", r"\s+"))).alias("words"))
-    several = lines.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    met = lines.join(several.select("h"), "h").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("no", "h", "words"))).alias("lines"))
+    # a table of its own, so that both sides of the join are dealt out for it and a frequent line can be split
+    several = common.materialise(lines.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h"), "several")
+    met = lines.join(several.hint("merge"), "h").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("no", "h", "words"))).alias("lines"))
+    met = met.withColumn("lines", F.filter("lines", lambda x, i: (i == 0) | (x["no"] != F.get(F.col("lines"), i - 1)["no"])))  # equal rows
     by_doc = common.materialise(met.withColumn("key", F.xxhash64("lines")), "lines")
     unlike = common.materialise(by_doc.groupBy("key").agg(F.min("doc").alias("doc")).select("doc"), "unlike")
 
@@ -150,9 +167,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             del pdf, rows
             common.release()
 
+    def of_texts(a: list, b: list) -> list[int]:
+        """The lines that go from any text of the later id, each aligned with each text of the earlier one."""
+        left, right = ([list(g) for _, g in groupby(x, lambda line: line[0] >> PLACE_BITS)] for x in (a, b))
+        return sorted({no for y in right for x in left for no in deleted(x, y, block_words)})
+
     def align(batches):
         for pdf in batches:
-            found = [deleted(list(zip(*(x.tolist() for x in p[:3]), strict=True)), list(zip(*(x.tolist() for x in p[3:]), strict=True)), block_words) for p in zip(*(pdf[c] for c in sides_of), strict=True)]
+            found = [of_texts(list(zip(*(x.tolist() for x in p[:3]), strict=True)), list(zip(*(x.tolist() for x in p[3:]), strict=True))) for p in zip(*(pdf[c] for c in sides_of), strict=True)]
             yield pd.DataFrame({"b": pdf["b"], "gone": found})[[bool(x) for x in found]]
             del pdf, found
             common.release()
@@ -161,7 +183,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sides_of = [s + c for s in ("la", "lb") for c in parts]
 
     def aligned(sides: DataFrame) -> DataFrame:
-        return sides.select("b", *[F.col(f"{s}.{c}").alias(s + c) for s in ("la", "lb") for c in parts]).mapInPandas(align, "b long, gone array<int>")
+        return sides.select("b", *[F.col(f"{s}.{c}").alias(s + c) for s in ("la", "lb") for c in parts]).mapInPandas(align, "b long, gone array<long>")
 
     def of_pairs(pairs: DataFrame) -> DataFrame:
         return aligned(pairs.distinct().join(by_doc.select(F.col("doc").alias("a"), F.col("lines").alias("la")), "a").join(by_doc.select(F.col("doc").alias("b"), F.col("lines").alias("lb")), "b"))
@@ -174,7 +196,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = rows.join(together(found).withColumnRenamed("b", "doc"), "doc", "left")
         return rows.where(F.col("__gone").isNull() | (F.size(F.array_except(F.sequence("lo", "hi"), "__gone")) > 0)).drop("__gone")
 
-    cuts = by_doc.join(unlike, "doc", "left_semi").select("doc", *[F.col(f"lines.{c}").alias(c) for c in parts]).mapInPandas(cut, "doc long, w long, lo int, hi int, once boolean")
+    cuts = by_doc.join(unlike, "doc", "left_semi").select("doc", *[F.col(f"lines.{c}").alias(c) for c in parts]).mapInPandas(cut, "doc long, w long, lo long, hi long, once boolean")
     cuts = common.materialise(cuts, "windows")
     held = cuts.where("once").select("w", "doc")
     lists = common.materialise(held.groupBy("w").agg(F.min("doc").alias("first"), F.count("*").alias("c")).where("c > 1"), "lists")
@@ -195,11 +217,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = found.union(new)
             done, more = done + more, more * GROWTH
             kept = common.materialise(left(kept.where(F.col("rank") > done + 1), found), "kept")
-    gone = together(found)
-    out = docs.join(gone.withColumnRenamed("b", "__b").hint("merge"), docs[id_col] == F.col("__b"), "left")
-    split = F.split(docs[text_col], "\n", -1)
-    kept = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(F.array_join(F.filter(split, lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
-    n = F.when(docs[text_col].isNull(), 0).otherwise(F.size(split)).cast("long")
-    n_gone = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
-    words_left = F.regexp_replace(kept, r"\s", "") != ""
-    return out.select(*[docs[c] for c in docs.columns], kept.alias("kept_text"), n.alias("n_lines"), n_gone.alias("n_deleted"), F.coalesce(F.col("__gone").isNotNull() & ~words_left, F.lit(False)).alias("emptied"))
+    b, all_gone = (f"__{uuid.uuid4().hex}" for _ in range(2))
+    out = docs.join(together(found).withColumnsRenamed({"b": b, "__gone": all_gone}).hint("merge"), docs[id_col] == F.col(b), "left")
+    split, text = F.split(docs[text_col], "\n", -1), docs[text_col]
+    own = F.transform(F.filter(all_gone, lambda g: F.shiftright(g, PLACE_BITS) == F.shiftright(text_number(text), PLACE_BITS)), lambda g: g.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"))
+    n_gone = F.when(F.col(all_gone).isNull() | text.isNull(), 0).otherwise(F.size(own))
+    kept = F.when(n_gone == 0, text).otherwise(F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), own), lambda i: F.get(split, i)), "\n"))
+    n = F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long")
+    emptied = (n_gone > 0) & (F.regexp_replace(kept, r"\s", "") == "")
+    made = [x.alias(name) for x, name in zip((kept, n, n_gone.cast("long"), emptied), added, strict=True)]
+    return out.select(*[docs[c] for c in docs.columns if c not in added], *made)
