@@ -26,8 +26,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(docs).where("not emptied")
-    return found.withColumns({"text": F.col("kept_text"), "n_chars": F.when(F.col("n_deleted") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    kept, _, deleted, emptied = names = tuple(f"__pipeline_{x}" for x in line_dedup.ADDED)
+    found = line_dedup.dedup_lines(docs, added=names).where(~F.col(emptied))
+    return found.withColumns({"text": F.col(kept), "n_chars": F.when(F.col(deleted) > 0, F.length(kept).cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
