@@ -227,9 +227,10 @@ def new_block() -> int:
     return uuid.uuid4().int & ((1 << 62) - 1)
 
 
-def text_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, level: int = 3) -> DataFrame:
+def text_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, level: int = 3, flag: F.Column | None = None) -> DataFrame:
     """A written table (block, ids, texts): documents in groups of bounded bytes,
-    compressed.  Reading it gives the same blocks each time."""
+    compressed.  Reading it gives the same blocks each time.  ``flag`` is a boolean
+    of each row, kept with the ids (null: false)."""
     bounded_batches(docs.sparkSession)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,21 +238,26 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int =
             for part in slices(batch, "text", block_bytes):
                 data, offsets = joined(part.column(1))
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.record_batch([pa.array([new_block()], pa.int64()), pa.array([pack_arrays(ids, np.diff(offsets).astype(np.int64))], pa.binary()), pa.array([deflate(data.tobytes(), level)], pa.binary())], names=["block", "ids", "texts"])
+                flags = pc.fill_null(part.column(2), False).to_numpy(zero_copy_only=False).astype(np.uint8)
+                yield pa.record_batch([pa.array([new_block()], pa.int64()), pa.array([pack_arrays(ids, np.diff(offsets).astype(np.int64), flags)], pa.binary()), pa.array([deflate(data.tobytes(), level)], pa.binary())], names=["block", "ids", "texts"])
                 del data, offsets
                 release()
 
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id is not null")
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), (F.lit(False) if flag is None else flag).alias("flag")).where("id is not null")
     return materialise(rows.mapInArrow(apply, "block long, ids binary, texts binary"), "blocks")
 
 
 def block_texts(ids: bytes, texts: bytes) -> tuple[np.ndarray, pa.Array]:
     """The ids and texts of one block."""
-    keys, lengths = unpack_arrays(ids)
+    keys, lengths, _ = unpack_arrays(ids)
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
     return keys, pa.Array.from_buffers(pa.large_string(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(inflate(texts))])
 
 
+def block_flags(ids: bytes) -> np.ndarray:
+    return unpack_arrays(ids)[2].astype(bool)
+
+
 def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices starts[i] .. starts[i] + lengths[i] - 1 of all i, end to end."""
     lengths = lengths.astype(np.int64)

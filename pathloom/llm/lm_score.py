@@ -3,22 +3,30 @@
 The model interpolates n-gram orders (Jelinek-Mercer): with c(h) > 0,
 P(w | h) = L c(hw) / c(h) + (1 - L) P(w | h'), else P(w | h'), where h' is h
 without its first word; the lowest order is (c(w) + 0.5) / (N + 0.5 (V + 1)).
-As an automaton, every history is a state; a state has an arc for each n-gram
-seen after it, with the interpolated probability, and a failure arc of weight
-1 - L to the shorter history.  A text is read once from left to right; the
-state carries over, arcs and failure arcs add up their logarithms.
+As an automaton, every history of at most ``ORDER`` - 1 tokens seen in training
+is a state, and so are the empty history and the start of a text.  A state has
+an arc for each n-gram seen after it, whose weight is the logarithm of the
+smoothed probability and which leads to the longest state that ends the n-gram.
+What has no arc takes the state's failure arc, of weight log10(1 - L), to h'.
+A text is read from left to right; the state carries over and the weights of
+the arcs taken add up.
 
 Counts come from all training rows.  A task turns a block of texts into its
 distinct n-grams with their counts in training rows, dealt into buckets by
 hash; a bucket adds them up, counts the distinct training words, and sends each
 block the totals of its own n-grams.  From these a block builds the part of
-the automaton that its texts can reach and traverses it.  N-grams are counted
-in each block first, so a frequent one is one entry a block; no task and no
-broadcast holds the whole model.
+the automaton that its texts can reach: nothing else could be read in it.  All
+texts of a block are read side by side.  A text longer than ``LANE`` tokens is
+read in lanes, each of which first reads the ``ORDER`` - 1 tokens before it,
+on which alone its state depends, so the result is that of one reading.
+N-grams are counted in each block first, so a frequent one is one entry a block;
+no task and no broadcast holds the whole model.  An n-gram is known by the
+bucket and 40 more bits of its hash.
 
 Null texts are empty: one end token.  Without training rows N = V = 0 and all
-orders give 0.5 / 0.5.  Rows with a null id are left out.  Copies, ties and
-extra columns need no treatment; an empty table gives an empty result.
+orders give 0.5 / 0.5.  Rows with a null id are left out; rows that share an id
+are scored each by itself.  Ids are any 64-bit numbers.  Copies, ties and extra
+columns need no treatment; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,11 +38,17 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ORDER = 2
+ORDER = 3
 LAMBDA = 0.7
+#: Tokens of a text that are read in one lane.
+LANE = 512
+BLOCK_BYTES = 4 << 20
 #: Values of the two tokens that are no words.
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
-HASH_BYTES = 6
+#: Bytes of a key beside its bucket: of shingles and of n-grams.
+HASH_BYTES, GRAM_BYTES = 6, 5
+#: The states that every automaton has; those of n-grams follow.
+ROOT, BEGIN = 0, 1
 
 
 def token_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -51,11 +65,15 @@ def token_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], ends]).astype(np.int64)
 
 
-def ngrams(tokens: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarray]:
+def places(offsets: np.ndarray) -> np.ndarray:
+    """The place of each token in its text."""
+    return np.arange(offsets[-1]) - np.repeat(offsets[:-1], np.diff(offsets))
+
+
+def ngrams(tokens: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
     """For each order the value of the n-gram that ends at each position; 0 where the text is too short for it.
     A history may begin with the start of the text."""
-    place = np.arange(len(tokens)) - np.repeat(offsets[:-1], np.diff(offsets))
-    out = [common.mix(tokens)]
+    out = [common.mix(tokens) | np.uint64(1)]
     for n in range(2, order + 1):
         value = np.full(len(tokens), np.uint64(n * 0xA0761D6478BD642F % (1 << 64)))
         for back in range(n - 1, -1, -1):
@@ -67,15 +85,6 @@ def ngrams(tokens: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarr
     return out
 
 
-def train_counts(grams: list[np.ndarray], trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams of a block in ascending order, their training counts, and which are words."""
-    keys, where = np.unique(np.concatenate(grams), return_inverse=True)
-    counts = np.bincount(where, weights=np.tile(trained, len(grams)), minlength=len(keys)).astype(np.int64)
-    single = np.zeros(len(keys), dtype=bool)
-    single[where[: len(grams[0])]] = True
-    return keys, counts, single
-
-
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
 
@@ -91,97 +100,185 @@ def widen(data: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def low_bits(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(1)) & np.uint64((1 << 8 * GRAM_BYTES) - 1)
+
+
+def pack_keys(keys: np.ndarray) -> np.ndarray:
+    """Ascending values below 2 ^ 40 as their differences, byte by byte, the highest bytes first."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(steps[:, GRAM_BYTES - 1 :: -1].T).ravel()
+
+
+def unpack_keys(data: np.ndarray) -> np.ndarray:
+    steps = np.zeros((len(data) // GRAM_BYTES, 8), np.uint8)
+    steps[:, GRAM_BYTES - 1 :: -1] = data.reshape(GRAM_BYTES, -1).T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def small(counts: np.ndarray) -> np.ndarray:
+    """Counts in the narrowest unsigned type that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
+class Nodes:
+    """The distinct n-grams of a block: ``at[n - 1]`` names the node of the n-gram of n tokens that ends at
+    each position (-1: none).  Nodes are numbered by order, after the two states that every automaton has."""
+
+    def __init__(self, tokens: np.ndarray, offsets: np.ndarray, order: int) -> None:
+        self.place = places(offsets)
+        self.at, keys, first, self.ends = [], [], [], [2]
+        for grams in ngrams(tokens, self.place, order):
+            there = np.flatnonzero(grams)
+            own, where, inverse = np.unique(grams[there], return_index=True, return_inverse=True)
+            node = np.full(len(grams), -1, np.int64)
+            node[there] = inverse + self.ends[-1]
+            self.at.append(node)
+            keys.append(own)
+            first.append(there[where])
+            self.ends.append(self.ends[-1] + len(own))
+        self.keys, self.first = np.concatenate(keys), np.concatenate(first)
+
+    def in_buckets(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the nodes by bucket and key, and where each bucket ends in it."""
+        bucket, low = bucket_of(self.keys, buckets), low_bits(self.keys)
+        order = np.lexsort((low, bucket))
+        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
 class Automaton:
-    """The states and arcs that a block's texts can reach, as arrays.
+    """States, arcs and failure arcs that the texts of a block can reach.
 
-    ``state`` of an order is the history's count; an arc is the count of the
-    n-gram.  Both are looked up by position in the sorted n-grams of the block.
+    A state is a node of at most ``order`` - 1 tokens with a count.  ``arcs`` holds state * words + word of
+    every arc, ascending, ``weights`` and ``targets`` what it weighs and where it leads; ``failure`` leads a
+    state to its history without the first word.  The empty history has an arc for every word.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int, documents: int, weight: float) -> None:
-        self.keys, self.counts, self.n, self.v, self.documents, self.weight = keys, counts, n, v, documents, weight
-
-    def count(self, values: np.ndarray) -> np.ndarray:
-        return self.counts[np.searchsorted(self.keys, values)]
-
-    def traverse(self, grams: list[np.ndarray], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sums over each text: log10 of the lowest order, log10 of the model, tokens known."""
-        own = self.count(grams[0])
-        base = (own + 0.5) / (self.n + 0.5 * (self.v + 1))
-        chance = base
-        place = np.arange(len(own)) - np.repeat(offsets[:-1], np.diff(offsets))
-        for n in range(2, len(grams) + 1):
-            history = np.zeros(len(own), np.int64)  # state: the count of what stands before
-            history[1:] = self.count(grams[n - 2])[:-1]
-            if n == 2:
-                history[place == 0] = self.documents
-            reach = (place >= n - 2) & (history > 0)
-            arc = np.where(reach, self.count(grams[n - 1]), 0)
-            chance = np.where(reach, self.weight * arc / np.maximum(history, 1) + (1 - self.weight) * chance, chance)
-        sums = [np.add.reduceat(x, offsets[:-1]) if len(x) else np.zeros(0) for x in (np.log10(base), np.log10(chance), (own > 0).astype(np.int64))]
-        return sums[0], sums[1], sums[2]
-
-
-def score(docs: DataFrame, trained: F.Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, weight: float = LAMBDA, block_bytes: int = common.BLOCK_BYTES) -> DataFrame:
+    def __init__(self, nodes: Nodes, counts: np.ndarray, n: int, v: int, documents: int, weight: float) -> None:
+        order, size = len(nodes.at), nodes.ends[-1]
+        self.words = nodes.ends[1] - 2
+        count = np.concatenate([[0, documents], counts])
+        length = np.repeat(np.arange(order + 1), [2, *np.diff(nodes.ends)])
+        self.base = (count[2 : nodes.ends[1]] + 0.5) / (n + 0.5 * (v + 1))
+        chance = np.zeros(size)
+        chance[2 : nodes.ends[1]] = self.base
+        state = (length < order) & (count > 0)
+        state[[ROOT, BEGIN]] = True
+        self.failure = np.full(size, ROOT, np.int64)
+        target = np.full(size, ROOT, np.int64)
+        target[2 : nodes.ends[1]] = np.where(state[2 : nodes.ends[1]], np.arange(2, nodes.ends[1]), ROOT)
+        arcs, met = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(2, order + 1):
+            node = np.arange(nodes.ends[k - 1], nodes.ends[k])
+            here = nodes.first[node - 2]
+            before = np.where(nodes.place[here] == 0, BEGIN, nodes.at[k - 2][here - 1])
+            self.failure[node] = shorter = nodes.at[k - 2][here]
+            seen = count[node] > 0
+            chance[node] = np.where(seen, weight * count[node] / np.maximum(count[before], 1) + (1 - weight) * chance[shorter], 0)
+            target[node] = np.where(state[node], node, shorter)
+            arcs.append(before[seen] * self.words + nodes.at[0][here[seen]] - 2)
+            met.append(node[seen])
+        found, met = np.concatenate(arcs), np.concatenate(met)
+        by_key = np.argsort(found, kind="stable")
+        self.arcs = found[by_key]
+        with np.errstate(divide="ignore"):
+            self.weights, self.root_weights = np.log10(chance[met[by_key]]), np.log10(self.base)
+            self.fall = np.log10(1 - weight) if weight < 1 else -np.inf
+        self.targets, self.root_targets = target[met[by_key]], target[2 : nodes.ends[1]]
+        # a start that no training text has is no history; it weighs nothing to leave it
+        self.leave = np.where((count > 0) & (order > 1), self.fall, 0.0)
+
+    def step(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Reads one word in each state: the states after it, and the weights of the arcs on the way."""
+        total, after = np.zeros(len(states)), np.empty(len(states), np.int64)
+        left, states = np.arange(len(states)), states.copy()
+        while len(left):
+            asked = states[left] * self.words + words[left]
+            arc = np.minimum(np.searchsorted(self.arcs, asked), max(0, len(self.arcs) - 1))
+            hit = (self.arcs[arc] == asked) & (states[left] != ROOT) if len(self.arcs) else np.zeros(len(left), dtype=bool)
+            total[left[hit]] += self.weights[arc[hit]]
+            after[left[hit]] = self.targets[arc[hit]]
+            left = left[~hit]
+            ended = left[states[left] == ROOT]
+            total[ended] += self.root_weights[words[ended]]
+            after[ended] = self.root_targets[words[ended]]
+            left = left[states[left] != ROOT]
+            total[left] += self.leave[states[left]]
+            states[left] = self.failure[states[left]]
+        return after, total
+
+    def traverse(self, words: np.ndarray, offsets: np.ndarray, memory: int, lane: int = LANE) -> np.ndarray:
+        """The weight of every token, all texts read from left to right side by side; a state depends on
+        ``memory`` tokens."""
+        out = np.zeros(len(words))
+        pieces = -(-np.diff(offsets) // lane)
+        begin = np.repeat(offsets[:-1], pieces) + lane * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        end = np.minimum(begin + lane, np.repeat(offsets[1:], pieces))
+        warm = np.maximum(begin - memory, np.repeat(offsets[:-1], pieces))
+        states = np.where(warm == np.repeat(offsets[:-1], pieces), BEGIN, ROOT)
+        order = np.argsort(warm - end, kind="stable")  # the longest lanes first
+        begin, end, warm, states = begin[order], end[order], warm[order], states[order]
+        for t in range(int((end - warm).max(initial=0))):
+            k = int(np.searchsorted(warm - end, -t, side="left"))  # lanes longer than t
+            at = warm[:k] + t
+            states[:k], weights = self.step(states[:k], words[at])
+            own = at >= begin[:k]
+            out[at[own]] = weights[own]
+        return out
+
+
+def score(docs: DataFrame, trained: F.Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, weight: float = LAMBDA, block_bytes: int = BLOCK_BYTES, lane: int = LANE) -> DataFrame:
     """Per row: id, n_tokens, n_known, train_tokens, base_score, score.  ``trained`` says of a row (by its id) whether to learn from it."""
-    spark = docs.sparkSession
-    buckets = 4 * common.partitions(spark)
-    marked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), trained.alias("trained"))
-    # the sign of what a block calls its ids says whether to learn from the row
-    blocks = common.text_blocks(marked.select(F.expr("id * 2 + cast(trained as int)").alias("key"), "text"), "key", "text", block_bytes)
+    buckets = 4 * common.partitions(docs.sparkSession)
+    blocks = common.text_blocks(docs, id_col, text_col, block_bytes, flag=trained)
 
     def read(ids: bytes, texts: bytes):
         keys, rows = common.block_texts(ids, texts)
         tokens, offsets = token_hashes(rows)
-        grams = ngrams(tokens, offsets, order)
-        return keys, tokens, offsets, grams
+        return keys, offsets, Nodes(tokens, offsets, order)
 
     def scatter(batches):
         for pdf in batches:
             for block, ids, texts in zip(pdf["block"], pdf["ids"], pdf["texts"], strict=True):
-                keys, tokens, offsets, grams = read(ids, texts)
-                values, counts, single = train_counts(grams, np.repeat(keys % 2, np.diff(offsets)))
-                b = bucket_of(values, buckets)
-                by_bucket = np.argsort(b, kind="stable")
-                ends = np.searchsorted(b[by_bucket], np.arange(buckets + 1))
-                out = [(int(i), common.pack_arrays(trim(values[p]).ravel(), counts[p].astype(np.uint32), np.packbits(single[p]))) for i in np.flatnonzero(np.diff(ends)) for p in [by_bucket[ends[i] : ends[i + 1]]]]
-                yield pd.DataFrame({"block": block, "bucket": [i for i, _ in out], "grams": [g for _, g in out]})
+                _, offsets, nodes = read(ids, texts)
+                learned = common.block_flags(ids)
+                tokens = np.repeat(learned, np.diff(offsets))
+                counts = np.concatenate([np.bincount(at[tokens & (at >= 0)] - low, minlength=high - low) for at, low, high in zip(nodes.at, nodes.ends[:-1], nodes.ends[1:], strict=True)])
+                by_bucket, ends = nodes.in_buckets(buckets)
+                low, single = low_bits(nodes.keys), np.arange(len(nodes.keys)) < nodes.ends[1] - 2
+                out = [(int(i), common.pack_arrays(pack_keys(low[p]), small(counts[p]), np.packbits(single[p]))) for i in np.flatnonzero(np.diff(ends)) for p in [by_bucket[ends[i] : ends[i + 1]]]]
+                sums = {"n": int(tokens.sum()), "documents": int(learned.sum())}
+                yield pd.DataFrame({"block": block, "bucket": [i for i, _ in out], "grams": [g for _, g in out]} | {k: [x] + [0] * (len(out) - 1) for k, x in sums.items()})
+                del nodes, tokens, counts, by_bucket, low, single, out
+                common.release()
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes, counts, single = zip(*(common.unpack_arrays(g) for g in pdf["grams"]), strict=True)
         sizes = [len(c) for c in counts]
         flags = np.concatenate([np.unpackbits(s)[:n] for s, n in zip(single, sizes, strict=True)])
-        keys, where = np.unique(widen(np.concatenate(hashes)), return_inverse=True)
+        keys, where = np.unique(np.concatenate([unpack_keys(h) for h in hashes]), return_inverse=True)
         total = np.bincount(where, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
         word = np.zeros(len(keys), dtype=bool)
         word[where[flags == 1]] = True
         ends = np.cumsum(sizes)
         back = total[where]
-        replies = [common.pack_arrays(back[e - n : e].astype(np.uint32)) for n, e in zip(sizes, ends, strict=True)]
         known = [int((word & (total > 0)).sum())] + [0] * (len(pdf) - 1)
-        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "totals": replies, "known": known})
-
-    sent = blocks.mapInPandas(scatter, "block long, bucket int, grams binary")
-    replies = common.materialise(sent.groupBy("bucket").applyInPandas(add_up, "block long, bucket int, totals binary, known long"), "totals")
-
-    def sizes(batches):
-        for pdf in batches:
-            for ids, texts in zip(pdf["ids"], pdf["texts"], strict=True):
-                keys, rows = common.block_texts(ids, texts)
-                coded, offsets = common.words(rows)
-                yield pd.DataFrame({"n": [int((np.diff(offsets) + 1)[keys % 2 == 1].sum())], "d": [int((keys % 2).sum())]})
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "totals": [common.pack_arrays(small(back[e - n : e])) for n, e in zip(sizes, ends, strict=True)], "known": known, "n": pdf["n"], "documents": pdf["documents"]})
 
-    n, documents = blocks.select("ids", "texts").mapInPandas(sizes, "n long, d long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("d"), F.lit(0))).first()
-    v = replies.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+    sent = blocks.mapInPandas(scatter, "block long, bucket int, grams binary, n long, documents long")
+    replies = common.materialise(sent.groupBy("bucket").applyInPandas(common.of_group(add_up), "block long, bucket int, totals binary, known long, n long, documents long"), "totals")
+    n, v, documents = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "known", "documents")]).first()
 
     def traverse(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        keys, tokens, offsets, grams = read(left["ids"].iloc[0], left["texts"].iloc[0])
-        values = np.unique(np.concatenate(grams))
-        by_bucket = np.argsort(bucket_of(values, buckets), kind="stable")
-        counts = np.empty(len(values), np.int64)
-        counts[by_bucket] = np.concatenate([common.unpack_arrays(t)[0] for _, t in sorted(zip(right["bucket"], right["totals"], strict=True))])
-        base, model, known = Automaton(values, counts, n, v, documents, weight).traverse(grams, offsets)
-        return pd.DataFrame({"id": keys >> 1, "n_tokens": np.diff(offsets), "n_known": known, "train_tokens": np.int64(n), "base_score": base, "score": model})
-
-    out = blocks.groupBy("block").cogroup(replies.select("block", "bucket", "totals").groupBy("block")).applyInPandas(traverse, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        keys, offsets, nodes = read(left["ids"].iloc[0], left["texts"].iloc[0])
+        counts = np.empty(len(nodes.keys), np.int64)
+        counts[nodes.in_buckets(buckets)[0]] = np.concatenate([common.unpack_arrays(t)[0] for _, t in sorted(zip(right["bucket"], right["totals"], strict=True))])
+        automaton = Automaton(nodes, counts, n, v, documents, weight)
+        words = nodes.at[0] - 2
+        del nodes
+        known = (counts[: automaton.words] > 0)[words].astype(np.int64)
+        sums = [np.add.reduceat(x, offsets[:-1]) for x in (known, automaton.root_weights[words], automaton.traverse(words, offsets, order - 1, lane))]
+        return pd.DataFrame({"id": keys, "n_tokens": np.diff(offsets), "n_known": sums[0], "train_tokens": np.int64(n), "base_score": sums[1], "score": sums[2]})
+
+    out = blocks.groupBy("block").cogroup(replies.select("block", "bucket", "totals").groupBy("block")).applyInPandas(common.of_cogroup(traverse), "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

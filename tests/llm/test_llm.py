@@ -3,15 +3,13 @@
 import random
 import re
 import struct
-import zlib
 from collections import Counter
-from math import log10
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 
-from pathloom.llm import ann, byte_bpe, common, decontaminate, html_extract, language_id, line_dedup, lm_score, ngram_join, suffix_dedup, token_counts
+from pathloom.llm import ann, byte_bpe, common, decontaminate, html_extract, language_id, line_dedup, ngram_join, suffix_dedup, token_counts
 
 SF = "/root/testdata/sf0.001"
 ODD = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, " a  b \n\n c  d\t e   f"), (10**6 + 3, "  x"), (10**6 + 4, "\x00 z  "), (10**6 + 5, "one two"), (10**6 + 6, "ONE two"), (10**6 + 7, "a" * 200_000 + " b")]
@@ -56,26 +54,6 @@ def test_token_counts(docs, rows, empty):
     assert token_counts.token_counts(empty, path).count() == 0
 
 
-def test_lm_score(docs, rows, empty):
-    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
-    tokens = {i: [*words(t), None] for i, t in rows}
-    one, two = Counter(), Counter()
-    for i, k in tokens.items():
-        if not held(i):
-            one.update(k)
-            two.update(zip(["<s>", *k[:-1]], k, strict=True))
-    n, v, before = sum(one.values()), len(one), one | Counter({"<s>": one[None]})
-    for r in lm_score.score(docs, common.crc("doc_id") % 5 != 1, block_bytes=100_000).collect():
-        base = total = 0.0
-        for p, w in zip(["<s>", *tokens[r.doc_id][:-1]], tokens[r.doc_id], strict=True):
-            b = (one[w] + 0.5) / (n + 0.5 * (v + 1))
-            base += log10(b)
-            total += log10(0.7 * two[p, w] / before[p] + 0.3 * b if before[p] else b)
-        assert (r.n_tokens, r.train_tokens, r.n_known) == (len(tokens[r.doc_id]), n, sum(one[w] > 0 for w in tokens[r.doc_id]))
-        assert abs(r.base_score - base) < 1e-6 and abs(r.score - total) < 1e-6
-    assert lm_score.score(empty, common.crc("doc_id") % 5 != 1).count() == 0
-
-
 def jaccard_components(rows):
     """(n_shingles, component_id) of each id, from all pairs."""
     sets = {}
