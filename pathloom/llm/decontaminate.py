@@ -19,8 +19,11 @@ a shard of at most ``SHARD_BYTES`` of items is sent to all executors; more
 items make more shards, each met by all documents.
 
 Null and empty texts match nothing; items that are null, or without words,
-match nothing.  An item repeated under several ids is found under each.  Rows
-with a null id are left out.  Empty tables give empty results.
+match nothing.  An item repeated under several ids is found under each; of rows
+with one item id each text is an item.  Rows with a null id are left out (and
+kept by ``decontaminate``); documents that share an id are read each by itself.
+Texts and items may be of any length.  Extra columns are not read.  Empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import uuid
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -120,6 +125,7 @@ class Index:
             self.questions.append(set(item_terms(question)))
             self.answers.append(set(item_terms(answer)))
         self.postings = postings
+        self.items = {t: [k for k, _ in p] for t, p in postings.items()}
         self.blocks = {t: [(p[i : i + POSTINGS_BLOCK][-1][0], max(w for _, w in p[i : i + POSTINGS_BLOCK])) for i in range(0, len(p), POSTINGS_BLOCK)] for t, p in postings.items()}
         self.terms = np.array(sorted(postings), dtype=np.uint64)
         self.largest = np.array([max(w for _, w in postings[int(t)]) for t in self.terms])
@@ -128,22 +134,16 @@ class Index:
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """Items whose score reaches their threshold: block-max WAND over the terms of a passage."""
-        lists = [(self.postings[t], self.blocks[t], max(w for _, w in self.blocks[t])) for t in set(terms) if t in self.postings]
+        lists = [(self.postings[t], self.blocks[t], max(w for _, w in self.blocks[t]), self.items[t]) for t in sorted(set(terms)) if t in self.postings]
         at = [0] * len(lists)
-        heap = [(p[0][0], i) for i, (p, _, _) in enumerate(lists)]
+        heap = [(p[0][0], i) for i, (p, *_) in enumerate(lists)]
         heapq.heapify(heap)
         found = []
 
         def seek(i: int, item: int) -> int | None:
-            """Moves list i to the first posting at or after the item, a block at a time."""
-            p, blocks, _ = lists[i]
-            b = at[i] // POSTINGS_BLOCK
-            while b < len(blocks) and blocks[b][0] < item:
-                b += 1
-            at[i] = max(at[i], b * POSTINGS_BLOCK)
-            while at[i] < len(p) and p[at[i]][0] < item:
-                at[i] += 1
-            return p[at[i]][0] if at[i] < len(p) else None
+            """Moves list i to the first posting at or after the item."""
+            at[i] = bisect_left(lists[i][3], item, at[i])
+            return lists[i][3][at[i]] if at[i] < len(lists[i][3]) else None
 
         while heap:
             # pivot: the first item that the largest impacts of the lists so far can bring over the lowest threshold
@@ -159,21 +159,28 @@ class Index:
                 break
             while heap and heap[0][0] == pivot:
                 order.append(heapq.heappop(heap))
-            tight = 0.0
+            # the blocks that hold the pivot or what follows it, and how far all of them reach
+            tight, reach = 0.0, heap[0][0] - 1 if heap else math.inf
             for _, i in order:
                 blocks = lists[i][1]
                 b = at[i] // POSTINGS_BLOCK
                 while b < len(blocks) and blocks[b][0] < pivot:
                     b += 1
-                tight += blocks[b][1] if b < len(blocks) else 0.0
+                if b < len(blocks):
+                    tight += blocks[b][1]
+                    reach = min(reach, blocks[b][0])
             after = pivot + 1
-            if tight >= SHARE * self.most[pivot]:
+            if tight < self.least - 1e-9:  # no item up to there can pass
+                after = max(after, reach + 1) if reach < math.inf else None
+            elif tight >= SHARE * self.most[pivot] - 1e-9:
                 score = 0.0
                 for _, i in order:
                     if seek(i, pivot) == pivot:
                         score += lists[i][0][at[i]][1]
                 if score >= SHARE * self.most[pivot]:
                     found.append((pivot, score))
+            if after is None:
+                break
             for _, i in order:
                 if (item := seek(i, after)) is not None:
                     heapq.heappush(heap, (item, i))
@@ -252,5 +259,6 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def decontaminate(docs: DataFrame, items: DataFrame, **kwargs) -> DataFrame:
     """``docs`` without the documents that hold an item."""
     id_col = kwargs.get("id_col", "doc_id")
-    bad = contaminated(docs, items, **kwargs).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("__bad"), "left_anti")
+    name = f"__{uuid.uuid4().hex}"
+    bad = contaminated(docs, items, **kwargs).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(bad, docs[id_col] == F.col(name), "left_anti")
