@@ -28,8 +28,11 @@ joins the components of the round before, not all links found.
 
 Null texts, empty texts and texts without words have no shingles and link with
 nothing.  Texts with fewer words than a shingle have one: all their words.
-Rows with a null id are left out.  Copies, ties and extra columns need no
-treatment; an empty table gives an empty result.
+Shingles are compared by 48 bits of their hash.  Rows with a null id are left
+out.  Rows that share an id are one document, for which the largest of their sets
+stands (of equally large ones the greatest in bytes); each row comes back once,
+with its own number of shingles and the component of its id.  Copies, ties and
+extra columns need no treatment; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -206,7 +209,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     """Per document: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
     spark = docs.sparkSession
     sets = shared_sets(docs, id_col, text_col, k, block_bytes)
+    several = sets.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    again = common.materialise(sets.join(several, "doc_id", "left_semi"), "again")  # rows that share an id
     may = sets.where("shared is not null")
+    if not again.isEmpty():
+        one = again.where("shared is not null").groupBy("doc_id").agg(F.max(F.struct("n", "shared")).alias("s")).select("doc_id", "s.n", "s.shared")
+        may = may.join(several, "doc_id", "left_anti").select("doc_id", "n", "shared").union(one)
     # equal sets are one: all their shingles occur elsewhere, so the whole set is at hand
     key = F.when(F.octet_length("shared") == 6 * F.col("n"), F.sha2("shared", 256)).otherwise(F.concat(F.lit("d"), F.col("doc_id").cast("string")))
     keyed = may.select("doc_id", key.alias("key"))
