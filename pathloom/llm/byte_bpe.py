@@ -13,8 +13,11 @@ is as large as the vocabulary, and needs nothing else.
 Words are aggregated in each block before the shuffle, so a word that all
 texts share is one entry a block.  Null texts are empty; empty texts have no
 ids and decode to no bytes.  Rows with a null id are left out, since nothing
-could be joined to them.  The input is read twice and must give its rows in the
-same order (files do); if it doesn't, the query fails and gives no wrong ids.  Copies, ties and extra columns need no treatment.
+could be joined to them; rows that share an id are encoded each by itself.  The
+input is read twice and must give its rows in the same order; what is more than
+a reading of files (a join, a shuffle) is written as a table first.  Copies,
+ties and extra columns need no treatment; a column ``decoded`` gives way to the
+one that ``decode`` adds.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -108,6 +111,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))  # as large as the vocabulary
     buckets = 4 * common.partitions(spark)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id is not null")
+    rows = common.read_alike(rows, "texts")
 
     def cut_blocks(batches):
         """Blocks of the task's rows: (block, positions, words by bucket).  The id of a block is made
@@ -169,7 +173,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """Adds ``decoded`` (binary): the bytes of the tokens, joined from the vocabulary table."""
-    spark = encoded.sparkSession
+    spark, encoded = encoded.sparkSession, encoded.drop("decoded")
     ranks = read_ranks(ranks_path)
     table: list[bytes] = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():

@@ -46,6 +46,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Plan nodes below which a second reading gives the same rows in the same order.
+PLAIN = ("Project", "Filter", "LogicalRelation", "LocalRelation")
+
+
+def read_alike(df: DataFrame, name: str) -> DataFrame:
+    """``df`` if it only reads files, which gives the same rows in the same order each time; else a written table of it."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    todo, plain = [plan], plan.deterministic()
+    while todo:
+        node = todo.pop()
+        plain = plain and node.nodeName() in PLAIN
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return df if plain else materialise(df, name)
+
+
 def bounded_batches(spark: SparkSession, mb: int = 16) -> None:
     """Bounds the Arrow batches that Spark sends to Python by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
