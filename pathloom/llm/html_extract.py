@@ -11,17 +11,26 @@ only one side has becomes optional.  Aligning two wrappers is the same
 operation, so wrappers are folded inside every task and merged in two salted
 steps after that: all pages count, and no task gets the pages of one host.
 
-A wrapper says for each slot how often it was met, how much text it held and
-under which elements it stands.  The main region of a host is its article or
-main element, if most of its pages have one, and else the group of slots with
-most text; pages without such an element have a wrapper and a group of their own.  A slot is left out if it stands in navigation, header, footer,
-aside, form or the like, or under a class, id or role that says advert,
-notice, sidebar, menu, comment and so on.
-
-Null, empty and tagless pages: a null or empty page has an empty text; a page
-without tags is one block of text.  Pages with a null or odd url share the
-host ''.  Copies, ties and extra columns need no treatment; an empty table
-gives an empty result.
+What is the same on a host's pages is its template, what differs is its content.
+A block of text under one path is a constant of the wrapper if at least half of
+the host's unlike pages have it, and ``TEMPLATE_PAGES`` of them at least (pages
+with the same blocks count as one, so copies make no template).  Constants are
+counted page by page over all pages, so they don't depend on the order in which
+wrappers are merged.  Constants are left out of the text, but for headings; what
+remains are slots.  A wrapper says how much text its slots hold and under which
+elements they stand.  The main region of a host is its article or main element,
+if most of its pages have one, and else the group of slots with most text; pages
+without such an element have a wrapper and a group of their own.  Besides, a slot
+is left out if it stands in navigation, header, footer, aside, form or the like,
+or under a class, id or role that says advert, notice, sidebar, menu, comment and
+so on: reader comments and adverts differ from page to page as an article does,
+so no wrapper can tell them from it.
+
+A null or empty page has an empty text; a page without tags is one block of
+text.  Pages with a null or odd url share the host ''.  Pages of any length and
+depth are read whole.  Rows that share an id are read each by itself.  Ties of
+weight go to the path that is first by name; extra columns are not read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,18 +38,21 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .line_dedup import patience
 
 #: Names of HTML elements and the words that mark page furniture.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = frozenset("script style noscript template svg iframe object head textarea select canvas math".split())
+INLINE = frozenset("a abbr acronym annotation b bdi bdo big br cite code data del dfn em font i img ins kbd mark math mfrac mi mn mo mroot mrow msqrt mstyle msub msubsup msup mtext q rp rt ruby s samp semantics small span strike strong sub sup time tt u var wbr".split())
+SKIPPED = frozenset("script style noscript template svg iframe object head textarea select canvas".split())
 FURNITURE = frozenset("nav footer aside form menu dialog button fieldset".split())
 MAIN = frozenset("article main".split())
 VOID = frozenset("area base col embed hr input link meta param source track".split())
@@ -52,6 +64,9 @@ SECTIONS = frozenset("article aside body div dl fieldset figure footer form head
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 REGION = re.compile(r"<(?:article|main)(?![\w:-])", re.I)
+HEADING = re.compile(r"(?:^|>)h[1-6][!^]?$")
+#: Unlike pages of a host that must have a block before it can be of its template, and their share of all.
+TEMPLATE_PAGES, TEMPLATE_SHARE = 5, 0.5
 SPACE = re.compile(r"\s+")
 MAX_DEPTH = 64
 
@@ -104,7 +119,7 @@ def parse(page: str | None) -> list[tuple[str, str]]:
                     at = end.end() if end else len(page)
                 elif end:
                     at = end.end()
-            close() if tag not in ("svg", "math", "canvas") else None
+            close() if tag not in ("svg", "canvas") else None
             continue
         if tag in INLINE:
             if tag == "br":
@@ -135,16 +150,23 @@ def parse(page: str | None) -> list[tuple[str, str]]:
     return blocks
 
 
-# A node: [path, is slot, optional, repeated, pages, characters, text of the first page]
+def block_key(path: str, text: str) -> int:
+    """A 64-bit hash of a block of text under its path."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(f"{path}\0{text}") - (1 << 63)
+
+
+# A node: [path, is slot, optional, repeated, pages, characters, hash of the text]
 def expression(blocks: list[tuple[str, str]]) -> list[list]:
     """The wrapper of one page: neighbours with one path are a repeated group."""
     nodes: list[list] = []
     for path, text in blocks:
         if nodes and nodes[-1][0] == path:
             last = nodes[-1]
-            last[1], last[3], last[5], last[6] = True, True, last[5] + len(text), ""
+            last[1], last[3], last[5], last[6] = True, True, last[5] + len(text), 0
         else:
-            nodes.append([path, False, False, False, 1, len(text), text[:200]])
+            nodes.append([path, False, False, False, 1, len(text), block_key(path, text)])
     return fold(nodes)
 
 
@@ -170,32 +192,41 @@ def meet(a: list, b: list, same_page: bool = False) -> None:
     a[3] = a[3] or b[3]
     a[4] = max(a[4], b[4]) if same_page else a[4] + b[4]
     a[5] += b[5]
-    a[6] = "" if a[1] else a[6]
+    a[6] = 0 if a[1] else a[6]
+
+
+def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Positions of equal paths, ascending on both sides: by unique paths first, and between them each
+    path with the next one like it, so that no table of all pairs is made."""
+    out, a0, b0 = [], 0, 0
+    for i, j in [*patience(a, b), (len(a), len(b))]:
+        after: dict[str, list[int]] = {}
+        for k in range(a0, i):
+            after.setdefault(a[k], []).append(k)
+        at = a0
+        for k in range(b0, j):
+            there = after.get(b[k], [])
+            if (n := bisect_left(there, at)) < len(there):
+                out.append((there[n], k))
+                at = there[n] + 1
+        if i < len(a):
+            out.append((i, j))
+        a0, b0 = i + 1, j + 1
+    return out
 
 
 def align(a: list[list], b: list[list]) -> list[list]:
-    """The wrapper of what either wrapper matches."""
-    if len(a) == len(b) and all(x[0] == y[0] for x, y in zip(a, b, strict=True)):
-        for x, y in zip(a, b, strict=True):
-            meet(x, y)
-        return a
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+    """The wrapper of what either wrapper matches: what only one side has becomes optional."""
     out: list[list] = []
     i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            meet(a[i], b[j])
-            out.append(a[i])
-            i, j = i + 1, j + 1
-        else:
-            node = a[i] if j == m or i < n and best[i + 1][j] >= best[i][j + 1] else b[j]
-            i, j = (i + 1, j) if i < n and node is a[i] else (i, j + 1)
+    for x, y in [*matches([n[0] for n in a], [n[0] for n in b]), (len(a), len(b))]:
+        for node in a[i:x] + b[j:y]:
             node[2] = True
             out.append(node)
+        if x < len(a):
+            meet(a[x], b[y])
+            out.append(a[x])
+        i, j = x + 1, y + 1
     return fold(out)
 
 
@@ -234,6 +265,8 @@ def roles(with_region: list, without: list) -> dict:
 def extract(blocks: list[tuple[str, str]], role: dict, bare: bool = True) -> str:
     """The main text of a page by the roles of its host; by its own if it has no match.  ``bare``: the page has
     neither article nor main, and so may be of another template than most pages of its host."""
+    if template := role.get("template"):
+        blocks = [(p, t) for p, t in blocks if HEADING.search(p) or block_key(p, t) not in template]
     kept = [t for p, t in blocks if "!" not in p and any(p == r or p.startswith(r + ">") for r in role.get("regions", ()))]
     if not kept and "under" in role and (bare or "regions" not in role):
         kept = [t for p, t in blocks if not furniture(p, False) and (p.rpartition(">")[0] == role["under"] or p.startswith(role["under"] + ">") or not role["under"])]
@@ -247,6 +280,27 @@ def host_of(url: str) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def constants(pages: DataFrame) -> DataFrame:
+    """(host, template): the blocks that at least half of the unlike pages of a host have, as hashes.  There are at
+    most as many as two average pages have blocks."""
+
+    def apply(batches):
+        import xxhash
+
+        for batch in batches:
+            for part in common.slices(batch, "html"):
+                keys = [sorted({block_key(p, t) for p, t in parse(page) if "!" not in p and not HEADING.search(p)}) for page in part.column(1).to_pylist()]
+                page = [xxhash.xxh3_64_intdigest(np.array(k, np.int64).tobytes()) - (1 << 63) for k in keys]
+                yield pa.record_batch([part.column(0), pa.array(page, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["host", "page", "blocks"])
+
+    unlike = pages.mapInArrow(apply, "host string, page long, blocks array<long>").groupBy("host", "page").agg(F.first("blocks").alias("blocks"))
+    unlike = common.materialise(unlike, "unlike")
+    totals = unlike.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= TEMPLATE_PAGES)
+    met = unlike.select("host", F.explode("blocks").alias("block")).groupBy("host", "block").agg(F.count("*").alias("met")).where(F.col("met") >= TEMPLATE_PAGES)
+    found = met.join(totals, "host").where(F.col("met") >= TEMPLATE_SHARE * F.col("pages"))
+    return found.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list("block"))).alias("template"))
+
+
 def wrappers(pages: DataFrame, salts: int = 16, flush: int = 2000) -> DataFrame:
     """(host, wrapper) of ``pages`` (host, html): folded in every task, merged by salt, then by host.  A host has two,
     one of its pages with an article or main element and one of the others, each with its number of pages and the
@@ -294,16 +348,20 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             out = [json.dumps(roles(*json.loads(w))) for w in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], names=["host", "role"])
 
-    learned = common.materialise(wrappers(rows.select("host", "html")).mapInArrow(judged, "host string, role string"), "wrappers")
-    size = learned.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("role") + 100), F.lit(0))).first()[0]
+    found = wrappers(rows.select("host", "html")).mapInArrow(judged, "host string, role string").join(constants(rows.select("host", "html")), "host", "left")
+    learned = common.materialise(found.select("host", "role", F.coalesce("template", F.lit("[]")).alias("template")), "wrappers")
+    size = learned.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("role") + F.octet_length("template") + 100), F.lit(0))).first()[0]
     shape = "id long, url string, text string, n_chars long"
 
+    def of_host(role: str, template: str) -> dict:
+        return json.loads(role) | {"template": set(json.loads(template))}
+
     def texts(batch: pa.RecordBatch, role_of) -> pa.RecordBatch:
         out = [extract(parse(p), role_of(i), not REGION.search(p)) for i, p in enumerate(common.as_text(batch.column(2)).to_pylist())]
         return pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     if size <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast({r["host"]: json.loads(r["role"]) for r in learned.collect()})
+        shared = spark.sparkContext.broadcast({r["host"]: of_host(r["role"], r["template"]) for r in learned.collect()})
 
         def apply(batches):
             for batch in batches:
@@ -320,8 +378,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         def apply(batches):
             for batch in batches:
                 for part in common.slices(batch, "html"):
-                    found = part.column(4).to_pylist()
-                    yield texts(part, lambda i, found=found: json.loads(found[i] or "{}"))
+                    found, template = part.column(4).to_pylist(), part.column(5).to_pylist()
+                    yield texts(part, lambda i, found=found, template=template: of_host(found[i] or "{}", template[i] or "[]"))
 
-        out = salted.join(spread.hint("merge"), ["host", "salt"], "left").select("id", "url", "html", "host", "role").mapInArrow(apply, shape)
+        out = salted.join(spread.hint("merge"), ["host", "salt"], "left").select("id", "url", "html", "host", "role", "template").mapInArrow(apply, shape)
     return out.withColumnRenamed("id", id_col)

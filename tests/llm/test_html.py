@@ -25,3 +25,34 @@ def test_host_with_two_templates(spark):
     pages += [(9, "http://h/9", "<div>side</div><article></article>"), (10, "http://h/10", "<div>unlike any other</div>")]
     want = {i: f"text {i}" for i in range(6)} | {i: f"long prose of page {i}\nmore of it" for i in range(6, 9)} | {9: "", 10: "unlike any other"}
     assert texts(spark, pages) == want
+
+
+def test_template_under_neutral_names(spark):
+    """A block that all pages of a host share goes whatever its class; copies of one page make no template."""
+    welcome = "<div class=x1><p>welcome to these pages</p><ul><li>first link</li><li>second link</li></ul></div>"
+    pages = [(i, "http://h/", f"<article><h1>Title</h1>{welcome}<p>prose of page {i}</p><p>more {i}</p></article>") for i in range(20)]
+    pages += [(100 + i, "http://copies/", "<article><p>the same page again</p></article>") for i in range(30)]
+    pages += [(200 + i, "http://copies/", f"<article><p>another {i}</p></article>") for i in range(6)]
+    pages += [(300 + i, "http://few/", f"<article><p>shared by few</p><p>own {i}</p></article>") for i in range(4)]
+    want = {i: f"Title\nprose of page {i}\nmore {i}" for i in range(20)} | {100 + i: "the same page again" for i in range(30)}
+    want |= {200 + i: f"another {i}" for i in range(6)} | {300 + i: f"shared by few\nown {i}" for i in range(4)}
+    assert texts(spark, pages) == want
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for n in (1, 7):
+        assert {r.page_id: r.text for r in html_extract.main_text(frame.repartition(n), broadcast_bytes=-1 if n == 7 else 1 << 25).collect()} == want
+
+
+def test_odd_tables(spark):
+    assert texts(spark, [(1, None, "no tags  at\nall"), (2, "odd", None), (3, "http://h/", "<article><p>a <math><mi>x</mi><mo>+</mo></math> b</article>")]) == {1: "no tags at all", 2: "", 3: "a x+ b"}
+    frame = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_extract.main_text(frame).count() == 0
+    rows = spark.createDataFrame([(1, "http://h/", "<p>one</p>"), (1, "http://h/", "<p>two</p>"), (None, None, "<p>three</p>")], "page_id long, url string, html string").selectExpr("*", "'x' as text", "'y' as host", "'z' as role", "1 as salt")
+    assert sorted(r.text for r in html_extract.main_text(rows).collect()) == ["one", "three", "two"]
+
+
+def test_alignment():
+    a, b = list("xaybzbq"), list("aybbqx")
+    pairs = html_extract.matches(a, b)
+    assert all(a[i] == b[j] for i, j in pairs) and [x for x, _ in pairs] == sorted({x for x, _ in pairs}) and [y for _, y in pairs] == sorted({y for _, y in pairs})
+    assert "".join(a[i] for i, _ in pairs) == "aybbq"
+    html_extract.align([[f"p{i % 50}", True, False, False, 1, 1, 0] for i in range(4000)], [[f"p{i % 47}", True, False, False, 1, 1, 0] for i in range(4000)])
