@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, decontaminate, html_extract, language_id, line_dedup, lm_score, ngram_join, suffix_dedup, token_counts
+from . import ann, byte_bpe, decontaminate, html_extract, language_id, line_dedup, lm_score, ngram_join, oracles, suffix_dedup, token_counts
 from .common import crc, table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -71,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_suffix_dedup": oracles.SUFFIX_DEDUP, "op8_ngram_join": oracles.NGRAM_JOIN}
