@@ -21,12 +21,18 @@ MACROS = {
         "extract": lambda x, pattern, group: f"regexp_extract({x}, r'{pattern}', {group})",
         "series": lambda low, high: f"explode(sequence(cast({low} as bigint), cast({high} as bigint)))",
         "lines": lambda x: f"explode(split({x}, '\\n', -1))",
+        "numbered": lambda x: f"posexplode(split({x}, '\\n', -1)) as (n, line)",
+        "matches": lambda x, pattern: f"{x} rlike r'{pattern}'",
+        "sha": lambda x: f"sha2({x}, 256)",
     },
     "duckdb": {
         "chain": lambda x, sep, order: f"string_agg({x}, '{sep}' order by {order})",
         "extract": lambda x, pattern, group: f"regexp_extract({x}, '{pattern}', {group})",
         "series": lambda low, high: f"unnest(generate_series(cast({low} as bigint), cast({high} as bigint)))",
         "lines": lambda x: f"unnest(string_split({x}, chr(10)))",
+        "numbered": lambda x: f"generate_subscripts(string_split({x}, chr(10)), 1) - 1 as n, unnest(string_split({x}, chr(10))) as line",
+        "matches": lambda x, pattern: f"regexp_matches({x}, '{pattern}')",
+        "sha": lambda x: f"sha256({x})",
     },
 }
 

@@ -56,3 +56,39 @@ from orders""")
 plan("iteration", """
 select user_id as query, row_number() over (partition by user_id order by ts, event_id) as iteration, cast(floor(value) as bigint) as result_count, event_type
 from events""")
+
+plan("code_point", """
+select path_id, pos, file as file_path, line, case when line % 17 = 0 then '' else fn end as fn, var as variable, sc, ec, code as related_code,
+       case line % 5 when 0 then 'static int run(char *' || var || ', int n)' when 1 then 'x = ' || var || ' + 1;' when 2 then '  go(' || var || ');' when 3 then 'return )' || var || '(;' else 'void ' || var || ' (int q) {' end as line_code,
+       case pos % 5 when 0 then null when 1 then '... = ...' when 2 then ' *call to get ' when 3 then '[summary param] x' else var end as semantic_label
+from flow_point""")
+
+plan("location", """
+select l_orderkey as result_idx, 'cpp/rule-' || cast(l_orderkey % 4 as string) as rule_id, l_suppkey % 2 as flow_idx, l_linenumber % 2 as tf_idx,
+       row_number() over (partition by l_orderkey, l_suppkey % 2, l_linenumber % 2 order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 as loc_idx,
+       case l_partkey % 3 when 0 then 'file:///' when 1 then 'file:' else '/' end || case when l_partkey % 2 = 0 then 'src/' else 'lib/' end || 's' || cast(l_suppkey % 3 as string) || '.c' as uri,
+       (l_partkey * 7) % 560 as line, cast(l_linenumber as bigint) as sc, cast(l_linenumber as bigint) + cast(l_quantity as bigint) as ec, l_returnflag as label
+from lineitem""")
+
+plan("source_line", "select 'd' || cast(doc_id as string) || '.c' as file, n + 1 as line, line as text from (select doc_id, @numbered(text)@ from documents where text is not null) x")
+
+plan("block", """
+select fn, b as block, cast(sl as string) || '.1_' || cast(el as string) || '.9' as bb_id, sl, cast(1 as bigint) as sc, el, cast(9 as bigint) as ec, is_entry, is_exit
+from (select fn, block as b, block * 10 as sl, block * 10 + case when block % 5 = 4 then -3 else block % 4 * 6 + 2 end as el, is_entry, is_exit from bb_flags) x""")
+
+plan("block_point", "select distinct user_id - user_id % 4 as fn, event_id % 140 as line from events")
+plan("macro_use", "select s_suppkey as ordinal, 'g' || cast(s_suppkey % 90 as string) as name, case when s_suppkey % 2 = 0 then 'src/' else 'lib/' end || 's' || cast(s_suppkey % 3 as string) || '.c' as use_file, 's' || cast(s_suppkey % 3 as string) || '.c' as base, s_suppkey * 37 % 500 as use_line, 'inc/m' || cast(s_suppkey % 7 as string) || '.h' as def_file, 'm' || cast(s_suppkey % 5 as string) as body from supplier")
+plan("requested_symbol", "select event_id as site, case event_id % 9 when 0 then '' when 1 then 'util/g1.c' when 2 then 'g1.h' when 3 then 'ns::g' || cast(event_id % 60 as string) when 4 then '9g' when 5 then 'std::move' when 6 then '__builtin_expect' when 7 then 'strlen' else 'g' || cast(event_id % 60 as string) end as name, 's' || cast(user_id % 3 as string) || '.c' as base, case when user_id % 2 = 0 then 'src/' else 'lib/' end as dir, event_id % 500 as line from events")
+plan("library_name", "select 'strlen' as name union all select 'memcpy' as name union all select 'sqrt' as name")
+plan("alert", "select event_id as site, 'src' || cast(user_id % 20 as string) as file, event_id % 1000 as line, cast(user_id as bigint) as flow, event_id as pos from events")
+plan("probe", "select c_custkey as ordinal, 'cwe' || cast(c_custkey % 5 as string) as cwe_code, cast(c_custkey % 40 as string) as variable_name, md5(cast(c_custkey as string)) as chain_hash, case when c_custkey % 3 = 0 then '0' else md5('b' || cast(c_custkey as string)) end as backward_hash, '0' as forward_hash, 'p' as project, case c_custkey % 3 when 0 then 'F' when 1 then 'O' else 'P' end as analysis_type from customer")
+plan("recorded_result", "select o_orderkey as ordinal, case o_orderstatus when 'F' then true when 'O' then false end as fp, substr(o_orderpriority, 3) as level from orders")
+plan("token_row", "select event_type as model_name, cast(floor(value) as bigint) as prompt_tokens, event_id as ordinal from events")
+plan("work_item", "select source as item, doc_id from documents")
+plan("processed_item", "select distinct d.source as item from documents d join labels b on d.doc_id = b.doc_id where b.toxic = 1")
+plan("query_text", "select doc_id as file, '@name q' || cast(doc_id as string) || case when doc_id % 3 = 0 then ' @kind problem' else ' @kind path-problem' end || ' external/cwe/cwe-' || case when doc_id % 5 = 0 then '0' else '' end || cast(20 + doc_id % 60 as string) || ' external/cwe/cwe-' || cast(doc_id % 40 + 100 as string) || case when doc_id % 4 = 0 then ' select 1' else ' from X where y select z' end as text from documents")
+plan("unit_result", """
+select segment, unit_key, usage_count, usage_count % 3 = 0 as cached, usage_count % 3 <> 0 and usage_count % 11 <> 0 as analysed,
+       case usage_count % 4 when 0 then null when 1 then true else false end as fp, case usage_count % 5 when 0 then 'HIGH' when 1 then 'medium' when 2 then 'low' when 3 then 'odd' else null end as level
+from logic_unit""")
+plan("suite_function", "select 'CWE' || cast(doc_id % 90 + 20 as string) || '_' || source || '_' || case doc_id % 7 when 0 then 'bad' when 1 then 'goodG2B' when 2 then cast(doc_id as string) when 3 then 'badSink' when 4 then 'helper' when 5 then 'Good1' else '9_good' end as fn from documents union all select '~CWE' || cast(doc_id as string) || case doc_id % 3 when 0 then '_bad' when 1 then '_good' else '_12' end as fn from documents")
