@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import graphs, paths, predicates, symbols  # noqa: F401  (their plans register on import)
+from .operators import assembly, graphs, lookups, paths, predicates, symbols  # noqa: F401  (their plans register on import)
 from .plans import demo  # noqa: F401
 from .plans.core import PLANS, compile_sql, run
 

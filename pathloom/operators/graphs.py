@@ -140,13 +140,12 @@ def enumerate_paths(edges: DataFrame, target: int | None = None, max_depth: int
 
 def classify_constraints(paths: DataFrame) -> DataFrame:
     """(fn, target, block, branch, count, total, kind): dominator if on all paths, must_take if the only branch of its block, else optional."""
-    paths.createOrReplaceTempView("__paths")
     return paths.sparkSession.sql("""
-        with c as (select fn, target, path, explode(array_distinct(split(constraints, ','))) as c from __paths where constraints <> ''),
-             t as (select fn, target, count(*) as total from __paths group by fn, target),
+        with c as (select fn, target, path, explode(array_distinct(split(constraints, ','))) as c from {paths} where constraints <> ''),
+             t as (select fn, target, count(*) as total from {paths} group by fn, target),
              g as (select c.fn, c.target, cast(split(c, ':')[0] as bigint) as block, split(c, ':')[1] as branch, count(*) as n from c group by 1, 2, 3, 4)
         select g.fn, g.target, g.block, g.branch, g.n, t.total, case when g.n = t.total then 'dominator' when count(*) over (partition by g.fn, g.target, g.block) = 1 then 'must_take' else 'optional' end as kind
-        from g join t on t.fn = g.fn and t.target = g.target""")
+        from g join t on t.fn = g.fn and t.target = g.target""", paths=paths)
 
 
 def unroll(edges: DataFrame) -> DataFrame:

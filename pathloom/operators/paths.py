@@ -106,7 +106,11 @@ select segment, unit_key, usage_count, row_number() over (partition by segment o
        case when segment = 'intermediate' then 2 else 1 end as phase
 from logic_unit""")
 
-plan("top_units", "select segment, unit_key, usage_count, variable, is_virtual, reuse_units, reuse_paths from (select u.*, row_number() over (partition by u.segment order by u.usage_count desc, u.unit_key) as k, count(*) over (partition by u.segment) as reuse_units, sum(u.usage_count) over (partition by u.segment) as reuse_paths from logic_unit u) x where k <= 10")
+plan("top_units", """
+select x.segment, x.unit_key, x.usage_count, x.variable, x.is_virtual, t.reuse_units, t.reuse_paths
+from (select segment, unit_key, usage_count, variable, is_virtual, row_number() over (partition by segment order by usage_count desc, unit_key) as k from logic_unit) x
+join (select segment, count(*) as reuse_units, sum(usage_count) as reuse_paths from logic_unit group by segment) t on t.segment = x.segment
+where x.k <= 10""")
 
 plan("relation_counts", "select segment, relation, count(*) as n from full_segment group by segment, relation")
 plan("segment_patterns", """
@@ -128,25 +132,25 @@ group by kind, src, dst""")
 plan("unit_contexts", "select distinct i_key, coalesce(b_key, 'none') as b_key, coalesce(f_key, 'none') as f_key from decomposition where i_key is not null and (b_key is not null or f_key is not null)")
 plan("primary_context", "select i_key, min(b_key || '|' || f_key) as context, count(*) as contexts from unit_contexts group by i_key")
 plan("high_degree", """
-select unit, degree from (
-  select unit, sum(d) as degree, row_number() over (order by sum(d) desc, unit) as k
-  from (select src as unit, count(*) as d from connection_edge group by src union all select dst as unit, count(*) as d from connection_edge group by dst) x
-  group by unit having sum(d) > 2) y where k <= 5""")
+select unit, sum(d) as degree
+from (select src as unit, count(*) as d from connection_edge group by src union all select dst as unit, count(*) as d from connection_edge group by dst) x
+group by unit having sum(d) > 2 order by degree desc, unit limit 5""")
 plan("connection_patterns", """
 select case when b_key is not null and i_key is not null and f_key is not null then 'B-I-F' when b_key is not null and i_key is not null then 'B-I' when i_key is not null and f_key is not null then 'I-F'
             when b_key is not null and f_key is not null then 'B-F' when b_key is not null then 'B' when i_key is not null then 'I' else 'F' end as pattern, count(*) as paths
 from decomposition group by 1""")
+# Units of one usage count are alike, so running sums go over the distinct counts: a unit's rank is in one of these steps.
+plan("usage_step", """
+select segment, usage_count, units, coalesce(sum(units) over b, 0) as units_before, coalesce(sum(units * usage_count) over b, 0) as paths_before, sum(units) over (partition by segment) as n, sum(units * usage_count) over (partition by segment) as total
+from (select segment, usage_count, count(*) as units from logic_unit group by segment, usage_count) x
+window b as (partition by segment order by usage_count desc rows between unbounded preceding and 1 preceding)""")
 plan("coverage", """
-select r.segment, t.decile, cast(coalesce(max(case when r.k <= floor(t.decile / 100.0 * r.n) then r.running end), 0) as double) / max(r.total) * 100 as coverage
-from (select segment, usage_count, row_number() over (partition by segment order by usage_count desc, unit_key) as k, count(*) over (partition by segment) as n, sum(usage_count) over (partition by segment) as total,
-             sum(usage_count) over (partition by segment order by usage_count desc, unit_key rows between unbounded preceding and current row) as running from logic_unit) r
-cross join (select d * 10 as decile from (select @series(0¦10)@ as d) z) t
-group by r.segment, t.decile""")
+select segment, decile, cast(coalesce(max(case when take > units_before then paths_before + least(units, take - units_before) * usage_count end), 0) as double) / max(total) * 100 as coverage
+from (select s.*, t.decile, cast(floor(t.decile / 100.0 * s.n) as bigint) as take from usage_step s cross join (select d * 10 as decile from (select @series(0¦10)@ as d) z) t) x
+group by segment, decile""")
 plan("pareto", """
-select segment, min(k) as units_for_80, max(n) as units from (
-  select segment, row_number() over (partition by segment order by usage_count desc, unit_key) as k, count(*) over (partition by segment) as n,
-         sum(usage_count) over (partition by segment order by usage_count desc, unit_key rows between unbounded preceding and current row) as running, sum(usage_count) over (partition by segment) as total
-  from logic_unit) x where running * 100 >= total * 80 group by segment""")
+select segment, min(units_before + greatest(1, cast(floor((total * 80 - paths_before * 100 + usage_count * 100 - 1) / (usage_count * 100)) as bigint))) as units_for_80, max(n) as units
+from usage_step where (paths_before + units * usage_count) * 100 >= total * 80 group by segment""")
 
 plan("point_set", """
 select path_id, segment, unit_key, fn, @chain(cast(line as string) || ':' || cast(sc as string) || ':' || cast(ec as string)¦,¦pk)@ as points, count(*) as n_points
@@ -161,13 +165,23 @@ join logic_unit u on u.segment = a.segment and u.unit_key = a.unit_key
 where a.distinct_sets + case when a.paths < u.usage_count then 1 else 0 end > 1""")
 plan("variant_paths", "select segment, unit_key, fn, points, count(*) as paths, min(path_id) as first_path from point_set group by segment, unit_key, fn, points")
 plan("constraint_row", """
-select segment, unit_key, fn, points as variant, f_line as line, case when relation = 'CALL' then 'TRUE' else 'FALSE' end as branch, case when f_line % 3 = 0 then 'may' else 'must' end as kind
+select segment, unit_key, fn, points as variant, f_line as line, case when relation = 'CALL' then 'TRUE' else 'FALSE' end as branch, case when (f_line + length(points)) % 3 = 0 then 'may' else 'must' end as kind
 from (select distinct s.segment, s.unit_key, s.fn, s.points, q.f_line, q.relation from point_set s join full_segment q on q.path_id = s.path_id and q.segment = s.segment and q.f_id = s.fn) x""")
+# Rows of one key may stand in must and in may; a variant without the function counts and has no constraints.
+plan("variant_count", """
+select a.segment, a.unit_key, a.fn, a.sets + case when a.paths < u.usage_count then 1 else 0 end as n
+from (select segment, unit_key, fn, count(distinct points) as sets, count(distinct path_id) as paths from point_set group by segment, unit_key, fn) a
+join logic_unit u on u.segment = a.segment and u.unit_key = a.unit_key""")
+plan("must_constraint", """
+select r.segment, r.unit_key, r.fn, r.line, r.branch, count(distinct r.variant) as c, max(v.n) as n
+from constraint_row r join variant_count v on v.segment = r.segment and v.unit_key = r.unit_key and v.fn = r.fn
+where r.kind = 'must' group by r.segment, r.unit_key, r.fn, r.line, r.branch""")
 plan("merged_constraint", """
-select segment, unit_key, fn, line, branch, case when kind = 'must' and c = n then 'must' else 'may' end as kind, kind = 'must' and c < n as demoted_from_must, case when kind = 'must' and c < n then cast(c as double) / n end as coverage
-from (select r.segment, r.unit_key, r.fn, r.line, r.branch, min(r.kind) as low, max(r.kind) as kind, count(distinct case when r.kind = 'must' then r.variant end) as c, max(v.n) as n
-      from constraint_row r join (select segment, unit_key, fn, count(distinct points) as n from point_set group by segment, unit_key, fn) v on v.segment = r.segment and v.unit_key = r.unit_key and v.fn = r.fn
-      group by r.segment, r.unit_key, r.fn, r.line, r.branch) m""")
+select segment, unit_key, fn, line, branch, case when c = n then 'must' else 'may' end as kind, c < n as demoted_from_must, case when c < n then cast(c as double) / n end as coverage from must_constraint
+union all
+select o.segment, o.unit_key, o.fn, o.line, o.branch, 'may' as kind, false as demoted_from_must, cast(null as double) as coverage
+from (select distinct segment, unit_key, fn, line, branch from constraint_row where kind = 'may') o
+where not exists (select 1 from must_constraint m where m.segment = o.segment and m.unit_key = o.unit_key and m.fn = o.fn and m.line = o.line and m.branch = o.branch and m.c < m.n)""")
 plan("merged_points", """
 select path_id, island, min(pos) as first_pos, max(pos) as last_pos, count(*) as points, max(fn) as fn from (
   select *, sum(case when fn = before then 0 else 1 end) over (partition by path_id order by pos rows between unbounded preceding and current row) as island

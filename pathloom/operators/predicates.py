@@ -51,5 +51,5 @@ from (select fn, trim(fn) as c from suite_function) x""")
 plan("suite_totals", "select count(distinct case when kind = 'bad' and lower(fn) like '%bad%' then fn end) as bad_functions, count(distinct case when kind = 'good' and lower(fn) like '%good%' then fn end) as good_functions from strict_kind")
 plan("keyword_groups", "select result_idx, flow_idx, tf_idx, max(case when contains(lower(uri), 'lib') or contains(lower(label), 'a') then 1 else 0 end) = 1 as mentions from location group by result_idx, flow_idx, tf_idx")
 plan("adjusted_start", """
-select f.file, f.start_line, coalesce(max(case when trim(s.text) = '' or trim(s.text) = '}' then s.line end) + 1, f.start_line) as adjusted
-from (select distinct file, line as start_line from source_line where line % 5 = 0) f left join source_line s on s.file = f.file and s.line < f.start_line group by f.file, f.start_line""")
+select file, line as start_line, coalesce(boundary + 1, line) as adjusted
+from (select file, line, max(case when trim(text) = '' or trim(text) = '}' then line end) over (partition by file order by line rows between unbounded preceding and 1 preceding) as boundary from source_line) x where line % 5 = 0""")

@@ -5,7 +5,7 @@ from ..plans.core import plan
 # Files are cut into bins of 64 lines; an ordinal names one definition, so the first one is found by partial minima.
 plan("enclosing_function", """
 select b.site, b.line, f.name, f.qname, f.start_line, f.end_line
-from (select u.site, u.line, coalesce(min(case when f.file_path = u.file_path then f.ordinal end), min(f.ordinal)) as ordinal
+from (select u.site, u.line, coalesce(min(case when right(f.file_path, length(u.file_path)) = u.file_path or right(u.file_path, length(f.file_path)) = f.file_path then f.ordinal end), min(f.ordinal)) as ordinal
       from use_site u join (select d.ordinal, d.file_path, d.base, d.start_line, d.end_line, @series(floor(d.start_line / 64)¦floor(d.end_line / 64))@ as bin from function_def d) f
         on f.base = u.base and f.bin = cast(floor(u.line / 64) as bigint) and u.line between f.start_line and f.end_line
       group by u.site, u.line) b
@@ -32,7 +32,7 @@ plan("nearest_label", """
 select site, kind, off from (
   select u.site, l.kind, l.line - u.line as off,
          row_number() over (partition by u.site order by abs(l.line - u.line), case when l.line > u.line then 0 else 1 end, l.ordinal) as k
-  from (select event_id as site, event_id % 1000 as line, 'src' || cast(user_id % 20 as string) as file from events) u
+  from alert u
   join (select b.ordinal, b.file, b.line, b.kind, b.line + o.d as probe from labelled_function b cross join (select @series(-5¦5)@ as d) o) l on l.file = u.file and l.probe = u.line) x
 where k = 1""")
 plan("evaluation", """
@@ -41,7 +41,7 @@ select tp, fp, total_bad, total_good, case when total_bad = 0 then 0.0 else cast
        case when total_good = 0 then 0.0 else cast(fp as double) / total_good * 100 end as fpr
 from (select count(distinct case when kind = 'bad' and hit then file || '/' || fn end) as tp, count(distinct case when kind = 'good' and hit then file || '/' || fn end) as fp,
              count(distinct case when kind = 'bad' then file || '/' || fn end) as total_bad, count(distinct case when kind = 'good' then file || '/' || fn end) as total_good
-      from (select *, line % 4 = 0 as hit from labelled_function) a) b""")
+      from (select l.*, a.line is not null as hit from labelled_function l left join (select distinct file, line from alert) a on a.file = l.file and a.line = l.line) x) b""")
 plan("function_kinds", """
 select case when lower(fn || '_' || kind) like '%bad%' then 'bad' when lower(fn || '_' || kind) like '%good%' then 'good' else 'unknown' end as kind, count(*) as functions, count(distinct file) as files
 from labelled_function group by 1""")
@@ -50,14 +50,14 @@ select analysis_type, cwe_code, variable_name, chain_hash, backward_hash, result
   select *, row_number() over (partition by analysis_type, cwe_code, variable_name, chain_hash, backward_hash order by ordinal desc) as k from cache_row) x where k = 1""")
 plan("cache_probe", """
 select count(*) as asked, count(c.result) as hits, cast(count(c.result) as double) / greatest(1, count(*)) as hit_rate
-from (select c_custkey, 'cwe' || cast(c_custkey % 5 as string) as cwe_code, cast(c_custkey % 40 as string) as variable_name, md5(cast(c_custkey as string)) as chain_hash from customer) q
+from probe q
 left join (select cwe_code, variable_name, chain_hash, max(result) as result from cache_latest where analysis_type = 'F' group by cwe_code, variable_name, chain_hash) c
   on c.cwe_code = q.cwe_code and c.variable_name = q.variable_name and c.chain_hash = q.chain_hash""")
 plan("verdict", """
 select ordinal, case when fp is null then false else not fp end as vulnerable,
        case when fp is null then 0.0 when lower(level) = 'high' then 0.9 when lower(level) = 'medium' then 0.6 when lower(level) = 'low' then 0.3 else 0.5 end as confidence,
        case when fp is null then 'Unknown' when fp then 'False Positive' else 'Confirmed Vulnerability' end as verdict_type
-from (select o_orderkey as ordinal, case o_orderstatus when 'F' then true when 'O' then false end as fp, substr(o_orderpriority, 3) as level from orders) x""")
+from recorded_result x""")
 plan("batch_summary", """
 select count(*) as paths, count(case when vulnerable then 1 end) as detected, cast(count(case when vulnerable then 1 end) as double) / greatest(1, count(*)) as detection_rate, count(case when verdict_type = 'Unknown' then 1 end) as unknown_paths from verdict""")
 plan("validation_category", """
@@ -68,11 +68,11 @@ plan("early_stop", """
 select query, iteration, case when result_count > 1000 then 'explosion' when p2 is not null and result_count = p1 and p1 = p2 then 'convergence' when p2 is not null and result_count = p2 and result_count <> p1 then 'oscillation' else 'continue' end as decision
 from (select *, lag(result_count, 1) over w as p1, lag(result_count, 2) over w as p2 from iteration window w as (partition by query order by iteration)) x""")
 plan("iteration_report", "select query, count(*) as iterations, min_by(result_count, iteration) as first_count, max_by(result_count, iteration) as last_count, max_by(result_count, iteration) - min_by(result_count, iteration) as delta, max(result_count) as best from iteration group by query")
-plan("token_usage", "select event_type as model_name, count(*) as calls, sum(cast(floor(value) as bigint)) as prompt_tokens, max(cast(floor(value) as bigint)) as largest from events group by event_type")
-plan("result_distribution", "select file, n from (select file, n, row_number() over (order by n desc, file) as k from (select source as file, count(*) as n from documents group by source) a) b where k <= 10")
-plan("concentration", "select sum(n * (total_rows + 1 - 2 * k)) as weighted, max(total_rows) as groups_n, sum(n) as total from (select n, row_number() over (order by n desc, source) as k, count(*) over () as total_rows from (select source, count(*) as n from documents group by source) a) b")
-plan("related_code_lines", "select doc_id, count(*) as code_lines, min(length(line)) as shortest from (select doc_id, @lines(text)@ as line from documents) x where line <> '' group by doc_id")
-plan("next_work", "select distinct l.source from documents l where not exists (select 1 from (select source from documents d join labels b on d.doc_id = b.doc_id where b.toxic = 1) t where t.source = l.source)")
+plan("token_usage", "select model_name, count(*) as calls, sum(prompt_tokens) as prompt_tokens, max(prompt_tokens) as largest from token_row group by model_name")
+plan("result_distribution", "select item as file, count(*) as n from work_item group by item order by n desc, file limit 10")
+plan("concentration", "select sum(n * (total_rows + 1 - 2 * k)) as weighted, max(total_rows) as groups_n, sum(n) as total from (select n, row_number() over (order by n desc, item) as k, count(*) over () as total_rows from (select item, count(*) as n from work_item group by item) a) b")
+plan("related_code_lines", "select file, count(*) as code_lines, min(length(text)) as shortest from source_line where text <> '' group by file")
+plan("next_work", "select distinct l.item from work_item l where not exists (select 1 from processed_item t where t.item = l.item)")
 plan("uncached_functions", "select d.base, d.name from distinct_functions d where not exists (select 1 from macro_def m where m.base = d.base and m.name = d.name)")
 plan("clean_uri", "select page_id, @extract(url¦^[a-z]+://([^/]+)¦1)@ as host, replace(replace(url, 'https://', ''), 'http://', '') as path from pages")
 

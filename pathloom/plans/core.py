@@ -66,7 +66,7 @@ def compile_sql(name: str, dialect: str, tables: set[str] = frozenset()) -> str:
 
 #: Plans that others read more than once.  Spark would compute them anew for each
 #: reader, so they are written as tables once and read from there.
-SHARED = ("flow_point", "step", "call_edge", "related_step", "cross_step", "depth", "lca", "cut", "segment_step", "segment_edge", "full_segment", "segment_key", "decomposition", "path_unit", "logic_unit", "connection_edge", "point_set", "bb_edge")
+SHARED = ("flow_point", "step", "call_edge", "related_step", "cross_step", "depth", "lca", "cut", "segment_step", "segment_edge", "full_segment", "segment_key", "decomposition", "path_unit", "logic_unit", "connection_edge", "point_set", "bb_edge", "bb_flags", "resolved_location", "merged_constraint", "must_constraint", "coverage")
 
 _written: dict[tuple, DataFrame] = {}
 
@@ -75,7 +75,7 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, in a single process, a temporary folder."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         there = f"file://{tempfile.mkdtemp(prefix='pathloom-')}"
         spark.conf.set("spark.checkpoint.dir", there)
@@ -93,10 +93,25 @@ def written(spark: SparkSession, name: str, text: str, tables: dict[str, DataFra
     return _written[key]
 
 
-def forget() -> None:
+def forget(spark: SparkSession) -> None:
+    """Drops the tables written so far, files included."""
+    for df in _written.values():
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     _written.clear()
 
 
+def stamp(df: DataFrame) -> tuple:
+    """The files of a table with their sizes and times: another content under the same names is another table."""
+    spark, out = df.sparkSession, []
+    for f in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((f, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 def frame(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFrame:
     """A statement over DataFrames by name."""
     used = set(re.findall(r"(?:from|join)\s+([a-z_][a-z0-9_]*)", text, re.I))
@@ -109,7 +124,7 @@ def frame(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataF
 
 def run(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> DataFrame:
     """The plan as a DataFrame over ``tables``: base tables, or domain tables that stand in for a plan."""
-    base = tuple(sorted((k, df.semanticHash(), tuple(df.inputFiles())) for k, df in tables.items()))
+    base = tuple(sorted((k, df.semanticHash(), stamp(df)) for k, df in tables.items()))
     tables = dict(tables)
     for n in needed(PLANS[name], set(tables)):
         if n in SHARED and n != name:
