@@ -32,8 +32,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = ngram_join.join(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("copy"))
-    return docs.join(copies, docs["doc_id"] == F.col("copy"), "left_anti")
+    copies = ngram_join.join(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__pipeline_copy"))
+    return docs.join(copies, docs["doc_id"] == F.col("__pipeline_copy"), "left_anti")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import assembly, graphs, lookups, paths, predicates, symbols  # noqa: F401  (their plans register on import)
-from .plans import demo  # noqa: F401
+from .operators import assembly, graphs, lookups, paths, predicates, segment_constraints, symbols  # noqa: F401  (their plans register on import)
+from .plans import demo, round_trips  # noqa: F401
 from .plans.core import PLANS, compile_sql, run
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,8 +33,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = {name: query(name) for name in PLANS}
-    return found | {f.__name__: f for f in graphs.QUERIES}
+    return found | {f.__name__: f for f in (*graphs.QUERIES, *segment_constraints.QUERIES)} | round_trips.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: compile_sql(name, "duckdb") for name in PLANS} | graphs.oracles()
+    return {name: compile_sql(name, "duckdb") for name in PLANS} | graphs.oracles() | round_trips.oracles()

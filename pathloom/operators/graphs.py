@@ -109,33 +109,53 @@ def base(block) -> str:
     return str(block).split("_L")[0]
 
 
-def enumerate_paths(edges: DataFrame, target: int | None = None, max_depth: int = 20) -> DataFrame:
-    """(fn, target, path, constraints): paths backward from ``target``, or from every block that is no clone, in the
-    order of block ids, up to the caps.  A path ends at the entry (the smallest block) and at a block without
-    predecessors, holds a block once and a base block twice at most; constraints are the TRUE and FALSE edges
-    taken, as ``base block:branch``."""
+def walk(before: dict, entry, goal, max_depth: int, max_paths: int | None, max_calls: int | None) -> tuple[list, bool, int]:
+    """(path, branches taken) backward from a block, whether a cap ended the walk, and how often it was too deep."""
+    found, calls, deep = [], 0, 0
+    todo = [(goal, (goal,), ())]
+    while todo:
+        if max_paths is not None and len(found) >= max_paths or max_calls is not None and calls >= max_calls:
+            return found, True, deep
+        block, path, taken = todo.pop()
+        calls += 1
+        if block == entry or not before[block] and len(path) > 1:
+            found.append((path, taken))
+        if block == entry:
+            continue
+        if len(path) > 2 * max_depth:
+            deep += 1
+            continue
+        for p, t in reversed(before[block]):
+            if p not in path and sum(base(x) == base(p) for x in path) < 2:
+                todo.append((p, (*path, p), (*taken, f"{base(p)}:{t}") if t in ("TRUE", "FALSE") else taken))
+    return found, False, deep
+
+
+def enumerate_paths(edges: DataFrame, target: int | None = None, max_depth: int = 20, max_paths: int | None = MAX_PATHS, max_calls: int | None = MAX_CALLS) -> DataFrame:
+    """(fn, target, path, constraints, truncated): paths backward from ``target``, or from every block that is no clone, in
+    the order of block ids, up to the caps (None: all), which ``truncated`` tells of.  A path ends at the entry (the
+    smallest block) and at a block without predecessors, holds a block once and a base block twice at most; constraints
+    are the TRUE and FALSE edges taken, as ``base block:branch``.  A block with no path but walks that were too deep is
+    walked again at twice the depth, three times at most; after that without the blocks that unrolling added."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, _, before = adjacency(pdf)
         own = sorted((n for n in nodes if str(n) == base(n)), key=lambda n: int(base(n)))
+        plain = defaultdict(list, {n: [(p, t) for p, t in before[n] if str(p) == base(p)] for n in own})
         rows = []
         for goal in own if target is None else [n for n in own if int(n) == target]:
-            found, calls = 0, 0
-            todo = [(goal, (goal,), ())]
-            while todo and found < MAX_PATHS and calls < MAX_CALLS:
-                block, path, taken = todo.pop()
-                calls += 1
-                if block == own[0] or not before[block] and len(path) > 1:
-                    rows.append((int(goal), ">".join(map(str, path[::-1])), ",".join(taken[::-1])))
-                    found += 1
-                if block != own[0] and len(path) <= 2 * max_depth:
-                    for p, t in reversed(before[block]):
-                        if p not in path and sum(base(x) == base(p) for x in path) < 2:
-                            todo.append((p, (*path, p), (*taken, f"{base(p)}:{t}") if t in ("TRUE", "FALSE") else taken))
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        return pd.DataFrame({"fn": pd.Series([int(pdf["fn"].iloc[0])] * len(rows), dtype="int64"), "target": pd.Series(columns[0], dtype="int64"), "path": pd.Series(columns[1], dtype=object), "constraints": pd.Series(columns[2], dtype=object)})
-
-    return edges.groupBy("fn").applyInPandas(one, "fn long, target long, path string, constraints string")
+            depth = max_depth
+            found, cut, deep = walk(before, own[0], goal, depth, max_paths, max_calls)
+            while deep and not found and depth < 8 * max_depth:
+                depth *= 2
+                found, cut, deep = walk(before, own[0], goal, depth, max_paths, max_calls)
+            if deep >= 10 and len(found) < 10:
+                found, cut, _ = walk(plain, own[0], goal, depth, max_paths, max_calls)
+            rows += [(int(goal), ">".join(map(str, p[::-1])), ",".join(t[::-1]), cut) for p, t in found]
+        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        return pd.DataFrame({"fn": pd.Series([int(pdf["fn"].iloc[0])] * len(rows), dtype="int64"), "target": pd.Series(columns[0], dtype="int64"), "path": pd.Series(columns[1], dtype=object), "constraints": pd.Series(columns[2], dtype=object), "truncated": pd.Series(columns[3], dtype=bool)})
+
+    return edges.groupBy("fn").applyInPandas(one, "fn long, target long, path string, constraints string, truncated boolean")
 
 
 def classify_constraints(paths: DataFrame) -> DataFrame:
@@ -223,5 +243,16 @@ def _components_sql() -> str:
     return _closure_sql().replace("select fn, src, dst from c", "select n.fn, n.block, least(n.block, coalesce(min(a.dst), n.block)) as component from (select fn, src as block from e union select fn, dst as block from e) n left join (select x.fn, x.src, x.dst from c x join c y on y.fn = x.fn and y.src = x.dst and y.dst = x.src) a on a.fn = n.fn and a.src = n.block group by n.fn, n.block")
 
 
+def _dominators_sql() -> str:
+    """A block dominates those that the entry can't reach without it."""
+    return "with recursive e as (" + compile_sql("bb_edge", "duckdb") + """),
+    entry as (select fn, min(least(src, dst)) as b from e group by fn),
+    r as (select fn, b as n from entry union select r.fn, e.dst from r join e on e.fn = r.fn and e.src = r.n),
+    rd as (select i.fn, x.n as d, i.b as n from entry i join r x on x.fn = i.fn where x.n <> i.b union select rd.fn, rd.d, e.dst from rd join e on e.fn = rd.fn and e.src = rd.n where e.dst <> rd.d),
+    dom as (select r.fn, r.n as block, d.n as dominator from r join r d on d.fn = r.fn left join rd on rd.fn = r.fn and rd.d = d.n and rd.n = r.n where rd.n is null),
+    c as (select fn, block, count(*) as n from dom group by fn, block)
+    select dom.fn, dom.block, dom.dominator, dom.block <> dom.dominator and x.n = y.n + 1 as immediate from dom join c x on x.fn = dom.fn and x.block = dom.block join c y on y.fn = dom.fn and y.block = dom.dominator"""
+
+
 def oracles() -> dict[str, str]:
-    return {"cfg_closure": _closure_sql(), "cfg_components": _components_sql()}
+    return {"cfg_closure": _closure_sql(), "cfg_components": _components_sql(), "cfg_dominators": _dominators_sql()}

@@ -28,7 +28,16 @@ def clean_uri(uri: F.Column) -> F.Column:
 
 def sarif(spark: SparkSession, path: str, all_runs: bool = False) -> DataFrame:
     """A row a location of a thread flow; locations without a place are left out, missing numbers are 0."""
-    doc = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.from_json("value", SARIF).alias("d"))
+    return locations(spark.read.text(path, wholetext=True), all_runs)
+
+
+def sarif_lines(spark: SparkSession, path: str, all_runs: bool = False) -> DataFrame:
+    """The same of files that hold a document a line."""
+    return locations(spark.read.text(path), all_runs)
+
+
+def locations(texts: DataFrame, all_runs: bool = False) -> DataFrame:
+    doc = texts.select(F.input_file_name().alias("source"), F.from_json("value", SARIF).alias("d"))
     runs = doc.select("source", F.posexplode("d.runs").alias("run_idx", "run"))
     if not all_runs:
         runs = runs.where("run_idx = 0")
@@ -54,7 +63,7 @@ def symbols(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A symbol table; rows that are short or without a name are left out."""
     schema = SYMBOLS[kind]
     last = schema.split(",")[-1].split()[0]
-    return spark.read.csv(path, header=True, schema=schema, enforceSchema=True).where(f"name is not null and name <> '' and {last} is not null")
+    return spark.read.csv(path, header=True, schema=schema, enforceSchema=True, escape='"').where(f"name is not null and name <> '' and {last} is not null")
 
 
 def source_lines(spark: SparkSession, path: str) -> DataFrame:
