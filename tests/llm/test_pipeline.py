@@ -3,7 +3,6 @@
 import hashlib
 import re
 import struct
-from collections import defaultdict
 
 import public_tokenizers as P
 import pytest
@@ -12,7 +11,8 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pathloom.llm import byte_bpe, common, language_id, line_dedup
+from pathloom.llm import byte_bpe, common, language_id
+from test_line_dedup import brute
 
 SF = "/root/testdata/sf0.001"
 ODD = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "12 34")]
@@ -34,23 +34,9 @@ def language(rows, items, dictionaries):
 
 
 def lines(rows, items, _):
-    def cut(text):
-        return [x.strip() for x in text.split("\n")]
-
-    held = defaultdict(set)
-    for i, text in rows.items():
-        for x in cut(text):
-            if x:
-                held[x].add(i)
-    gone, pairs = defaultdict(set), set()
-    for x in held.values():
-        pairs |= {(min(x), b) for b in x} | ({(a, b) for a in x for b in x} if len(x) <= line_dedup.RARE else set())
-    for a, b in pairs:
-        if a < b:
-            left, right = ([(n, x, len(x.split())) for n, x in enumerate(cut(rows[k])) if x and len(held[x]) > 1] for k in (a, b))
-            gone[b] |= set(line_dedup.deleted(left, right, line_dedup.BLOCK_WORDS))
-    kept = {i: "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone[i]) for i, text in rows.items()}
-    return {i: t for i, t in kept.items() if t.split() or not gone[i]}
+    """All pairs, by the independent alignment of the line test."""
+    kept = {i: (t, n) for i, t, n in brute(sorted(rows.items(), key=str))}
+    return {i: t for i, (t, n) in kept.items() if not n or t.split()}
 
 
 def copies(rows, items, _):
