@@ -52,6 +52,8 @@ WORDS = 5
 ROUNDS = 4
 #: Documents that a list names in a round but the first.
 NAMED = 6
+#: Bytes of text of a block: what a Python worker holds grows with it.
+BLOCK_BYTES = 4 << 20
 #: A link needs 100 I >= PERCENT U.
 PERCENT = 80
 
@@ -69,10 +71,14 @@ def shingle_sets(texts, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
         for i in range(width):
             value = common.mix(value ^ h[starts + i]) * np.uint64(0xE7037ED1A0B428DB)
         values.append(common.mix(value))
-        owner.append(np.repeat(docs, count[docs] - width + 1))
+        owner.append(np.repeat(docs.astype(np.int32), count[docs] - width + 1))
+        del starts, value
+    del coded, h
     value, doc = np.concatenate(values), np.concatenate(owner)
+    del values, owner
     order = np.lexsort((value, doc))
     value, doc = value[order], doc[order]
+    del order
     new = np.ones(len(value), dtype=bool)
     new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
     value, doc = value[new], doc[new]
@@ -98,9 +104,10 @@ def shared_sets(docs: DataFrame, id_col: str, text_col: str, k: int, block_bytes
                 b = bucket_of(keys, buckets)
                 order = np.argsort(b, kind="stable")
                 ends = np.searchsorted(b[order], np.arange(buckets + 1))
+                del value
                 out = [(int(i), common.pack_arrays(trim(keys[p]).ravel(), np.minimum(counts[p], 255).astype(np.uint8))) for i in np.flatnonzero(np.diff(ends)) for p in [order[ends[i] : ends[i + 1]]]]
                 yield pd.DataFrame({"block": pd.Series([block] * len(out), dtype="int64"), "bucket": pd.Series([i for i, _ in out], dtype="int32"), "keys": [g for _, g in out]})
-                del value, keys, counts, b, order, ends, out
+                del keys, counts, b, order, ends, out
                 common.release()
 
     def lengths(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -205,7 +212,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 FITS = "5 * least(n, m) >= 4 * greatest(n, m)"
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, rounds: int = ROUNDS, block_bytes: int = common.BLOCK_BYTES) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
     spark = docs.sparkSession
     sets = shared_sets(docs, id_col, text_col, k, block_bytes)
