@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pathloom.llm import byte_bpe, common, decontaminate, language_id, line_dedup, ngram_join
 from pathloom.llm.registry import BYTE_BPE
 
+#: Bytes of text that a worker of the last stage encodes at once; the stages before have filled the executors.
+BLOCK_BYTES = 4 << 20
 #: A text is rejected if the two best languages are nearer than this share of the size.
 MIN_MARGIN = 0.0005
 
@@ -42,7 +44,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
-    coded = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    coded = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN, block_bytes=BLOCK_BYTES), path)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
