@@ -26,7 +26,7 @@ plan("rows_suite", "select distinct 's' || cast(ordinal as string) || '.c' as fi
 plan("rows_history", "select query, iteration, result_count, category from validation_category")
 plan("rows_sarif", "select l.result_idx, l.rule_id, l.flow_idx, l.tf_idx, l.loc_idx, u.path as uri, l.line, l.sc, l.ec, l.label from location l join uri_clean u on u.result_idx = l.result_idx and u.flow_idx = l.flow_idx and u.tf_idx = l.tf_idx and u.loc_idx = l.loc_idx")
 plan("rows_query_files", "select distinct file, cast(cwe as int) as cwe from (select 'q' || cast(doc as string) || '.ql' as file, @extract(text¦external/cwe/cwe-0*([0-9]+)¦1)@ as cwe from (select file as doc, text from query_text where text like '%path-problem%') a union all select 'q' || cast(doc as string) || '.ql' as file, @extract(text¦cwe-[0-9]+ external/cwe/cwe-0*([0-9]+)¦1)@ as cwe from (select file as doc, text from query_text where text like '%path-problem%') b) x")
-plan("rows_resolved", "select r.uri, case when count(f.file_path) = 1 then min(f.file_path) end as resolved, count(f.file_path) as matches from (select distinct uri, regexp_replace(uri, '^file:/?', '') as clean from location) r left join (select distinct file_path from function_def union select 'old/' || file_path as file_path from function_def where ordinal % 40 = 0) f on f.file_path = ltrim(r.clean, '/') or f.file_path like '%/' || ltrim(r.clean, '/') group by r.uri")
+plan("rows_resolved", "select r.uri, case when count(f.file_path) = 1 then min(f.file_path) end as resolved, count(f.file_path) as matches from (select distinct uri, regexp_replace(regexp_replace(uri, '^file:/?', ''), '^/+', '') as clean from location) r left join (select distinct file_path from function_def union select 'old/' || file_path as file_path from function_def where ordinal % 40 = 0) f on f.file_path = r.clean or f.file_path like '%/' || r.clean group by r.uri")
 plan("rows_located", "select distinct file_path as asked, 'src/' || file_path as file from (select 'a/' || base as file_path from function_def) x")
 plan("rows_token_csv", "select model_name, prompt_tokens, cast(0 as int) as place from token_row union all select 'TOTAL' as model_name, sum(prompt_tokens) as prompt_tokens, cast(1 as int) as place from token_row")
 plan("rows_debug_segments", "select path_id, segment, steps, skey from (select path_id, segment, steps, skey, row_number() over (partition by segment order by path_id) as k from segment_key) x where k <= 1000")
