@@ -141,6 +141,16 @@ def text_number(text: F.Column) -> F.Column:
     return F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit((1 << 32) - 1)), PLACE_BITS)
 
 
+def ranked(held: DataFrame) -> DataFrame:
+    """(w, doc, rank): the place of each document among the holders of a window, from 1.  The holders of a frequent
+    window are cut into ranges of ids, each counted and ranked by itself."""
+    ranges = common.materialise(held.repartitionByRange("w", "doc").withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy("w").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("w", "range").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("w", "range").orderBy("doc"))
+    return ranges.join(sizes.select("w", "range", "before").hint("merge"), ["w", "range"]).select("w", "doc", (F.col("before") + own).alias("rank"))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, block_words: int = BLOCK_WORDS, added: tuple[str, str, str, str] = ADDED) -> DataFrame:
     """``docs`` with its columns and the ``added`` ones: kept text, numbers of lines and of deleted lines, emptied."""
     common.bounded_batches(docs.sparkSession, BATCH_MB)
@@ -207,8 +217,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = common.materialise(of_pairs(often.union(pairs)).union(aligned(copies)), "deleted")
     kept = common.materialise(left(cuts.join(lists.where(F.col("c") > rare), "w").where("first < doc").select("doc", "w", "lo", "hi"), found), "kept")
     if not kept.isEmpty():
-        ranks = held.join(kept.select("w").distinct(), "w", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("w").orderBy("doc")))
-        ranks = common.materialise(ranks, "ranks")
+        ranks = common.materialise(ranked(held.join(kept.select("w").distinct(), "w", "left_semi")), "ranks")
         done, more = 1, FURTHER
         kept = kept.join(ranks, ["w", "doc"]).where(F.col("rank") > done + 1)
         while not kept.isEmpty():

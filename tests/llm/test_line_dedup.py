@@ -98,3 +98,20 @@ def test_clashing_names(spark):
     names = ["emptied", "kept_text", "n_lines", "n_deleted", "__gone", "__b", "doc", "no", "h", "lines", "extra"]
     rows = line_dedup.dedup_lines(docs.withColumns({n: F.lit(f"in {n}") for n in names})).orderBy("doc_id").collect()
     assert [(r.kept_text, r.n_deleted, r.emptied, r.extra, r["__gone"], r.lines) for r in rows] == [(line, 0, False, "in extra", "in __gone", "in lines"), ("rest", 1, False, "in extra", "in __gone", "in lines")]
+
+
+def test_holders_are_ranked_over_ranges(spark):
+    """A window with nearly all holders is cut into several ranges; places run on from one to the next."""
+    held = [("hot", doc) for doc in random.Random(3).sample(range(10_000), 900)] + [(f"w{i % 7}", i) for i in range(40)]
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        rows = spark.createDataFrame(held, "w string, doc long").repartition(5)
+        got = sorted((r.w, r.doc, r["rank"]) for r in line_dedup.ranked(rows).collect())
+    finally:
+        spark.conf.unset(setting)
+    want, place = [], defaultdict(int)
+    for w, doc in sorted(held):
+        place[w] += 1
+        want.append((w, doc, place[w]))
+    assert got == want
