@@ -70,7 +70,11 @@ from (select *, lag(result_count, 1) over w as p1, lag(result_count, 2) over w a
 plan("iteration_report", "select query, count(*) as iterations, min_by(result_count, iteration) as first_count, max_by(result_count, iteration) as last_count, max_by(result_count, iteration) - min_by(result_count, iteration) as delta, max(result_count) as best from iteration group by query")
 plan("token_usage", "select model_name, count(*) as calls, sum(prompt_tokens) as prompt_tokens, max(prompt_tokens) as largest from token_row group by model_name")
 plan("result_distribution", "select item as file, count(*) as n from work_item group by item order by n desc, file limit 10")
-plan("concentration", "select sum(n * (total_rows + 1 - 2 * k)) as weighted, max(total_rows) as groups_n, sum(n) as total from (select n, row_number() over (order by n desc, item) as k, count(*) over () as total_rows from (select item, count(*) as n from work_item group by item) a) b")
+# Items of one count are alike, so their places are summed by count: of u items after b others they run from b + 1 to b + u.
+plan("concentration", """
+select sum(n * (items * (total_rows + 1) - 2 * items * before - items * (items + 1))) as weighted, cast(max(total_rows) as bigint) as groups_n, sum(n * items) as total
+from (select n, items, coalesce(sum(items) over (order by n desc rows between unbounded preceding and 1 preceding), 0) as before, sum(items) over () as total_rows
+      from (select n, count(*) as items from (select item, count(*) as n from work_item group by item) a group by n) b) c""")
 plan("related_code_lines", "select file, count(*) as code_lines, min(length(text)) as shortest from source_line where text <> '' group by file")
 plan("next_work", "select distinct l.item from work_item l where not exists (select 1 from processed_item t where t.item = l.item)")
 plan("uncached_functions", "select d.base, d.name from distinct_functions d where not exists (select 1 from macro_def m where m.base = d.base and m.name = d.name)")
