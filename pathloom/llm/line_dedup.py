@@ -30,16 +30,19 @@ from __future__ import annotations
 
 import uuid
 from bisect import bisect_left
+from functools import reduce
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 RARE = 4
 BLOCK_WORDS = 8
+#: White space, as it is cut from the ends of lines and parts words.
+WHITE = " \t\n\x0b\f\r"
 #: Bits of a line's place in its text; the bits above are of the text's hash.
 PLACE_BITS = 31
 #: Bytes of pairs that a Python worker holds at once, in MB.
@@ -141,6 +144,13 @@ def text_number(text: F.Column) -> F.Column:
     return F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit((1 << 32) - 1)), PLACE_BITS)
 
 
+def word_count(line: F.Column) -> F.Column:
+    """The words of a line without white space at its ends; only a line with other than single blanks is split."""
+    odd = reduce(Column.__or__, [F.contains(line, F.lit(c)) for c in ("  ", *WHITE.replace(" ", ""))])
+    blanks = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(odd, F.size(F.split(line, r"\s+"))).otherwise(blanks + 1)
+
+
 def ranked(held: DataFrame) -> DataFrame:
     """(w, doc, rank): the place of each document among the holders of a window, from 1.  The holders of a frequent
     window are cut into ranges of ids, each counted and ranked by itself."""
@@ -155,9 +165,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with its columns and the ``added`` ones: kept text, numbers of lines and of deleted lines, emptied."""
     common.bounded_batches(docs.sparkSession, BATCH_MB)
     texts = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
-    trimmed = F.regexp_replace("line", r"^\s+|\s+$", "")
+    trimmed = F.trim("line", F.lit(WHITE))
     lines = texts.where("doc is not null and text is not null").select("doc", text_number(F.col("text")).alias("of"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).select("doc", (F.col("of") + F.col("place")).alias("no"), trimmed.alias("line"))
-    lines = lines.where("line <> ''").select("doc", "no", F.xxhash64("line").alias("h"), (F.size(F.split("line", r"\s+"))).alias("words"))
+    lines = lines.where("line <> ''").select("doc", "no", F.xxhash64("line").alias("h"), word_count(F.col("line")).alias("words"))
     # a table of its own, so that both sides of the join are dealt out for it and a frequent line can be split
     several = common.materialise(lines.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h"), "several")
     met = lines.join(several.hint("merge"), "h").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("no", "h", "words"))).alias("lines"))
