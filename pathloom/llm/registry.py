@@ -10,11 +10,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, decontaminate, html_extract, language_id, line_dedup, lm_score, ngram_join, oracles, suffix_dedup, token_counts
+from . import ann, byte_bpe, decontaminate, html_extract, language_id, line_dedup, lm_score, ngram_join, oracles, packing, suffix_dedup, token_counts
 from .common import crc, table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
+WORD_BPE = "word_bpe_49k.json"
 
 
 def op1_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +67,13 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc("doc_id") % 5 == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), closing=1, capacity=2048)
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_wrappers, op2_anisotropic_search, op3_suffix_dedup, op4_line_dedup, op5_byte_bpe, op6_token_counts, op7_language_id, op8_ngram_join, op9_decontaminate, op10_lm_score)}
+    return {f.__name__: f for f in (op1_html_wrappers, op2_anisotropic_search, op3_suffix_dedup, op4_line_dedup, op5_byte_bpe, op6_token_counts, op7_language_id, op8_ngram_join, op9_decontaminate, op10_lm_score, op11_harmonic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
