@@ -9,18 +9,21 @@ them, go to the merges directly; all others go through the whole tokenizer.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import common
 
 #: A run of letters that composition leaves alone and lower case maps one to one, and marks that stand apart from it.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-#: Words that a worker remembers; then it starts anew.
-KNOWN_WORDS = 400_000
+SIMPLE = r"^(?P<run>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?]*)$"
+RUN = re.compile("[a-zß-öø-ÿ]+")
+#: Units that a worker remembers (about 150 bytes each); then it starts anew.
+KNOWN_UNITS = 800_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -41,58 +44,54 @@ def check_safe(spec: dict) -> None:
 
 
 class Words:
-    """word -> ids, remembered within bounds."""
+    """Ids of the units of words, remembered within bounds: the run of letters in lower case and the marks behind it, or the word as it is."""
 
     def __init__(self, text: str):
         from tokenizers import Tokenizer
 
-        spec = json.loads(text)
-        check_safe(spec)
-        self.whole, self.letters, self.marks = Tokenizer.from_str(text), byte_letters(), {"": []}
-        # the merges alone: each word is one unit of the merges
-        self.merges = Tokenizer.from_str(text).model
+        check_safe(json.loads(text))
+        self.whole, self.letters = Tokenizer.from_str(text), byte_letters()
+        self.merges = self.whole.model
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place: dict[str, int] = {}
         self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def encode_whole(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
-
-    def encode(self, words: list[str]) -> list[list[int]]:
-        out, odd, merge, letters, marks = [], [], self.merges.tokenize, self.letters, self.marks
-        for i, w in enumerate(words):
-            if not (m := SIMPLE.fullmatch(w)):
-                odd.append(i)
-                out.append(None)
-                continue
-            run, behind = m.groups()
-            if behind not in marks:
-                marks[behind] = self.encode_whole([behind])[0]
-            unit = run.lower()
-            out.append([t.id for t in merge(unit if unit.isascii() else unit.encode().decode("latin-1").translate(letters))] + marks[behind])
-        for i, ids in zip(odd, self.encode_whole([words[i] for i in odd]), strict=True):
-            out[i] = ids
+    def encode(self, units: list[str]) -> list[list[int]]:
+        merge, letters = self.merges.tokenize, self.letters
+        out = [[t.id for t in merge(u if u.isascii() else u.encode().decode("latin-1").translate(letters))] if RUN.fullmatch(u) else None for u in units]
+        odd = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(odd, self.whole.encode_batch_fast([units[i] for i in odd], add_special_tokens=False), strict=True):
+            out[i] = e.ids
         return out
 
-    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(the ids of all texts end to end, how many each text has)."""
-        coded, rows = common.words(texts, lower=False)
-        distinct = coded.dictionary.to_pylist()
-        if len(self.place) > KNOWN_WORDS:
-            self.clear()
-        fresh = [w for w in distinct if w not in self.place]
+    def places(self, units: pa.DictionaryArray) -> np.ndarray:
+        """Where the ids of each unit are, after encoding those that are new."""
+        distinct = units.dictionary.to_pylist()
+        fresh = [u for u in distinct if u not in self.place]
         if fresh:
-            found = self.encode([w.decode() for w in fresh])
+            found = self.encode(fresh)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))])
+            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))])
             self.sizes = np.concatenate([self.sizes, sizes])
-        starts = np.cumsum(self.sizes) - self.sizes
-        which = np.fromiter((self.place[w] for w in distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
+        return np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[units.indices.to_numpy(zero_copy_only=False)]
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts end to end, how many each text has)."""
+        coded, rows = common.words(texts, lower=False)
+        distinct = coded.dictionary.cast(pa.string())
+        if len(self.place) > KNOWN_UNITS:
+            self.clear()
+        found = pc.extract_regex(distinct, SIMPLE)
+        units = pc.if_else(found.is_valid(), pc.utf8_lower(pc.struct_field(found, 0)), distinct)
+        marks = pc.if_else(found.is_valid(), pc.struct_field(found, 1), "")
+        pairs = np.stack([self.places(units.dictionary_encode()), self.places(marks.dictionary_encode())], axis=1)
+        which = pairs[coded.indices.to_numpy(zero_copy_only=False)].ravel()
         sizes = self.sizes[which]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.concatenate([[0], np.cumsum(sizes)])[::2]
+        starts = np.cumsum(self.sizes) - self.sizes
         return self.flat[common.spans(starts[which], sizes)], ends[rows[1:]] - ends[rows[:-1]]
 
 

@@ -39,7 +39,7 @@ def test_ids_equal_the_library(library, words, texts):
 def test_a_worker_forgets_words_beyond_the_bound(library, monkeypatch):
     import pyarrow as pa
 
-    monkeypatch.setattr(word_bpe, "KNOWN_WORDS", 3)
+    monkeypatch.setattr(word_bpe, "KNOWN_UNITS", 3)
     words = word_bpe.Words(open(P.path(registry.WORD_BPE), encoding="utf-8").read())
     for text in ("one two three four", "five six", "one seven"):
         assert words.of(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
