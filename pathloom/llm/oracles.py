@@ -31,3 +31,26 @@ sums as (select doc_id, sum(hi - lo) as removed, count(*) as spans from run grou
 select d.doc_id, cast(length(d.h) // 2 as bigint) as n_bytes, cast(coalesce(s.removed, 0) as bigint) as n_removed, cast(coalesce(s.spans, 0) as bigint) as n_spans,
        sha256(unhex(coalesce(k.h, d.h))) as kept_sha256
 from d left join sums s on s.doc_id = d.doc_id left join kept k on k.doc_id = d.doc_id"""
+
+_VECTOR_ROUND = """
+a{i} as (select pos, part, n, arg_min(entry, d * 64 + entry) as entry, min(d) as d
+    from (select pos, part, n, entry, sum((x - y) * (x - y)) as d
+          from (select v.pos, v.part, v.n, b.entry, unnest(v.part) as x, unnest(b.c) as y from v join b{i} b on b.pos = v.pos) u group by pos, part, n, entry) t group by pos, part, n)"""
+
+_VECTOR_BOOK = """,
+s{i} as (select pos, entry, k, sum(x * n) as s, sum(n) as n from (select pos, entry, n, unnest(part) as x, generate_subscripts(part, 1) as k from a{i}) u group by pos, entry, k),
+m{i} as (select pos, entry, list(cast((s - ((s % n) + n) % n) // n as bigint) order by k) as c from s{i} group by pos, entry),
+b{j} as (select b.pos, b.entry, coalesce(m.c, b.c) as c from b{i} b left join m{i} m on m.pos = b.pos and m.entry = b.entry),"""
+
+#: Two rounds over distinct parts; entries and distances are whole numbers throughout.
+VECTOR_CODES = """
+with e as (select row_number() over () as r, vec_id, label, embedding from embeddings where embedding is not null and len(embedding) > 0),
+f as (select r, generate_subscripts(embedding, 1) - 1 as k, unnest(embedding) as x from e),
+ok as (select r, count(*) as n from f group by r having count(*) = count(x) and bool_and(isfinite(x))),
+q as (select f.r, f.k // (ok.n // 16) as pos, list(cast(floor(256 * cast(f.x as double)) as bigint) order by f.k) as part from f join ok on ok.r = f.r group by f.r, f.k // (ok.n // 16)),
+v as (select pos, part, count(*) as n from q group by pos, part),
+b0 as (select q.pos, o.entry, q.part as c from q join (select r, row_number() over (order by vec_id) - 1 as entry from e where r in (select r from ok)) o on o.r = q.r where o.entry < 64),""" + _VECTOR_ROUND.format(i=0) + _VECTOR_BOOK.format(i=0, j=1) + _VECTOR_ROUND.format(i=1) + _VECTOR_BOOK.format(i=1, j=2) + _VECTOR_ROUND.format(i=2) + """,
+c as (select q.r, string_agg(printf('%02x', a2.entry), '' order by q.pos) as code, cast(sum(a2.d) as bigint) as error from q join a2 on a2.pos = q.pos and a2.part = q.part group by q.r)
+select e.vec_id, c.code, c.error, cast(sum(c.error) over (partition by e.label) as bigint) as label_error,
+       (select sha256(string_agg(array_to_string(c, ','), ',' order by pos, entry)) from b2) as codebooks_sha256
+from c join e on e.r = c.r"""
