@@ -54,3 +54,22 @@ c as (select q.r, string_agg(printf('%02x', a2.entry), '' order by q.pos) as cod
 select e.vec_id, c.code, c.error, cast(sum(c.error) over (partition by e.label) as bigint) as label_error,
        (select sha256(string_agg(array_to_string(c, ','), ',' order by pos, entry)) from b2) as codebooks_sha256
 from c join e on e.r = c.r"""
+
+#: crc32 bit by bit: for each digit its code goes in and eight steps follow (marked -1).
+CONVERSATION_TRIE = """
+with o as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as k,
+             length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') as t, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as w
+      from conversations where conv_id is not null),
+h as (select c, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(cast(c as varchar), ''), lambda x: list_prepend(cast(ord(x) as bigint), [cast(-1 as bigint) for i in range(8)])))),
+             lambda a, x: case when x >= 0 then xor(a, x) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end), 4294967295) % 4 as h from (select distinct c from o) x),
+r as (select h.c, o.k as k, o.t, o.w from h join o on o.c = h.c - h.c % 20 and o.k <= h.h union all select h.c, o.k, o.t, o.w from h join o on o.c = h.c where o.k > h.h),
+s as (select c, row_number() over (partition by c order by k) as d, sha256(t) as t, w from r),
+p as (select a.c, a.d, max(case when b.d = a.d then b.w end) as w, string_agg(b.t, '' order by b.d) as p from s a join s b on b.c = a.c and b.d <= a.d group by a.c, a.d
+      union all select c, 0 as d, 0 as w, '' as p from h),
+e as (select c, max(d) as d from p group by c),
+n as (select p.p, p.d, max(p.w) as w, min(p.c) as c, count(*) as n, coalesce(string_agg(cast(p.c as varchar), ',' order by p.c) filter (where e.d = p.d), '') as ends from p join e on e.c = p.c group by p.p, p.d),
+k as (select b.p, count(*) as n from n a join n b on a.d = b.d + 1 and left(a.p, length(b.p)) = b.p group by b.p),
+u as (select b.p, cast(sum((a.n - 1) * a.w) as bigint) as saved, cast(sum(case when k.n is null then 1 else 0 end) as bigint) as leaves
+      from n a left join k on k.p = a.p join (select distinct p, d from n) b on b.d <= a.d and left(a.p, 64 * b.d) = b.p group by b.p)
+select n.c as conv_id, n.d as depth, m.c as parent_conv_id, n.n as n_convs, coalesce(k.n, 0) as n_children, u.leaves as n_leaves, u.saved as saved_tokens, sha256(n.ends) as ends_sha256
+from n left join n m on m.d = n.d - 1 and m.p = left(n.p, 64 * m.d) left join k on k.p = n.p join u on u.p = n.p"""

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, decontaminate, html_extract, language_id, line_dedup, lm_score, ngram_join, oracles, packing, suffix_dedup, token_counts, vector_codes
+from . import ann, byte_bpe, conversation_trie, decontaminate, html_extract, language_id, line_dedup, lm_score, ngram_join, oracles, packing, suffix_dedup, token_counts, vector_codes
 from .common import crc, table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -78,9 +78,14 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = conversation_trie.encode_turns(table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(conversation_trie.share_openings(coded, block=20, ways=4))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_wrappers, op2_anisotropic_search, op3_suffix_dedup, op4_line_dedup, op5_byte_bpe, op6_token_counts, op7_language_id, op8_ngram_join, op9_decontaminate, op10_lm_score, op11_harmonic_packing, op12_vector_codes)}
+    return {f.__name__: f for f in (op1_html_wrappers, op2_anisotropic_search, op3_suffix_dedup, op4_line_dedup, op5_byte_bpe, op6_token_counts, op7_language_id, op8_ngram_join, op9_decontaminate, op10_lm_score, op11_harmonic_packing, op12_vector_codes, op13_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": oracles.SUFFIX_DEDUP, "op8_ngram_join": oracles.NGRAM_JOIN, "op12_vector_codes": oracles.VECTOR_CODES}
+    return {"op3_suffix_dedup": oracles.SUFFIX_DEDUP, "op8_ngram_join": oracles.NGRAM_JOIN, "op12_vector_codes": oracles.VECTOR_CODES, "op13_conversation_trie": oracles.CONVERSATION_TRIE}

@@ -12,7 +12,7 @@ import pytest
 from pathloom.llm import byte_bpe, registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents embeddings pages benchmark".split()
+TABLES = "documents embeddings pages benchmark conversations".split()
 
 
 @pytest.fixture(scope="module")
