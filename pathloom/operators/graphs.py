@@ -1,4 +1,4 @@
-"""Control-flow graphs: reachability, components, dominators, path enumeration, loop unrolling.
+"""Control-flow graphs: reachability, components, dominators.
 
 A graph belongs to one function and is small; graphs are dealt out by function
 and each is worked on in one batch (``applyInPandas``), sequential steps inside.
@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.core import compile_sql, run
 
-MAX_PATHS, MAX_CALLS = 200, 100_000
-MAX_BODY, MAX_NESTING = 50, 3
+
+def dealt(df: DataFrame, by: str = "fn") -> DataFrame:
+    """Rows dealt out by function to as many tasks as a shuffle has: graphs are small in bytes and long to work on, and adaptive
+    execution, which goes by bytes, would put them all into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
 
 
 def adjacency(edges: pd.DataFrame) -> tuple[list, dict, dict]:
@@ -43,7 +46,7 @@ def closure(edges: DataFrame) -> DataFrame:
         rows = [(s, d) for s in nodes for d in sorted(set().union(*(reachable(n, after) for n, _ in after[s]), set()))]
         return pd.DataFrame({"fn": pdf["fn"].iloc[0], "src": [r[0] for r in rows], "dst": [r[1] for r in rows]})
 
-    return edges.groupBy("fn").applyInPandas(one, "fn long, src long, dst long")
+    return dealt(edges).groupBy("fn").applyInPandas(one, "fn long, src long, dst long")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -81,7 +84,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
                         low[parent] = min(low[parent], low[v])
         return pd.DataFrame({"fn": pdf["fn"].iloc[0], "block": nodes, "component": [found[n] for n in nodes]})
 
-    return edges.groupBy("fn").applyInPandas(one, "fn long, block long, component long")
+    return dealt(edges).groupBy("fn").applyInPandas(one, "fn long, block long, component long")
 
 
 def dominators(edges: DataFrame) -> DataFrame:
@@ -102,108 +105,13 @@ def dominators(edges: DataFrame) -> DataFrame:
         rows = [(n, d, d != n and doms[n] - {n} == doms[d]) for n in sorted(nodes) for d in sorted(doms[n])]
         return pd.DataFrame({"fn": pdf["fn"].iloc[0], "block": [r[0] for r in rows], "dominator": [r[1] for r in rows], "immediate": [r[2] for r in rows]})
 
-    return edges.groupBy("fn").applyInPandas(one, "fn long, block long, dominator long, immediate boolean")
+    return dealt(edges).groupBy("fn").applyInPandas(one, "fn long, block long, dominator long, immediate boolean")
 
 
 def base(block) -> str:
     return str(block).split("_L")[0]
 
 
-def walk(before: dict, entry, goal, max_depth: int, max_paths: int | None, max_calls: int | None) -> tuple[list, bool, int]:
-    """(path, branches taken) backward from a block, whether a cap ended the walk, and how often it was too deep."""
-    found, calls, deep = [], 0, 0
-    todo = [(goal, (goal,), ())]
-    while todo:
-        if max_paths is not None and len(found) >= max_paths or max_calls is not None and calls >= max_calls:
-            return found, True, deep
-        block, path, taken = todo.pop()
-        calls += 1
-        if block == entry or not before[block] and len(path) > 1:
-            found.append((path, taken))
-        if block == entry:
-            continue
-        if len(path) > 2 * max_depth:
-            deep += 1
-            continue
-        for p, t in reversed(before[block]):
-            if p not in path and sum(base(x) == base(p) for x in path) < 2:
-                todo.append((p, (*path, p), (*taken, f"{base(p)}:{t}") if t in ("TRUE", "FALSE") else taken))
-    return found, False, deep
-
-
-def enumerate_paths(edges: DataFrame, target: int | None = None, max_depth: int = 20, max_paths: int | None = MAX_PATHS, max_calls: int | None = MAX_CALLS) -> DataFrame:
-    """(fn, target, path, constraints, truncated): paths backward from ``target``, or from every block that is no clone, in
-    the order of block ids, up to the caps (None: all), which ``truncated`` tells of.  A path ends at the entry (the
-    smallest block) and at a block without predecessors, holds a block once and a base block twice at most; constraints
-    are the TRUE and FALSE edges taken, as ``base block:branch``.  A block with no path but walks that were too deep is
-    walked again at twice the depth, three times at most; after that without the blocks that unrolling added."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, _, before = adjacency(pdf)
-        own = sorted((n for n in nodes if str(n) == base(n)), key=lambda n: int(base(n)))
-        plain = defaultdict(list, {n: [(p, t) for p, t in before[n] if str(p) == base(p)] for n in own})
-        rows = []
-        for goal in own if target is None else [n for n in own if int(n) == target]:
-            depth = max_depth
-            found, cut, deep = walk(before, own[0], goal, depth, max_paths, max_calls)
-            while deep and not found and depth < 8 * max_depth:
-                depth *= 2
-                found, cut, deep = walk(before, own[0], goal, depth, max_paths, max_calls)
-            if deep >= 10 and len(found) < 10:
-                found, cut, _ = walk(plain, own[0], goal, depth, max_paths, max_calls)
-            rows += [(int(goal), ">".join(map(str, p[::-1])), ",".join(t[::-1]), cut) for p, t in found]
-        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        return pd.DataFrame({"fn": pd.Series([int(pdf["fn"].iloc[0])] * len(rows), dtype="int64"), "target": pd.Series(columns[0], dtype="int64"), "path": pd.Series(columns[1], dtype=object), "constraints": pd.Series(columns[2], dtype=object), "truncated": pd.Series(columns[3], dtype=bool)})
-
-    return edges.groupBy("fn").applyInPandas(one, "fn long, target long, path string, constraints string, truncated boolean")
-
-
-def classify_constraints(paths: DataFrame) -> DataFrame:
-    """(fn, target, block, branch, count, total, kind): dominator if on all paths, must_take if the only branch of its block, else optional."""
-    return paths.sparkSession.sql("""
-        with c as (select fn, target, path, explode(array_distinct(split(constraints, ','))) as c from {paths} where constraints <> ''),
-             t as (select fn, target, count(*) as total from {paths} group by fn, target),
-             g as (select c.fn, c.target, cast(split(c, ':')[0] as bigint) as block, split(c, ':')[1] as branch, count(*) as n from c group by 1, 2, 3, 4)
-        select g.fn, g.target, g.block, g.branch, g.n, t.total, case when g.n = t.total then 'dominator' when count(*) over (partition by g.fn, g.target, g.block) = 1 then 'must_take' else 'optional' end as kind
-        from g join t on t.fn = g.fn and t.target = g.target""", paths=paths)
-
-
-def unroll(edges: DataFrame) -> DataFrame:
-    """Edges with every natural loop run twice: the blocks of a loop get a clone ``<block>_L<header>i2``, the back
-    edge leads to the clone of the header (ITER2_START), and the clone leaves like the loop does (ITER2_EXIT).
-    Loops of more than ``MAX_BODY`` blocks or nested ``MAX_NESTING`` deep stay as they are."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, after, before = adjacency(pdf)
-        out = [(str(s), str(d), t) for s in sorted(after) for d, t in after[s]]
-        loops = {}
-        for s in list(after):
-            for d, _ in after[s]:
-                if s > d:
-                    body, todo = {d}, [s]
-                    while todo:
-                        x = todo.pop()
-                        if x not in body:
-                            body.add(x)
-                            todo += [p for p, _ in before[x]]
-                    if body <= reachable(d, after):
-                        loops[(d, s)] = body
-        for (head, tail), body in sorted(loops.items(), key=lambda kv: str(kv[0][0]), reverse=True):
-            nesting = sum(body < other for other in loops.values())
-            if len(body) > MAX_BODY or nesting >= MAX_NESTING:
-                continue
-            name = lambda b, head=head: f"{b}_L{head}i2"
-            out = [(s, name(head) if (s, d) == (str(tail), str(head)) else d, "ITER2_START" if (s, d) == (str(tail), str(head)) else t) for s, d, t in out]
-            for s in sorted(body):
-                for d, t in after[s]:
-                    if (s, d) != (tail, head):
-                        out.append((name(s), name(d), t) if d in body else (name(s), str(d), "ITER2_EXIT"))
-        out = sorted(set(out))
-        return pd.DataFrame({"fn": pdf["fn"].iloc[0], "src": [r[0] for r in out], "dst": [r[1] for r in out], "etype": [r[2] for r in out]})
-
-    return edges.groupBy("fn").applyInPandas(one, "fn long, src string, dst string, etype string")
-
-
 def bb_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, "bb_edge", {"lineitem": spark.read.parquet(f"{sf_dir}/lineitem.parquet")})
 
@@ -220,19 +128,7 @@ def cfg_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominators(bb_edges(spark, sf_dir))
 
 
-def cfg_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enumerate_paths(unroll(bb_edges(spark, sf_dir)))
-
-
-def cfg_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify_constraints(cfg_paths(spark, sf_dir))
-
-
-def cfg_unrolled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unroll(bb_edges(spark, sf_dir))
-
-
-QUERIES = (cfg_closure, cfg_components, cfg_dominators, cfg_paths, cfg_constraints, cfg_unrolled)
+QUERIES = (cfg_closure, cfg_components, cfg_dominators)
 
 
 def _closure_sql() -> str:

@@ -164,9 +164,6 @@ from (select segment, unit_key, fn, count(distinct points) as distinct_sets, cou
 join logic_unit u on u.segment = a.segment and u.unit_key = a.unit_key
 where a.distinct_sets + case when a.paths < u.usage_count then 1 else 0 end > 1""")
 plan("variant_paths", "select segment, unit_key, fn, points, count(*) as paths, min(path_id) as first_path from point_set group by segment, unit_key, fn, points")
-plan("constraint_row", """
-select segment, unit_key, fn, points as variant, f_line as line, case when relation = 'CALL' then 'TRUE' else 'FALSE' end as branch, case when (f_line + length(points)) % 3 = 0 then 'may' else 'must' end as kind
-from (select distinct s.segment, s.unit_key, s.fn, s.points, q.f_line, q.relation from point_set s join full_segment q on q.path_id = s.path_id and q.segment = s.segment and q.f_id = s.fn) x""")
 # Rows of one key may stand in must and in may; a variant without the function counts and has no constraints.
 plan("variant_count", """
 select a.segment, a.unit_key, a.fn, a.sets + case when a.paths < u.usage_count then 1 else 0 end as n

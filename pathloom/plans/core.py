@@ -93,6 +93,13 @@ def written(spark: SparkSession, name: str, text: str, tables: dict[str, DataFra
     return _written[key]
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table."""
+    path = f"{shared_dir(df.sparkSession)}/plans/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def forget(spark: SparkSession) -> None:
     """Drops the tables written so far, files included."""
     for df in _written.values():
@@ -122,6 +129,14 @@ def frame(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataF
     return spark.sql(text, **given)
 
 
+def shared(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """The plan as a written table, computed once for the same inputs in a session."""
+    used = set(re.findall(r"(?:from|join)\s+([a-z_][a-z0-9_]*)", compile_sql(name, "spark"), re.I))
+    tables = {k: v for k, v in tables.items() if k in used}
+    base = tuple(sorted((k, df.semanticHash(), stamp(df)) for k, df in tables.items()))
+    return written(spark, name, compile_sql(name, "spark", set(tables)), tables, base)
+
+
 def run(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> DataFrame:
     """The plan as a DataFrame over ``tables``: base tables, or domain tables that stand in for a plan."""
     base = tuple(sorted((k, df.semanticHash(), stamp(df)) for k, df in tables.items()))

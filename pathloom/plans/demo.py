@@ -92,3 +92,15 @@ select segment, unit_key, usage_count, usage_count % 3 = 0 as cached, usage_coun
        case usage_count % 4 when 0 then null when 1 then true else false end as fp, case usage_count % 5 when 0 then 'HIGH' when 1 then 'medium' when 2 then 'low' when 3 then 'odd' else null end as level
 from logic_unit""")
 plan("suite_function", "select 'CWE' || cast(doc_id % 90 + 20 as string) || '_' || source || '_' || case doc_id % 7 when 0 then 'bad' when 1 then 'goodG2B' when 2 then cast(doc_id as string) when 3 then 'badSink' when 4 then 'helper' when 5 then 'Good1' else '9_good' end as fn from documents union all select '~CWE' || cast(doc_id as string) || case doc_id % 3 when 0 then '_bad' when 1 then '_good' else '_12' end as fn from documents")
+
+plan("source_loop", """
+select fn, loop_line, max(end_line) as end_line, max(cond_line) as cond_line
+from (select o_orderkey - o_orderkey % 4 as fn, o_custkey % 12 * 10 as loop_line, o_custkey % 12 * 10 + 10 * (1 + o_custkey % 9) as end_line, case when o_custkey % 4 <> 0 then o_custkey % 12 * 10 + 1 end as cond_line from orders) x
+group by fn, loop_line""")
+
+plan("constraint_row", """
+select segment, unit_key, fn, points as variant, f_line as line, case when relation = 'CALL' then 'TRUE' else 'FALSE' end as branch, case when (f_line + length(points)) % 3 = 0 then 'may' else 'must' end as kind
+from (select distinct s.segment, s.unit_key, s.fn, s.points, q.f_line, q.relation from point_set s join full_segment q on q.path_id = s.path_id and q.segment = s.segment and q.f_id = s.fn) x""")
+plan("graph_point", """
+select function_id, line, cast(substr(function_id, 2, 1) as bigint) * 4 + cast(substr(function_id, 5, 1) as bigint) * 28 as fn, line % 140 as graph_line, line % 17 = 0 as is_parameter, cast(0 as bigint) as start_line
+from (select f_id as function_id, f_line as line from full_segment union select t_id as function_id, t_line as line from full_segment) x""")

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from pathloom import catalog
-from pathloom.operators import graphs
+from pathloom.operators import graphs, loops, walks
 from pathloom.plans.core import run
 from pathloom.sources import readers
 
@@ -53,9 +53,9 @@ def test_graphs(spark):
     edges = spark.createDataFrame([(1, 0, 1, "TRUE"), (1, 0, 2, "FALSE"), (1, 1, 3, "UNCONDITIONAL"), (1, 2, 3, "UNCONDITIONAL"), (1, 3, 1, "TRUE")], "fn long, src long, dst long, etype string")
     assert {(r.block, r.component) for r in graphs.strong_components(edges).collect()} == {(0, 0), (1, 1), (2, 2), (3, 1)}
     assert {(r.block, r.dominator) for r in graphs.dominators(edges).where("immediate").collect()} == {(1, 0), (2, 0), (3, 0)}
-    paths = graphs.enumerate_paths(edges.where("src < dst"), 3)
+    paths = walks.enumerate_paths(edges.where("src < dst"), 3)
     assert {(r.path, r.constraints) for r in paths.collect()} == {("0>1>3", "0:TRUE"), ("0>2>3", "0:FALSE")}
-    assert {r.kind for r in graphs.classify_constraints(paths).collect()} == {"optional"}
+    assert {r.kind for r in walks.classify_constraints(paths).collect()} == {"optional"}
 
 
 def test_sarif(spark, tmp_path):
@@ -89,6 +89,7 @@ def test_edges_of_all_rows(spark):
 def test_paths_through_a_loop(spark):
     """0 -> 1 -> 2 -> 1 (back), 1 -> 3: a path through the loop's second run, and paths to every block."""
     edges = spark.createDataFrame([(1, 0, 1, "UNCONDITIONAL"), (1, 1, 2, "TRUE"), (1, 2, 1, "UNCONDITIONAL"), (1, 1, 3, "FALSE")], "fn long, src long, dst long, etype string")
-    paths = graphs.enumerate_paths(graphs.unroll(edges))
-    assert {(r.target, r.path, r.constraints) for r in paths.collect()} == {(0, "0", ""), (1, "0>1", ""), (2, "0>1>2", "1:TRUE"), (3, "0>1>3", "1:FALSE"), (3, "0>1>2>1_L1i2>3", "1:TRUE")}
-    assert {(r.target, r.block, r.branch, r.kind) for r in graphs.classify_constraints(paths).collect()} == {(2, 1, "TRUE", "dominator"), (3, 1, "FALSE", "optional"), (3, 1, "TRUE", "optional")}
+    loop = edges.where("src > dst").selectExpr("fn", "dst as head", "src as tail")
+    paths = walks.enumerate_paths(loops.unroll(edges, loop))
+    assert {(r.target, r.path, r.constraints) for r in paths.collect()} == {(0, "0", ""), (1, "0>1", ""), (2, "0>1>2", "1:TRUE"), (3, "0>1>3", "1:FALSE"), (3, "0>1>2>1_L1i2>3", "1:TRUE,1_L1i2:FALSE"), (3, "0>1>2>1_L1i2>2_L1i2>3", "1:TRUE,1_L1i2:TRUE")}
+    assert {(r.target, r.block, r.branch, r.kind) for r in walks.classify_constraints(paths).collect()} == {(2, 1, "TRUE", "dominator"), (3, 1, "FALSE", "optional"), (3, 1, "TRUE", "optional")}

@@ -3,7 +3,7 @@
 import pytest
 
 from pathloom import catalog  # noqa: F401  (registers the plans)
-from pathloom.operators import graphs, segment_constraints
+from pathloom.operators import loops, segment_constraints, walks
 from pathloom.plans.core import run
 
 FLOW = "path_id long, pos long, fn string, file string, line long, var string, code string, sc long, ec long"
@@ -98,7 +98,7 @@ def test_segment_constraints(spark):
     """0 branches to 1 and 2, which meet in 3; 3 branches to 4 and 5.  Block n covers the lines 10 n to 10 n + 5."""
     edges = spark.createDataFrame(DIAMOND, "fn long, src long, dst long, etype string")
     blocks = spark.createDataFrame([(1, n, 10 * n + (5 if n == 2 else 0), 10 * n + (0 if n == 2 else 5)) for n in range(6)], "fn long, block long, sl long, el long")  # 2 is reversed
-    paths = graphs.enumerate_paths(graphs.unroll(edges))
+    paths = walks.enumerate_paths(loops.unroll(edges, edges.selectExpr("fn", "dst as head", "src as tail").limit(0)))
     kind = "segment string, unit_key string, function_id string, fn long, seq long, line long, sc long, ec long, is_parameter boolean, start_line long"
     point = lambda s, u, seq, line, fn="f", p=False: (s, u, fn, 1, seq, line, 1, 2, p, 0)
     rows = [point("backward", "one", 0, 42)]  # one point in 4
@@ -117,5 +117,26 @@ def test_segment_constraints(spark):
 
 def test_caps_are_told(spark):
     edges = spark.createDataFrame([(1, 3 * k + a, 3 * k + b, t) for k in range(9) for a, b, t in ((0, 1, "TRUE"), (0, 2, "FALSE"), (1, 3, "UNCONDITIONAL"), (2, 3, "UNCONDITIONAL"))], "fn long, src long, dst long, etype string")
-    capped, whole = graphs.enumerate_paths(edges, 27).collect(), graphs.enumerate_paths(edges, 27, max_paths=None, max_calls=None).collect()
+    capped, whole = walks.enumerate_paths(edges, 27).collect(), walks.enumerate_paths(edges, 27, max_paths=None, max_calls=None).collect()
     assert (len(capped), len(whole)) == (200, 512) and all(r.truncated for r in capped) and not any(r.truncated for r in whole)
+
+
+VARIANT = "segment string, unit_key string, function_id string, points string, fn long, line long, sc long, ec long, is_parameter boolean, start_line long"
+
+
+def test_variants_of_a_unit_merge(spark):
+    """Two ways through the diamond: what both take must be taken, what one takes may; a variant without the function counts."""
+    edges = spark.createDataFrame(DIAMOND, "fn long, src long, dst long, etype string")
+    blocks = spark.createDataFrame([(1, n, 10 * n, 10 * n + 5) for n in range(6)], "fn long, block long, sl long, el long")
+    paths = walks.enumerate_paths(edges)
+    point = lambda points, line, p=False: ("backward", "u", "f", points, 1, line, 1, 2, p, 0)
+    rows = [point("left", 12), point("left", 42), point("right", 21), point("right", 42), point("right", 13, True)]
+    asked = segment_constraints.variant_questions(spark.createDataFrame(rows, VARIANT), blocks)
+    assert {(r.points, r.target, tuple(r.required), r.several) for r in asked.collect()} == {("left", 4, (1,), True), ("right", 4, (2,), True)}
+    found = segment_constraints.variant_answers(asked, paths, blocks)
+    assert {(r.variant, r.line, r.branch, r.kind) for r in found.collect()} == {("left", 5, "TRUE", "must"), ("left", 35, "TRUE", "must"), ("right", 5, "FALSE", "must"), ("right", 35, "TRUE", "must")}
+    for n, kinds in ((2, {("TRUE", 35): ("must", False, None)}), (3, {("TRUE", 35): ("may", True, 2 / 3)})):
+        count = spark.createDataFrame([("backward", "u", "f", n)], "segment string, unit_key string, fn string, n long")
+        merged = run(spark, "merged_constraint", {"constraint_row": found, "variant_count": count}).collect()
+        got = {(r.branch, r.line): (r.kind, r.demoted_from_must, r.coverage) for r in merged}
+        assert got == {("TRUE", 5): ("may", True, 1 / n), ("FALSE", 5): ("may", True, 1 / n)} | kinds
