@@ -104,3 +104,11 @@ from (select distinct s.segment, s.unit_key, s.fn, s.points, q.f_line, q.relatio
 plan("graph_point", """
 select function_id, line, cast(substr(function_id, 2, 1) as bigint) * 4 + cast(substr(function_id, 5, 1) as bigint) * 28 as fn, line % 140 as graph_line, line % 17 = 0 as is_parameter, cast(0 as bigint) as start_line
 from (select f_id as function_id, f_line as line from full_segment union select t_id as function_id, t_line as line from full_segment) x""")
+plan("point_candidate", """
+select event_id - event_id % 8 as question, event_id % 3 as point,
+       cast(event_id % 5 * 10 as string) || '.1_' || cast(event_id % 5 * 10 + user_id % 4 as string) || '.9' || case user_id % 5 when 0 then '' when 1 then '' when 2 then '_L10i2' when 3 then '_L10i2_L0i2' else '_L0i2' end as block_id, user_id % 4 + 1 as size
+from events""")
+plan("function_call", "select 'h' || cast(l_partkey % 997 as string) as caller, 'h' || cast(l_suppkey * 7 % 997 as string) as callee from lineitem where l_linenumber = 1 group by 1, 2")
+plan("function_entry", "select 'h' || cast(p_partkey % 997 as string) as function from part group by 1")
+plan("function_block", "select 'h' || cast(l_partkey % 997 as string) as function, l_suppkey % 9 as block, min(cast(l_suppkey % 9 as string) || '.' || case when l_suppkey % 9 = 0 then '0' else '1' end || '_' || cast(l_suppkey % 9 + 2 as string) || '.9') as bb_id from lineitem group by 1, 2")
+plan("function_edge", "select 'h' || cast(l_partkey % 997 as string) as function, l_suppkey % 9 as src, l_linenumber % 9 as dst from lineitem group by 1, 2, 3")
