@@ -112,3 +112,17 @@ plan("function_call", "select 'h' || cast(l_partkey % 997 as string) as caller,
 plan("function_entry", "select 'h' || cast(p_partkey % 997 as string) as function from part group by 1")
 plan("function_block", "select 'h' || cast(l_partkey % 997 as string) as function, l_suppkey % 9 as block, min(cast(l_suppkey % 9 as string) || '.' || case when l_suppkey % 9 = 0 then '0' else '1' end || '_' || cast(l_suppkey % 9 + 2 as string) || '.9') as bb_id from lineitem group by 1, 2")
 plan("function_edge", "select 'h' || cast(l_partkey % 997 as string) as function, l_suppkey % 9 as src, l_linenumber % 9 as dst from lineitem group by 1, 2, 3")
+# Replies of several forms, some of them broken, with the texts of conversations as what they say.
+plan("reply", """
+select site, case k
+    when 0 then '{"analysis": "' || t || '", "rule_checks": [{"rule_text": "r' || n || '", "check_result": "ok", "code_references": ["f' || n || '.c:1", "g.c:2"]}, {"rule_text": "s", "check_result": "", "code_references": []}]}'
+    when 1 then '```json' || chr(10) || '{"needed_functions_not_provided": ["f' || n || '", "g' || n || '", "f' || n || '"], "why": "' || t || '"}' || chr(10) || '```'
+    when 2 then '{"analysis": "' || t || '" "rule_checks": [{"rule_text": "r"}]}'
+    when 3 then '{"feasibility": true, "feasibility_reason": "' || t || '", "required_conditions_code": null, "purpose_rule_checks": [{"rule_text": "p' || n || '", "check_result": "no", "code_references": ["x"]}], "is_false_positive": false, "false_positive_confidence": "LOW"}'
+    when 4 then '{"analysis": "' || t || '", "purpose_rule_checks": [{"rule_text": "p", "code_references": ["y' || n || '"]}]}'
+    when 5 then '{"analysis": "' || t
+    when 6 then 'It''s open. "needed_functions_not_provided": ["a' || n || '", "b"] ' || t
+    when 7 then '{"analysis": 1, "rule_checks": [{"findings": "' || t || '", "what_checked": "w' || n || '"}]}'
+    when 8 then '{{"analysis": "' || t || '", "list": [{{"a": 1}}]}}'
+    when 9 then '["' || t || '"]' when 10 then '' else t end as content
+from (select conv_id * 10000 + coalesce(turn, 0) as site, cast(conv_id % 100 as string) as n, (conv_id + coalesce(turn, 0)) % 12 as k, replace(replace(replace(coalesce(text, ''), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') as t from conversations where conv_id is not null) x""")
