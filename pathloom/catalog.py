@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import assembly, builds, graphs, lookups, loops, paths, predicates, replies, segment_constraints, symbols, walks  # noqa: F401  (their plans register on import)
+from .operators import assembly, assess, builds, graphs, lookups, loops, paths, predicates, replies, segment_constraints, symbols, walks  # noqa: F401  (their plans register on import)
 from .plans import demo, round_trips  # noqa: F401
 from .plans.core import PLANS, compile_sql, run
 
@@ -33,8 +33,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = {name: query(name) for name in PLANS}
-    return found | {f.__name__: f for f in (*graphs.QUERIES, *loops.QUERIES, *walks.QUERIES, *builds.QUERIES, *replies.QUERIES, *segment_constraints.QUERIES)} | round_trips.queries()
+    return found | {f.__name__: f for f in (*graphs.QUERIES, *loops.QUERIES, *walks.QUERIES, *builds.QUERIES, *replies.QUERIES, *assess.QUERIES, *segment_constraints.QUERIES)} | round_trips.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: compile_sql(name, "duckdb") for name in PLANS} | graphs.oracles() | loops.oracles() | walks.oracles() | builds.oracles() | replies.oracles() | round_trips.oracles()
+    return {name: compile_sql(name, "duckdb") for name in PLANS} | graphs.oracles() | loops.oracles() | walks.oracles() | builds.oracles() | replies.oracles() | assess.oracles() | round_trips.oracles()

@@ -25,23 +25,29 @@ plan("flow_listing", "select result_idx, flow_idx, tf_idx, @chain(path || ':' ||
 # Paths from their units: what is missing is not analysed, what has no result for the path's context is not found.
 plan("path_result", """
 select d.path_id, coalesce(case when d.b_key is not null then coalesce(b.variable, 'unknown') when d.i_key is not null then coalesce(u.variable, 'unknown') when d.f_key is not null then coalesce(f.variable, 'unknown') end, 'unknown') as variable_name,
-       d.i_key is not null and r.analysed and r.usage_count % 7 <> 0 and coalesce(not r.fp, false) as is_vulnerable,
-       case when d.i_key is null or not coalesce(r.analysed or r.cached, false) then 'Not analyzed' when r.usage_count % 7 = 0 then 'Context not found' when r.fp is null then 'Unknown' when r.fp then 'False Positive' else 'Confirmed Vulnerability' end as verdict,
-       case when d.i_key is null or not coalesce(r.analysed or r.cached, false) or r.usage_count % 7 = 0 or r.fp is null then 0.0 else case lower(coalesce(r.level, 'low')) when 'high' then 0.9 when 'medium' then 0.6 when 'low' then 0.3 else 0.5 end end as confidence
+       d.i_key is not null and coalesce(r.analysed or r.cached, false) and m.matched and coalesce(not m.fp, false) as is_vulnerable,
+       case when d.i_key is null or not coalesce(r.analysed or r.cached, false) then 'Not analyzed' when not m.matched then 'Context not found' when m.fp is null then 'Unknown' when m.fp then 'False Positive' else 'Confirmed Vulnerability' end as verdict,
+       case when d.i_key is null or not coalesce(r.analysed or r.cached, false) or not m.matched or m.fp is null then 0.0 else case lower(coalesce(m.level, 'low')) when 'high' then 0.9 when 'medium' then 0.6 when 'low' then 0.3 else 0.5 end end as confidence
 from decomposition d
 left join path_unit pu on pu.path_id = d.path_id and pu.segment = 'intermediate'
 left join unit_result r on r.segment = 'intermediate' and r.unit_key = pu.unit_key
+left join context_match m on m.path_id = d.path_id
 left join logic_unit u on u.segment = 'intermediate' and u.unit_key = pu.unit_key
 left join logic_unit b on b.segment = 'backward' and b.unit_key = d.b_key
 left join logic_unit f on f.segment = 'forward' and f.unit_key = d.f_key""")
 plan("path_report", "select verdict, count(*) as paths, count(case when is_vulnerable then 1 end) as vulnerable, count(distinct variable_name) as variables from path_result group by verdict")
 plan("cache_efficiency", "select count(*) as units, cast(count(case when cached then 1 end) as double) / greatest(1, count(*)) as hit_rate, cast(count(case when analysed then 1 end) as double) / greatest(1, count(*)) as analysis_rate, cast(sum(usage_count) as double) / greatest(1, count(*)) as reuse_factor from unit_result")
 plan("context_result", "select distinct u.unit_key, coalesce(d.b_key, 'none') as backward_key, coalesce(d.f_key, 'none') as forward_key, r.fp, r.level from path_unit u join decomposition d on d.path_id = u.path_id join unit_result r on r.segment = 'intermediate' and r.unit_key = u.unit_key where u.segment = 'intermediate'")
-plan("context_match", "select d.path_id, c.fp, c.unit_key is not null as matched from (select p.path_id, u.unit_key, coalesce(p.b_key, 'none') as b_key, coalesce(p.f_key, 'none') as f_key from decomposition p join path_unit u on u.path_id = p.path_id and u.segment = 'intermediate') d left join (select * from context_result where level is not null) c on c.unit_key = d.unit_key and c.backward_key = d.b_key and c.forward_key = d.f_key")
+plan("context_match", "select d.path_id, c.fp, c.level, c.unit_key is not null as matched from (select p.path_id, u.unit_key, coalesce(p.b_key, 'none') as b_key, coalesce(p.f_key, 'none') as f_key from decomposition p join path_unit u on u.path_id = p.path_id and u.segment = 'intermediate') d left join (select * from context_result where level is not null) c on c.unit_key = d.unit_key and c.backward_key = d.b_key and c.forward_key = d.f_key")
 plan("schedule", """
 select phase, segment, count(*) as units, count(case when cached then 1 end) as from_cache, count(case when not cached then 1 end) as to_analyse, sum(usage_count) as paths
 from (select r.*, case when segment = 'intermediate' then 2 else 1 end as phase from unit_result r) x group by phase, segment""")
-plan("uncached_order", "select segment, unit_key, usage_count, row_number() over (partition by segment order by usage_count desc, unit_key) as priority from unit_result where not cached")
+plan("uncached_order", """
+select r.segment, r.unit_key, r.usage_count, p.before + row_number() over (partition by r.segment, r.usage_count, substr(r.unit_key, 1, 6) order by r.unit_key) as priority
+from (select * from unit_result where not cached) r
+join (select segment, usage_count, prefix, coalesce(sum(n) over (partition by segment order by usage_count desc, prefix rows between unbounded preceding and 1 preceding), 0) as before
+      from (select segment, usage_count, substr(unit_key, 1, 6) as prefix, count(*) as n from unit_result where not cached group by segment, usage_count, substr(unit_key, 1, 6)) c) p
+  on p.segment = r.segment and p.usage_count = r.usage_count and p.prefix = substr(r.unit_key, 1, 6)""")
 plan("reuse_heatmap", "select segment, unit_key, usage_count from logic_unit where usage_count > 1")
 plan("unit_manager", "select count(*) as units, sum(usage_count) as paths, max(usage_count) as largest, cast(sum(usage_count) as double) / greatest(1, count(*)) as average, count(case when usage_count > 1 then 1 end) as reused from logic_unit where not is_virtual")
 plan("connection_units", "select kind, count(distinct src) as sources, count(distinct dst) as targets, sum(n) as paths, max(n) as strongest from connection_edge group by kind")
@@ -76,7 +82,7 @@ plan("flow_evaluation", "select coalesce(n.kind, 'unknown') as kind, count(*) as
 plan("evaluation_scores", """
 select tp, fp, total_bad, case when total_bad = 0 then 0.0 else cast(100 * tp as double) / total_bad end as tpr, case when tp + fp = 0 then 0.0 else cast(100 * tp as double) / (tp + fp) end as precision_pct, case when 2 * tp + fp + (total_bad - tp) = 0 then 0.0 else cast(200 * tp as double) / (tp + fp + total_bad) end as f1
 from (select count(distinct case when l.kind = 'bad' and a.site is not null then l.file || '/' || l.fn end) as tp, count(distinct case when l.kind = 'good' and a.site is not null then l.file || '/' || l.fn end) as fp, count(distinct case when l.kind = 'bad' then l.file || '/' || l.fn end) as total_bad
-      from labelled_function l left join alert a on a.file = l.file and a.line = l.line) x""")
+      from labelled_function l left join suite_alert a on a.file = l.file and a.line = l.line) x""")
 plan("distribution_by_base", "select split_part(path, '/', -1) as base, count(*) as n from uri_clean group by 1")
 plan("token_total", "select count(*) as calls, sum(prompt_tokens) as prompt_tokens, count(distinct model_name) as models from token_row")
 plan("debug_summary", "select segment, count(*) as segments, sum(steps) as steps, count(distinct skey) as keys, count(case when is_virtual then 1 end) as virtual_segments from segment_key group by segment")
@@ -91,9 +97,16 @@ select segment, unit_key, fn, 'Propagation variants in ' || substr(fn, 1, length
 from variant_paths group by segment, unit_key, fn having count(*) > 1""")
 plan("macro_text", "select path_id, @chain(name || ': ' || body || ' (defined in ' || split_part(def_file, '/', -1) || ')'¦; ¦name)@ as text from macro_preload group by path_id")
 plan("query_tags", "select file, @matches(text¦@kind +path-problem)@ as is_path, @extract(text¦@kind +([a-z-]+)¦1)@ as kind, @extract(text¦external/cwe/cwe-0*([0-9]+)¦1)@ as first_cwe, contains(text, 'select') and contains(text, 'from') and contains(text, 'where') as has_clauses from query_text")
-plan("query_catalogue", "select first_cwe, count(*) as queries, count(case when is_path then 1 end) as path_queries from query_tags group by first_cwe")
-plan("query_pairs", "select file, cast(first_cwe as bigint) as cwe from query_tags where is_path")
+plan("query_tag", "select distinct file, cast(tag as bigint) as cwe from (select file, @each(text¦external/cwe/cwe-0*([0-9]+)¦1)@ as tag from query_text) x")
+plan("query_catalogue", "select t.cwe, count(*) as queries, count(case when q.is_path then 1 end) as path_queries, min(t.file) as first_file from query_tag t join query_tags q on q.file = t.file group by t.cwe")
+plan("query_pairs", "select t.file, t.cwe from query_tag t join query_tags q on q.file = t.file where q.is_path")
 plan("query_diff", "select a.file, b.file as next_file, length(b.text) - length(a.text) as chars_added, length(a.text) - length(replace(a.text, ' ', '')) as words_before, length(b.text) - length(replace(b.text, ' ', '')) as words_after from query_text a join query_text b on b.file = a.file + 1")
-plan("code_calls", "select file, line, @extract(text¦([A-Za-z_][A-Za-z0-9_]*) *[(]¦1)@ as callee from source_line where @matches(text¦[A-Za-z_][A-Za-z0-9_]* *[(])@")
+# Every call of a line; words of the language that brackets follow are none.
+plan("code_calls", """
+select file, line, callee, count(*) as n from (select file, line, @each(text¦([A-Za-z_][A-Za-z0-9_]*) *[(]¦1)@ as callee from code_line) x
+where callee not in ('if', 'for', 'while', 'switch', 'return', 'sizeof') group by file, line, callee""")
+plan("symbol_call_site", "select r.name, c.file, c.line, c.n from (select distinct name, split_part(name, '::', -1) as simple from requested_symbol where name <> '') r join code_calls c on c.callee = r.simple")
+plan("related_code_site", "select path_id, file, cast(found as bigint) as line from (select path_id, trim(@extract(text¦File Path: *([^\n]*)¦1)@) as file, @each(text¦(?m)^ *([0-9]+):¦1)@ as found from related_code) x where file <> ''")
+plan("related_code_macro", "select s.path_id, m.name, min(s.line) as first_line, count(*) as uses from related_code_site s join macro_use m on m.base = s.file and m.use_line = s.line group by s.path_id, m.name")
 plan("numbered_code", "select file, @chain(cast(line as string) || ': ' || text¦ / ¦line)@ as code, count(*) as lines from source_line group by file")
 plan("source_range", "select file, line, substr(text, 3, 5) as box from source_line where line between 2 and 4")

@@ -48,12 +48,14 @@ plan("call_graph", "select c.caller, c.caller_file, c.callee, c.callee_file, c.l
 plan("block_edge", "select distinct b.fn, b.bb_id, b.sl, b.el, e.dst, e.etype from block b join bb_edge e on e.fn = b.fn and e.src = b.block")
 plan("cfg_bundle", "select b.fn, count(distinct b.block) as blocks, coalesce(max(e.edges), 0) as edges, sum(b.is_entry) as entries, sum(b.is_exit) as exits from block b left join (select fn, count(*) as edges from bb_edge group by fn) e on e.fn = b.fn group by b.fn")
 plan("cfg_cache_stats", "select count(*) as functions, sum(blocks) as blocks, sum(edges) as edges, max(blocks) as largest from cfg_bundle")
+# The name itself, else the shortest that contains it: names are met by their parts between ::, then compared whole.
 plan("function_like", """
 select asked, qname from (
-  select a.asked, f.qname, rank() over (partition by a.asked order by case when f.qname = a.asked then 0 else 1 end, case when f.qname = a.asked then 0 else length(f.qname) end) as k
-  from (select distinct case when ordinal % 2 = 0 then qname else name end as asked from function_def) a join (select distinct qname from function_def) f on f.qname = a.asked or contains(f.qname, a.asked)) x
+  select asked, qname, row_number() over (partition by asked order by rank, length(qname), qname) as k
+  from (select n.asked, f.qname, 0 as rank from name_asked n join (select distinct qname from function_def) f on f.qname = n.asked
+        union all select n.asked, f.qname, 1 as rank from name_asked n join (select distinct qname, @each(qname¦[^:]+¦0)@ as part from function_def) f on f.part = split_part(n.asked, '::', 1) where contains(f.qname, n.asked)) x) y
 where k = 1""")
-plan("function_start", "select s.fn, s.base, coalesce(c.start_line, d.start_line) as start_line, c.start_line is not null as from_graph from (select distinct name as fn, base from use_site) s left join (select name, base, min(start_line) as start_line from function_def where ordinal % 2 = 0 group by name, base) c on c.name = s.fn and c.base = s.base left join distinct_functions d on d.name = s.fn and d.base = s.base")
+plan("function_start", "select s.fn, s.base, coalesce(c.start_line, d.start_line) as start_line, c.start_line is not null as from_graph from (select distinct name as fn, base from use_site) s left join (select name, base, min(start_line) as start_line from graph_function group by name, base) c on c.name = s.fn and c.base = s.base left join distinct_functions d on d.name = s.fn and d.base = s.base")
 plan("line_kind", """
 select site, min_by(kind, rank) as kind, min(rank) as rank from (
   select a.site, l.kind, v.rank * 100000000 + l.ordinal as rank from (
@@ -69,4 +71,4 @@ left join cache_latest e on e.analysis_type = q.analysis_type and e.cwe_code = q
 left join (select analysis_type, cwe_code, variable_name, chain_hash, min_by(result, backward_hash) as result from cache_latest group by analysis_type, cwe_code, variable_name, chain_hash) a on a.analysis_type = q.analysis_type and a.cwe_code = q.cwe_code and a.variable_name = q.variable_name and a.chain_hash = q.chain_hash""")
 plan("cache_check", "select analysis_type, count(*) as asked, count(case when hit then 1 end) as hits, count(case when not hit then 1 end) as misses, cast(count(case when hit then 1 end) as double) / greatest(1, count(*)) as rate from cache_get group by analysis_type")
 plan("legacy_cache", "select q.ordinal, l.result from probe q left join (select cwe_code, variable_name, chain_hash, max_by(result, ordinal) as result from cache_row group by cwe_code, variable_name, chain_hash) l on l.cwe_code = q.cwe_code and l.variable_name = q.variable_name and l.chain_hash = q.chain_hash")
-plan("cfg_cache_key", "select u.site, coalesce(q.functions, n.functions, 0) as functions, case when q.functions is not null then 'qualified' when n.functions is not null then 'plain' else 'none' end as found_by from use_site u left join (select qname, base, count(*) as functions from function_def where ordinal % 3 = 0 group by qname, base) q on q.qname = 'ns::' || u.name and q.base = u.base left join (select name, base, count(*) as functions from function_def group by name, base) n on n.name = u.name and n.base = u.base")
+plan("cfg_cache_key", "select u.site, coalesce(q.functions, n.functions, 0) as functions, case when q.functions is not null then 'qualified' when n.functions is not null then 'plain' else 'none' end as found_by from use_site u left join (select qname, base, count(*) as functions from cached_graph group by qname, base) q on q.qname = 'ns::' || u.name and q.base = u.base left join (select name, base, count(*) as functions from cached_graph group by name, base) n on n.name = u.name and n.base = u.base")

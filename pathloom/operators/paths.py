@@ -101,10 +101,13 @@ from path_unit group by segment, unit_key""")
 
 plan("logic_unit_full", "select segment, full_key as unit_key, count(*) as usage_count, min(path_id) as first_path from path_unit group by segment, full_key")
 
+# Ranks go over ranges of keys: a running sum over the ranges, and a count within each.
 plan("unit_order", """
-select segment, unit_key, usage_count, row_number() over (partition by segment order by usage_count desc, unit_key) as priority,
-       case when segment = 'intermediate' then 2 else 1 end as phase
-from logic_unit""")
+select u.segment, u.unit_key, u.usage_count, p.before + row_number() over (partition by u.segment, u.usage_count, substr(u.unit_key, 1, 6) order by u.unit_key) as priority, case when u.segment = 'intermediate' then 2 else 1 end as phase
+from logic_unit u
+join (select segment, usage_count, prefix, coalesce(sum(n) over (partition by segment order by usage_count desc, prefix rows between unbounded preceding and 1 preceding), 0) as before
+      from (select segment, usage_count, substr(unit_key, 1, 6) as prefix, count(*) as n from logic_unit group by segment, usage_count, substr(unit_key, 1, 6)) c) p
+  on p.segment = u.segment and p.usage_count = u.usage_count and p.prefix = substr(u.unit_key, 1, 6)""")
 
 plan("top_units", """
 select x.segment, x.unit_key, x.usage_count, x.variable, x.is_virtual, t.reuse_units, t.reuse_paths

@@ -35,13 +35,15 @@ select site, kind, off from (
   from alert u
   join (select b.ordinal, b.file, b.line, b.kind, b.line + o.d as probe from labelled_function b cross join (select @series(-5¦5)@ as d) o) l on l.file = u.file and l.probe = u.line) x
 where k = 1""")
+# Places count whose path is one of the suite's; main files don't.
+plan("suite_alert", "select * from alert where (contains(file, '/juliet-test-suite-c/') or file like 's%' or @matches(file¦CWE[0-9]+_)@) and file not like '%main.cpp' and file not like '%main_linux.cpp'")
 plan("evaluation", """
 select tp, fp, total_bad, total_good, case when total_bad = 0 then 0.0 else cast(tp as double) / total_bad * 100 end as recall,
        case when tp + fp = 0 then 0.0 else cast(tp as double) / (tp + fp) * 100 end as precision_pct,
        case when total_good = 0 then 0.0 else cast(fp as double) / total_good * 100 end as fpr
 from (select count(distinct case when kind = 'bad' and hit then file || '/' || fn end) as tp, count(distinct case when kind = 'good' and hit then file || '/' || fn end) as fp,
              count(distinct case when kind = 'bad' then file || '/' || fn end) as total_bad, count(distinct case when kind = 'good' then file || '/' || fn end) as total_good
-      from (select l.*, a.line is not null as hit from labelled_function l left join (select distinct file, line from alert) a on a.file = l.file and a.line = l.line) x) b""")
+      from (select l.*, a.line is not null as hit from labelled_function l left join (select distinct file, line from suite_alert) a on a.file = l.file and a.line = l.line) x) b""")
 plan("function_kinds", """
 select case when lower(fn || '_' || kind) like '%bad%' then 'bad' when lower(fn || '_' || kind) like '%good%' then 'good' else 'unknown' end as kind, count(*) as functions, count(distinct file) as files
 from labelled_function group by 1""")
@@ -77,7 +79,7 @@ from (select n, items, coalesce(sum(items) over (order by n desc rows between un
       from (select n, count(*) as items from (select item, count(*) as n from work_item group by item) a group by n) b) c""")
 plan("related_code_lines", "select file, count(*) as code_lines, min(length(text)) as shortest from source_line where text <> '' group by file")
 plan("next_work", "select distinct l.item from work_item l where not exists (select 1 from processed_item t where t.item = l.item)")
-plan("uncached_functions", "select d.base, d.name from distinct_functions d where not exists (select 1 from macro_def m where m.base = d.base and m.name = d.name)")
+plan("uncached_functions", "select d.base, d.name from distinct_functions d where not exists (select 1 from cached_graph c where c.base = d.base and c.name = d.name)")
 plan("clean_uri", "select page_id, @extract(url¦^[a-z]+://([^/]+)¦1)@ as host, replace(replace(url, 'https://', ''), 'http://', '') as path from pages")
 
 plan("bb_degree", "select fn, src as block, count(*) as successors, count(case when etype = 'TRUE' then 1 end) as true_edges, count(case when etype = 'FALSE' then 1 end) as false_edges from bb_edge group by fn, src")

@@ -24,6 +24,7 @@ MACROS = {
         "numbered": lambda x: f"posexplode(split({x}, '\\n', -1)) as (n, line)",
         "matches": lambda x, pattern: f"{x} rlike r'{pattern}'",
         "sha": lambda x: f"sha2({x}, 256)",
+        "each": lambda x, pattern, group: f"explode(regexp_extract_all({x}, r'{pattern}', {group}))",
     },
     "duckdb": {
         "chain": lambda x, sep, order: f"string_agg({x}, '{sep}' order by {order})",
@@ -33,6 +34,7 @@ MACROS = {
         "numbered": lambda x: f"generate_subscripts(string_split({x}, chr(10)), 1) - 1 as n, unnest(string_split({x}, chr(10))) as line",
         "matches": lambda x, pattern: f"regexp_matches({x}, '{pattern}')",
         "sha": lambda x: f"sha256({x})",
+        "each": lambda x, pattern, group: f"unnest(regexp_extract_all({x}, '{pattern}', {group}))",
     },
 }
 

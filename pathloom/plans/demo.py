@@ -80,7 +80,7 @@ plan("block_point", "select distinct user_id - user_id % 4 as fn, event_id % 140
 plan("macro_use", "select s_suppkey as ordinal, 'g' || cast(s_suppkey % 90 as string) as name, case when s_suppkey % 2 = 0 then 'src/' else 'lib/' end || 's' || cast(s_suppkey % 3 as string) || '.c' as use_file, 's' || cast(s_suppkey % 3 as string) || '.c' as base, s_suppkey * 37 % 500 as use_line, 'inc/m' || cast(s_suppkey % 7 as string) || '.h' as def_file, 'm' || cast(s_suppkey % 5 as string) as body from supplier")
 plan("requested_symbol", "select event_id as site, case event_id % 9 when 0 then '' when 1 then 'util/g1.c' when 2 then 'g1.h' when 3 then 'ns::g' || cast(event_id % 60 as string) when 4 then '9g' when 5 then 'std::move' when 6 then '__builtin_expect' when 7 then 'strlen' else 'g' || cast(event_id % 60 as string) end as name, 's' || cast(user_id % 3 as string) || '.c' as base, case when user_id % 2 = 0 then 'src/' else 'lib/' end as dir, event_id % 500 as line from events")
 plan("library_name", "select 'strlen' as name union all select 'memcpy' as name union all select 'sqrt' as name")
-plan("alert", "select event_id as site, 'src' || cast(user_id % 20 as string) as file, event_id % 1000 as line, cast(user_id as bigint) as flow, event_id as pos from events")
+plan("alert", "select event_id as site, case event_id % 13 when 0 then 'lib/' when 1 then 'x/juliet-test-suite-c/' else '' end || 'src' || cast(user_id % 20 as string) || case when event_id % 17 = 0 then '/main.cpp' else '' end as file, event_id % 1000 as line, cast(user_id as bigint) as flow, event_id as pos from events")
 plan("probe", "select c_custkey as ordinal, 'cwe' || cast(c_custkey % 5 as string) as cwe_code, cast(c_custkey % 40 as string) as variable_name, md5(cast(c_custkey as string)) as chain_hash, case when c_custkey % 3 = 0 then '0' else md5('b' || cast(c_custkey as string)) end as backward_hash, '0' as forward_hash, 'p' as project, case c_custkey % 3 when 0 then 'F' when 1 then 'O' else 'P' end as analysis_type from customer")
 plan("recorded_result", "select o_orderkey as ordinal, case o_orderstatus when 'F' then true when 'O' then false end as fp, substr(o_orderpriority, 3) as level from orders")
 plan("token_row", "select event_type as model_name, cast(floor(value) as bigint) as prompt_tokens, event_id as ordinal from events")
@@ -126,3 +126,10 @@ select site, case k
     when 8 then '{{"analysis": "' || t || '", "list": [{{"a": 1}}]}}'
     when 9 then '["' || t || '"]' when 10 then '' else t end as content
 from (select conv_id * 10000 + coalesce(turn, 0) as site, cast(conv_id % 100 as string) as n, (conv_id + coalesce(turn, 0)) % 12 as k, replace(replace(replace(coalesce(text, ''), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') as t from conversations where conv_id is not null) x""")
+
+plan("reported_start", "select 'd' || cast(doc_id as string) || '.c' as file, cast(doc_id % 7 + 1 as bigint) as line from documents union all select 'd' || cast(doc_id as string) || '.c' as file, cast(doc_id % 7 + 9 as bigint) as line from documents")
+plan("graph_function", "select name, base, start_line from function_def where ordinal % 2 = 0")
+plan("cached_graph", "select name, qname, base from function_def where ordinal % 3 = 0")
+plan("name_asked", "select distinct case when ordinal % 2 = 0 then qname when ordinal % 3 = 0 then 'missing' || name else name end as asked from function_def")
+plan("code_line", "select distinct file_path as file, line, line_code || case when line % 3 = 0 then ' if (g' || cast(line % 60 as string) || '(a, next(b))) g1 (c); g1(d);' else '' end as text from code_point")
+plan("related_code", "select path_id, 'File Path: ' || min(file) || chr(10) || replace(@chain(' ' || cast(line as string) || ': x = m(' || var || ');'¦~¦line * 100 + pos)@, '~', chr(10)) as text from flow_point where path_id % 5 <> 0 group by path_id union all select path_id, 'no path here' as text from flow_point where path_id % 5 = 0 group by path_id")

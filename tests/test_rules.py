@@ -140,3 +140,48 @@ def test_variants_of_a_unit_merge(spark):
         merged = run(spark, "merged_constraint", {"constraint_row": found, "variant_count": count}).collect()
         got = {(r.branch, r.line): (r.kind, r.demoted_from_must, r.coverage) for r in merged}
         assert got == {("TRUE", 5): ("may", True, 1 / n), ("FALSE", 5): ("may", True, 1 / n)} | kinds
+
+
+def test_results_of_contexts(spark):
+    """A path's verdict is that of its own context: one unit, three contexts of which one has no result, and a path without a middle."""
+    decomposition = [(1, "b1", "i", "f1"), (2, "b2", "i", "f1"), (3, "b3", "i", "f1"), (4, "b1", None, "f1"), (5, "b1", "j", "f1")]
+    tables = {
+        "decomposition": spark.createDataFrame(decomposition, "path_id long, b_key string, i_key string, f_key string"),
+        "path_unit": spark.createDataFrame([(p, "intermediate", i) for p, _, i, _ in decomposition if i], "path_id long, segment string, unit_key string"),
+        "unit_result": spark.createDataFrame([("intermediate", "i", True, False), ("intermediate", "j", False, False)], "segment string, unit_key string, analysed boolean, cached boolean"),
+        "context_result": spark.createDataFrame([("i", "b1", "f1", False, "HIGH"), ("i", "b2", "f1", True, "odd")], "unit_key string, backward_key string, forward_key string, fp boolean, level string"),
+        "logic_unit": spark.createDataFrame([("backward", "b1", "v")], "segment string, unit_key string, variable string"),
+    }
+    got = {(r.path_id, r.variable_name, r.is_vulnerable, r.verdict, float(r.confidence)) for r in run(spark, "path_result", tables).collect()}
+    assert got == {(1, "v", True, "Confirmed Vulnerability", 0.9), (2, "unknown", False, "False Positive", 0.5), (3, "unknown", False, "Context not found", 0.0), (4, "v", False, "Not analyzed", 0.0), (5, "v", False, "Not analyzed", 0.0)}
+
+
+def test_order_over_ranges_of_keys(spark):
+    rows = [(s, f"k{n % 7:03d}{n:04d}", u) for s in ("backward", "intermediate") for u in (1, 2, 9) for n in range(u * 5)]
+    units = spark.createDataFrame(rows, "segment string, unit_key string, usage_count long").dropDuplicates(["segment", "unit_key"])
+    got = run(spark, "unit_order", {"logic_unit": units}).collect()
+    for s in ("backward", "intermediate"):
+        own = sorted((r for r in got if r.segment == s), key=lambda r: (-r.usage_count, r.unit_key))
+        assert [r.priority for r in own] == list(range(1, len(own) + 1))
+
+
+def test_calls_and_places_in_code(spark):
+    lines = spark.createDataFrame([("a.c", 1, "if (x) y = go(1) + run (go(2));"), ("a.c", 2, "return (z); sizeof(int)"), ("b.c", 3, "int (*f)(void) = g;"), ("b.c", 4, None)], "file string, line long, text string")
+    assert {tuple(r) for r in run(spark, "code_calls", {"code_line": lines}).collect()} == {("a.c", 1, "go", 2), ("a.c", 1, "run", 1), ("b.c", 3, "int", 1)}
+    code = spark.createDataFrame([(1, "File Path: src/a b.c\n 10: int x = M;\n11: p(x); // 7: no\n\n  12:"), (2, "10: without a path"), (3, "File Path: e.c\nnothing"), (4, None)], "path_id long, text string")
+    assert {tuple(r) for r in run(spark, "related_code_site", {"related_code": code}).collect()} == {(1, "src/a b.c", 10), (1, "src/a b.c", 11), (1, "src/a b.c", 12)}
+
+
+def test_all_tags_of_a_query(spark):
+    text = spark.createDataFrame([(1, "@kind path-problem external/cwe/cwe-020 external/cwe/cwe-0079 external/cwe/cwe-20"), (2, "@kind problem external/cwe/cwe-79"), (3, "@kind path-problem")], "file long, text string")
+    assert {tuple(r) for r in run(spark, "query_pairs", {"query_text": text}).collect()} == {(1, 20), (1, 79)}
+    assert {tuple(r) for r in run(spark, "query_catalogue", {"query_text": text}).collect()} == {(20, 1, 1, 1), (79, 2, 1, 1)}
+
+
+def test_places_of_the_suite(spark):
+    files = ["src1", "a/juliet-test-suite-c/x.c", "lib/CWE12_x.c", "lib/x.c", "s/main.cpp", "s/main_linux.cpp"]
+    alerts = spark.createDataFrame([(f, n) for n, f in enumerate(files)], "file string, line long")
+    assert {r.file for r in run(spark, "suite_alert", {"alert": alerts}).collect()} == set(files[:3])
+    labelled = spark.createDataFrame([("src1", 0, "bad", "f"), ("src1", 9, "bad", "g"), ("lib/x.c", 3, "good", "h")], "file string, line long, kind string, fn string")
+    row = run(spark, "evaluation", {"alert": alerts, "labelled_function": labelled}).collect()[0]
+    assert (row.tp, row.fp, row.total_bad, row.total_good, row.recall, row.precision_pct, row.fpr) == (1, 0, 2, 1, 50.0, 100.0, 0.0)
