@@ -40,6 +40,7 @@ import json
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,7 @@ from .line_dedup import patience
 #: Names of HTML elements and the words that mark page furniture.
 INLINE = frozenset("a abbr acronym annotation b bdi bdo big br cite code data del dfn em font i img ins kbd mark math mfrac mi mn mo mroot mrow msqrt mstyle msub msubsup msup mtext q rp rt ruby s samp semantics small span strike strong sub sup time tt u var wbr".split())
 SKIPPED = frozenset("script style noscript template svg iframe object head textarea select canvas".split())
+RAW = frozenset("script style noscript template iframe textarea".split())
 FURNITURE = frozenset("nav footer aside form menu dialog button fieldset".split())
 MAIN = frozenset("article main".split())
 VOID = frozenset("area base col embed hr input link meta param source track".split())
@@ -61,7 +63,12 @@ HEADED = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header)(?:$|[\s_-])
 #: An end tag of these also ends what is open inside them.
 SECTIONS = frozenset("article aside body div dl fieldset figure footer form header html main nav ol section table ul".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Prose: a class name says nothing about these, only about what groups them.
+PROSE = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th tr".split())
+
+TAG = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: Attributes up to the end of a tag; a quote counts only right behind an equals sign, and only if it is closed.
+REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 REGION = re.compile(r"<(?:article|main)(?![\w:-])", re.I)
 HEADING = re.compile(r"(?:^|>)h[1-6][!^]?$")
@@ -73,12 +80,42 @@ MAX_DEPTH = 64
 
 def mark(tag: str, attributes: str) -> str:
     """The tag, with ``!`` if its class, id or role is that of page furniture, ``^`` if that of a header."""
-    names = " ".join(a or b or c for _, a, b, c in NAMES.findall(attributes)) if attributes else ""
+    names = " ".join(a or b or c for _, a, b, c in NAMES.findall(attributes)) if attributes and tag not in PROSE else ""
     if tag in FURNITURE or names and NAMED.search(names):
         return tag + "!"
     return tag + "^" if tag == "header" or names and HEADED.search(names) else tag
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """(start, end, is an end tag, name, attributes) of the tags of a page; comments and the like have no name, and what is
+    skipped belongs to its start tag.  A tag that never ends takes the rest of the page with it.  Each character is looked at
+    a bounded number of times: where quotes hide every end, they don't count from there on."""
+    at, quotes, endless = 0, True, set()
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if m := TAG.match(page, at):
+            if quotes and (rest := REST.match(page, m.end())):
+                attributes, at = rest[1], rest.end()
+            else:
+                quotes = False
+                end = page.find(">", m.end())
+                attributes, at = page[m.end() : end if end >= 0 else len(page)], end + 1 if end >= 0 else len(page)
+            name = m[2].lower()
+            if name in SKIPPED and not m[1] and not attributes.endswith("/") and name not in endless:
+                if end := re.compile(rf"</{name}\s*>", re.I).search(page, at):
+                    at = end.end()
+                elif name in RAW:
+                    at = len(page)
+                else:
+                    endless.add(name)
+            yield start, at, bool(m[1]), name, attributes
+        elif page.startswith(("<!", "<?"), start):
+            close = "-->" if page.startswith("<!--", start) else ">"
+            end = page.find(close, start + 2)
+            at = end + len(close) if end >= 0 else len(page)
+            yield start, at, False, None, ""
+
+
 def parse(page: str | None) -> list[tuple[str, str]]:
     """(path, text) of the blocks of a page, in order; a path is the open block tags, outermost first.  Below
     ``MAX_DEPTH`` it goes on with the tags alone that say what to keep (furniture, header, article, main)."""
@@ -103,22 +140,13 @@ def parse(page: str | None) -> list[tuple[str, str]]:
         del stack[n:], paths[n + 1 :]
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            pieces.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    for start, end, ends, tag, attributes in tags(page):
+        if start > at:
+            pieces.append(page[at:start])
+        at = end
+        if tag is None:
             continue
-        tag = m[2].lower()
         if tag in SKIPPED:
-            if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                if tag in ("script", "style", "template", "textarea", "noscript", "iframe"):
-                    at = end.end() if end else len(page)
-                elif end:
-                    at = end.end()
             close() if tag not in ("svg", "canvas") else None
             continue
         if tag in INLINE:
@@ -126,19 +154,19 @@ def parse(page: str | None) -> list[tuple[str, str]]:
                 pieces.append(" ")
             continue
         close()
-        if m[1]:
+        if ends:
             for i in range(len(stack) - 1 if opened[tag] else -1, -1, -1):
                 name = stack[i].rstrip("!^")
                 if name == tag:
                     cut(i)
                 if name == tag or tag not in SECTIONS and name in SECTIONS:
                     break
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not attributes.endswith("/"):
             while stack and stack[-1].rstrip("!^") not in SECTIONS:  # p, li, h1 ... end where a block begins
                 if tag in ("ul", "ol", "table", "p", "div") and stack[-1].rstrip("!^") in ("li", "td", "th", "dd", "tr", "tbody", "blockquote"):
                     break
                 cut(len(stack) - 1)
-            one, above = mark(tag, m[3]), paths[-1]
+            one, above = mark(tag, attributes), paths[-1]
             told = len(stack) < MAX_DEPTH or (one[-1] in "!^" or one in MAIN) and one not in above.split(">")
             stack.append(one)
             paths.append((f"{above}>{one}" if above else one) if told else above)

@@ -56,3 +56,30 @@ def test_alignment():
     assert all(a[i] == b[j] for i, j in pairs) and [x for x, _ in pairs] == sorted({x for x, _ in pairs}) and [y for _, y in pairs] == sorted({y for _, y in pairs})
     assert "".join(a[i] for i, _ in pairs) == "aybbq"
     html_extract.align([[f"p{i % 50}", True, False, False, 1, 1, 0] for i in range(4000)], [[f"p{i % 47}", True, False, False, 1, 1, 0] for i in range(4000)])
+
+
+def test_odd_pages_take_little_time():
+    """5 MB of what never ends, in seconds: the scanner looks at each character a bounded number of times."""
+    import time
+
+    size = 5 << 20
+    for unit, tail in (("<a ", ""), ('<p title="x ', ""), ("<p title='x>", ""), ("<a ", '="' + ">" * size), ('="', ""), ("<nav>", ""), ("<div><p>x</p>", ""), ("<svg>", ""), ("<script>", ""), ("</div>", ""), ("<!--", ""), ("<!", ""), ("<", ""), ("&#x", ""), ("class   ", ">x"), ("<ul><li>", "")):
+        page = ("<p " if unit in ('="', "class   ") else "") + unit * (size // len(unit)) + tail
+        began = time.process_time()
+        html_extract.parse(page)
+        assert time.process_time() - began < 60, unit
+
+
+def test_quotes_and_tags_that_do_not_end():
+    text = lambda page: [t for _, t in html_extract.parse(page)]
+    assert text("<article><p title=it's>Hello</p><p>It's ok</p><p>bye</p></article>") == ["Hello", "It's ok", "bye"]
+    assert text("<p title=\"a > b\" class='x>y' id = \"z>\">one</p>") == ["one"] and text("<p a\"b>two</p>") == ["two"]
+    assert text('<p>kept</p><p title="open>lost</p><p>x</p>') == ["kept", "lost", "x"]  # no quote closes it
+    assert text("<p>kept</p><a href=never") == ["kept"] and text("<p>1 < 2 <3</p>") == ["1 < 2 <3"]
+    assert text("<p>a</p><!-- x > y --><p>b</p><!bogus><?php z ?><p>c</p><!-- open <p>d</p>") == ["a", "b", "c"]
+    assert text("<p>a</p><script>if (a<b && s == \"</p>\") { x = '<'; }</script><p>b</p><style>p::after{content:'<'}") == ["a", "b"]
+
+
+def test_names_say_nothing_about_prose(spark):
+    page = "<article><h2 class='social'>Social policy</h2><p class='related-work'>Related</p><h2 class='comments-policy'>Rules</h2><div class=ad>buy</div><p>end</p></article>"
+    assert texts(spark, [(1, "http://h/", page)]) == {1: "Social policy\nRelated\nRules\nend"}
