@@ -133,3 +133,6 @@ plan("cached_graph", "select name, qname, base from function_def where ordinal %
 plan("name_asked", "select distinct case when ordinal % 2 = 0 then qname when ordinal % 3 = 0 then 'missing' || name else name end as asked from function_def")
 plan("code_line", "select distinct file_path as file, line, line_code || case when line % 3 = 0 then ' if (g' || cast(line % 60 as string) || '(a, next(b))) g1 (c); g1(d);' else '' end as text from code_point")
 plan("related_code", "select path_id, 'File Path: ' || min(file) || chr(10) || replace(@chain(' ' || cast(line as string) || ': x = m(' || var || ');'¦~¦line * 100 + pos)@, '~', chr(10)) as text from flow_point where path_id % 5 <> 0 group by path_id union all select path_id, 'no path here' as text from flow_point where path_id % 5 = 0 group by path_id")
+
+#: Views that only stand in for a domain's tables; they are no queries of their own.
+DOMAIN = frozenset("source_loop graph_point point_candidate function_call function_entry function_block function_edge reply reported_start graph_function cached_graph name_asked code_line related_code assessed_before".split())
