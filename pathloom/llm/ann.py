@@ -98,10 +98,10 @@ def pack(codes: np.ndarray) -> np.ndarray:
     return codes[:, 0::2] * 16 + codes[:, 1::2]
 
 
-def scan(packed: np.ndarray, centres: np.ndarray, queries: np.ndarray) -> np.ndarray:
+def scan(packed: np.ndarray, centres: np.ndarray, queries: np.ndarray, kind: np.dtype = np.float32) -> np.ndarray:
     """Approximate inner products (rows, queries) from tables of four-bit codes."""
-    tables = np.einsum("qmd,mkd->mkq", queries.reshape(len(queries), -1, 2), centres).astype(np.float32)
-    out = np.zeros((len(packed), len(queries)), np.float32)
+    tables = np.einsum("qmd,mkd->mkq", queries.reshape(len(queries), -1, 2), centres).astype(kind)
+    out = np.zeros((len(packed), len(queries)), kind)
     for j in range(packed.shape[1]):
         pair = (tables[2 * j][:, None, :] + tables[2 * j + 1][None, :, :]).reshape(256, -1)
         out += pair[packed[:, j]]
@@ -130,7 +130,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, packed: np.ndarray, qids: np.nd
     found = []
     for at in range(0, len(q), SCAN_QUERIES):
         part = q[at : at + SCAN_QUERIES]
-        approx = np.ascontiguousarray(scan(codes, centres, padded(part)).T)
+        approx = np.ascontiguousarray(scan(codes, centres, padded(part), x.dtype).T)
         for i in range(len(part)):
             rows = leaders(approx[i], rerank)
             exact = (vectors[rows] * part[i].astype(np.float64)).sum(1)
@@ -148,10 +148,15 @@ def search_block(ids: np.ndarray, x: np.ndarray, packed: np.ndarray, qids: np.nd
     return found
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+def element(vectors: DataFrame, vector_col: str) -> str:
+    """float for columns of floats; all others are read as doubles, so no component is rounded or lost."""
+    return "float" if vectors.select(vector_col).dtypes[0][1] == "array<float>" else "double"
+
+
+def usable(vectors: DataFrame, id_col: str, vector_col: str, kind: str) -> DataFrame:
     """(vec_id, v) of the vectors that take part."""
-    v = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<float>").alias("v"))
-    v = v.where("vec_id is not null and v is not null and size(v) > 0 and forall(v, e -> e is not null and not isnan(e) and abs(e) < cast('infinity' as float)) and exists(v, e -> e <> 0)")
+    v = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast(f"array<{kind}>").alias("v"))
+    v = v.where(f"vec_id is not null and v is not null and size(v) > 0 and forall(v, e -> e is not null and not isnan(e) and abs(e) < cast('infinity' as {kind})) and exists(v, e -> e <> 0)")
     widths = v.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").limit(1).collect()
     return v.where(F.size("v") == (widths[0]["width"] if widths else 0))
 
@@ -159,7 +164,9 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 100, eta: float = ETA, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per query the k nearest other rows found: query_id, rank, vec_id, score (exact, double)."""
     spark = vectors.sparkSession
-    rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
+    kind = "float" if element(vectors, vector_col) == element(queries, vector_col) == "float" else "double"
+    stored = np.float32 if kind == "float" else np.float64
+    rows, asked = usable(vectors, id_col, vector_col, kind), usable(queries, id_col, vector_col, kind)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n, n_asked = rows.count(), asked.count()
     if not n or not n_asked:
@@ -174,13 +181,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 1
         for pdf in batches:
             x = padded(np.stack([np.asarray(v, dtype=np.float64) for v in pdf["v"]])) if len(pdf) else np.zeros((0, 4))
             packed = pack(encode(x, shared.value, eta)) if len(x) else np.zeros((0, 1), np.uint8)
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": [np.asarray(v, dtype=np.float32).tobytes() for v in pdf["v"]], "code": [c.tobytes() for c in packed]})
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": [np.asarray(v, dtype=stored).tobytes() for v in pdf["v"]], "code": [c.tobytes() for c in packed]})
 
     def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", "vec_id", "score"]
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        x = np.frombuffer(b"".join(left["v"]), np.float32).reshape(len(left), -1)
+        x = np.frombuffer(b"".join(left["v"]), stored).reshape(len(left), -1)
         packed = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(left), -1)
         q = np.stack([np.asarray(v, dtype=np.float64) for v in right["v"]])
         return pd.DataFrame(search_block(left["vec_id"].to_numpy(), x, packed, right["query_id"].to_numpy(), q, shared.value, k, rerank), columns=columns)

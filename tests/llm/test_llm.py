@@ -199,3 +199,13 @@ def test_html(spark):
     want = {1: "T & u\none two\nthree", 2: "T & u\none two\nfour", 3: "", 4: ""}
     assert {r.page_id: r.text for r in html_extract.main_text(pages).collect()} == want
     assert {r.page_id: r.text for r in html_extract.main_text(pages, broadcast_bytes=-1).collect()} == want
+
+
+def test_search_over_doubles(spark):
+    """Doubles aren't rounded, large ones take part; ties go to the smaller id, fewer candidates than asked come all."""
+    from pathloom.llm import ann
+
+    vectors = spark.createDataFrame([(20, [0.1, 0.2], "x"), (3, [0.3, 0.7], "x"), (2, [0.3, 0.7], "x"), (40, [1e39, 0.0], "x"), (5, [0.0, 0.0], "x"), (6, None, "x"), (7, [float("nan"), 1.0], "x")], "vec_id long, embedding array<double>, score string")
+    got = [tuple(r) for r in ann.nearest(vectors, vectors.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
+    assert got == [(20, 1, 40, 0.1 * 1e39), (20, 2, 2, 0.1 * 0.3 + 0.2 * 0.7), (20, 3, 3, 0.1 * 0.3 + 0.2 * 0.7), (40, 1, 2, 0.3 * 1e39), (40, 2, 3, 0.3 * 1e39), (40, 3, 20, 0.1 * 1e39)]
+    assert ann.nearest(vectors.where("false"), vectors).collect() == []
