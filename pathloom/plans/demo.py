@@ -134,5 +134,16 @@ plan("name_asked", "select distinct case when ordinal % 2 = 0 then qname when or
 plan("code_line", "select distinct file_path as file, line, line_code || case when line % 3 = 0 then ' if (g' || cast(line % 60 as string) || '(a, next(b))) g1 (c); g1(d);' else '' end as text from code_point")
 plan("related_code", "select path_id, 'File Path: ' || min(file) || chr(10) || replace(@chain(' ' || cast(line as string) || ': x = m(' || var || ');'¦~¦line * 100 + pos)@, '~', chr(10)) as text from flow_point where path_id % 5 <> 0 group by path_id union all select path_id, 'no path here' as text from flow_point where path_id % 5 = 0 group by path_id")
 
+# Results of four queries on three weaknesses, first runs and iterations, and the functions of their suites.
+plan("stored_place", """
+select cwe, query, iteration, result_idx, case line % 7 when 0 then 'lib/other.c' when 1 then '/juliet-test-suite-c/testcases/CWE' || cast(cwe as string) || '_x/s1/main.cpp' when 2 then '/juliet-test-suite-c/testcases/CWE' || cast(cwe as string) || '_x/' || short
+            when 3 then 'lib/CWE9_' || case when n = 1 then 'bad' when n = 2 then 'good' else 'odd' end || '.c' else short end as uri, case when line % 7 = 3 and n < 4 then 0 else line end as line
+from (select 20 + l_orderkey % 3 as cwe, 'q' || cast(l_suppkey % 4 as string) as query, cast(l_orderkey % 4 as bigint) as iteration, l_orderkey as result_idx, l_linenumber as n, l_partkey % 400 as line,
+             's' || cast(l_suppkey % 5 as string) || '/CWE' || cast(20 + l_orderkey % 3 as string) || '_t' || cast(l_partkey % 2 as string) || '.c' as short from lineitem) x""")
+plan("stored_function", """
+select cwe, '/juliet-test-suite-c/testcases/CWE' || cast(cwe as string) || '_x/s' || cast(s as string) || '/CWE' || cast(cwe as string) || '_t' || cast(t as string) || '.c' as file, slot * 10 as start_line, slot * 10 + min(size) as end_line,
+       'CWE' || cast(cwe as string) || '_' || cast(slot as string) || case slot % 4 when 0 then '_bad' when 1 then '_goodB2G' when 2 then '_helper' else 'BadSink' end as function
+from (select 20 + p_partkey % 3 as cwe, p_partkey % 5 as s, p_partkey % 2 as t, p_partkey % 41 as slot, p_size % 7 as size from part) x group by cwe, s, t, slot""")
+
 #: Views that only stand in for a domain's tables; they are no queries of their own.
-DOMAIN = frozenset("source_loop graph_point point_candidate function_call function_entry function_block function_edge reply reported_start graph_function cached_graph name_asked code_line related_code assessed_before".split())
+DOMAIN = frozenset("stored_place stored_function stored_hit stored_score stored_report source_loop graph_point point_candidate function_call function_entry function_block function_edge reply reported_start graph_function cached_graph name_asked code_line related_code assessed_before".split())

@@ -11,9 +11,10 @@ DEBUG_ROWS = 1000
 UNCAPPED = ("context_unit",)
 
 
-def replace_results(rows: DataFrame, path: str, by: tuple[str, ...] = ("project_name", "cwe_code")) -> None:
+def replace_results(rows: DataFrame, path: str, by: tuple[str, ...] | list[str] = ("project_name", "cwe_code")) -> None:
     """Writes ``rows``; what was stored for a project and weakness that occur in ``rows`` is replaced, the rest stays."""
-    rows.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    # rebalance splits the partitions of a key that holds much more than others
+    rows.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def debug_rows(rows: DataFrame, type_col: str, order: list[str], keep: int = DEBUG_ROWS) -> DataFrame:
