@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import assembly, assess, builds, graphs, lookups, loops, paths, predicates, replies, rescore, segment_constraints, symbols, walks  # noqa: F401  (their plans register on import)
+from .operators import assembly, assess, blocks, builds, descriptions, graphs, lookups, loops, paths, predicates, replies, rescore, segment_constraints, symbols, walks  # noqa: F401  (their plans register on import)
 from .plans import demo, round_trips  # noqa: F401
 from .plans.core import PLANS, compile_sql, run
 

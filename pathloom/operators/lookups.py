@@ -3,7 +3,8 @@
 from ..plans.core import plan
 
 plan("function_by_qname", """
-select site, qname, file_path, start_line from (select u.site, f.qname, f.file_path, f.start_line, row_number() over (partition by u.site order by f.ordinal) as k from requested_symbol u join function_def f on f.base = u.base and f.qname = u.name) x where k = 1""")
+select u.site, f.qname, f.file_path, f.start_line
+from requested_symbol u join (select base, qname, min_by(file_path, ordinal) as file_path, min_by(start_line, ordinal) as start_line from function_def group by base, qname) f on f.base = u.base and f.qname = u.name""")
 plan("functions_in_file", "select f.file_path, f.base, count(*) as defs, count(distinct f.qname) as functions, min(f.start_line) as first_line from function_def f group by f.file_path, f.base")
 plan("enclosing_suffix", """
 select b.site, f.qname, f.start_line, f.end_line
@@ -20,9 +21,9 @@ left join (select name, min_by(body, ordinal) as body, min_by(def_file, ordinal)
 where coalesce(u.body, n.body) is not null""")
 plan("macros_by_name", "select r.name, m.ordinal, m.body, m.def_file from (select distinct name from requested_symbol) r join macro_use m on m.name = r.name")
 plan("macro_same_directory", """
-select site, name, body, def_file from (
-  select r.site, m.name, m.body, m.def_file, row_number() over (partition by r.site order by case when substr(m.use_file, 1, length(r.dir)) = r.dir then 0 else 1 end, m.ordinal) as k
-  from requested_symbol r join macro_use m on m.name = r.name) x where k = 1""")
+select r.site, r.name, case when d.n is null then m.body else d.body end as body, case when d.n is null then m.def_file else d.def_file end as def_file
+from requested_symbol r join (select name, min_by(body, ordinal) as body, min_by(def_file, ordinal) as def_file from macro_use group by name) m on m.name = r.name
+left join (select name, dir, count(*) as n, min_by(body, ordinal) as body, min_by(def_file, ordinal) as def_file from (select *, substr(use_file, 1, length(use_file) - length(split_part(use_file, '/', -1))) as dir from macro_use) x group by name, dir) d on d.name = r.name and d.dir = r.dir""")
 plan("macro_preload", """
 select l.path_id, m.name, min_by(m.body, l.first_seen * 1000000 + m.ordinal) as body, min_by(m.def_file, l.first_seen * 1000000 + m.ordinal) as def_file
 from (select path_id, file_path, line, min(pos) as first_seen from code_point group by path_id, file_path, line) l join macro_use m on m.base = l.file_path and m.use_line = l.line
@@ -30,9 +31,9 @@ group by l.path_id, m.name""")
 plan("global_by_name", "select r.site, min_by(g.name, g.ordinal) as name, min_by(g.type_name, g.ordinal) as type_name from requested_symbol r join global_var g on g.name = split_part(r.name, '::', -1) group by r.site")
 plan("class_by_name", "select r.site, min_by(c.name, c.ordinal) as name, min_by(c.qname, c.ordinal) as qname from requested_symbol r join class_def c on c.name = split_part(r.name, '::', -1) group by r.site")
 plan("context_lookup", """
-select site, name, qname, in_context from (
-  select r.site, r.name, f.qname, case when f.base = r.base then 1 else 0 end as in_context, row_number() over (partition by r.site order by case when f.base = r.base then 0 else 1 end, f.ordinal) as k
-  from requested_symbol r join function_def f on f.name = split_part(r.name, '::', -1)) x where k = 1""")
+select r.site, r.name, coalesce(c.qname, f.qname) as qname, case when c.n is not null then 1 else 0 end as in_context
+from (select *, split_part(name, '::', -1) as simple from requested_symbol) r join (select name, min_by(qname, ordinal) as qname from function_def group by name) f on f.name = r.simple
+left join (select name, base, count(*) as n, min_by(qname, ordinal) as qname from function_def group by name, base) c on c.name = r.simple and c.base = r.base""")
 plan("use_def_function", """
 select u.site, u.name, coalesce(p.qname, n.qname) as qname, coalesce(p.start_line, n.start_line) as start_line, case when p.qname is not null then 'precise' when n.qname is not null then 'name' else 'none' end as found_by
 from use_site u

@@ -34,8 +34,9 @@ select fn, line, bb_id, size from (
 plan("valid_start", "select b.fn, b.block, b.is_entry = 1 or p.dst is not null as is_valid from block b left join (select distinct fn, dst from bb_edge) p on p.fn = b.fn and p.dst = b.block")
 plan("predecessor_count", "select b.fn, b.block, coalesce(p.n, 0) as predecessors from block b left join (select fn, dst, count(*) as n from bb_edge group by fn, dst) p on p.fn = b.fn and p.dst = b.block")
 plan("point_in_body", """
-select u.site, u.line, coalesce(max(case when u.line between f.start_line and f.end_line and u.line <> f.start_line then 1 when u.line = f.start_line then 0 end), 1) = 1 as in_body
-from use_site u left join function_def f on f.name = u.name and f.base = u.base group by u.site, u.line""")
+select u.site, u.line, coalesce(max(case when f.start_line is null then null when u.line <> f.start_line then 1 else 0 end), 1) = 1 as in_body
+from use_site u left join (select name, base, start_line, end_line, @series(floor(start_line / 64)¦floor(greatest(start_line, end_line) / 64))@ as bin from (select distinct name, base, start_line, end_line from function_def) d) f
+  on f.name = u.name and f.base = u.base and f.bin = cast(floor(u.line / 64) as bigint) and u.line between f.start_line and greatest(f.start_line, f.end_line) group by u.site, u.line""")
 plan("steps_of_function", "select function_id, path_id, count(*) as steps, min(idx) as first_idx, max(idx) as last_idx from (select path_id, idx, f_id as function_id from related_step union select path_id, idx, t_id as function_id from related_step) x group by function_id, path_id")
 plan("symbol_name", f"""
 select site, name, case when name = '' then 'required' when {any_of("name like '%{}'", SOURCE_ENDINGS)} then 'file path' when contains(name, '/') or contains(name, chr(92)) then 'separator'
@@ -50,6 +51,9 @@ select fn, case when c = 'bad' then 'bad' when c = 'good' then 'good' when lower
 from (select fn, trim(fn) as c from suite_function) x""")
 plan("suite_totals", "select count(distinct case when kind = 'bad' and lower(fn) like '%bad%' then fn end) as bad_functions, count(distinct case when kind = 'good' and lower(fn) like '%good%' then fn end) as good_functions from strict_kind")
 plan("keyword_groups", "select result_idx, flow_idx, tf_idx, max(case when contains(lower(uri), 'lib') or contains(lower(label), 'a') then 1 else 0 end) = 1 as mentions from location group by result_idx, flow_idx, tf_idx")
+# Up to the line behind the next blank line or closing brace; to the top where there is none.  A start behind the file's end is its last line.
 plan("adjusted_start", """
-select file, line as start_line, coalesce(boundary + 1, line) as adjusted
-from (select file, line, max(case when trim(text) = '' or trim(text) = '}' then line end) over (partition by file order by line rows between unbounded preceding and 1 preceding) as boundary from source_line) x where line % 5 = 0""")
+select a.file, a.line as start_line, case when a.line < 1 or n.lines is null then a.line when a.line > n.lines then n.lines else coalesce(a.boundary + 1, 1) end as adjusted
+from (select file, line, asked, max(case when asked = 0 and @matches(text¦^\\s*[}]?\\s*$)@ then line end) over (partition by file order by line, asked desc rows between unbounded preceding and current row) as boundary
+      from (select file, line, text, 0 as asked from source_line union all select distinct file, line, cast(null as string) as text, 1 as asked from reported_start) x) a
+left join (select file, count(*) as lines from source_line group by file) n on n.file = a.file where a.asked = 1""")

@@ -10,10 +10,10 @@ from (select u.site, u.line, coalesce(min(case when right(f.file_path, length(u.
         on f.base = u.base and f.bin = cast(floor(u.line / 64) as bigint) and u.line between f.start_line and f.end_line
       group by u.site, u.line) b
 join function_def f on f.ordinal = b.ordinal""")
+# Definitions are reduced to the first of each key before they meet the places that ask for them.
 plan("function_by_name", """
-select site, ordinal, qname, start_line from (
-  select u.site, f.ordinal, f.qname, f.start_line, row_number() over (partition by u.site order by f.ordinal) as k
-  from use_site u join function_def f on f.name = u.name and f.base = u.base) x where k = 1""")
+select u.site, f.ordinal, f.qname, f.start_line
+from use_site u join (select name, base, min(ordinal) as ordinal, min_by(qname, ordinal) as qname, min_by(start_line, ordinal) as start_line from function_def group by name, base) f on f.name = u.name and f.base = u.base""")
 plan("macros_at_location", "select base, line, name, min_by(body, ordinal) as body from macro_def group by base, line, name")
 plan("symbol_fallback", """
 select site, name, kind, detail from (
@@ -24,7 +24,7 @@ select site, name, kind, detail from (
     union all select 3 as priority, 'global' as kind, name, min(ordinal) as ordinal, min_by(type_name, ordinal) as detail from global_var group by name
     union all select 4 as priority, 'class' as kind, name, min(cast(ordinal as bigint)) as ordinal, min_by(qname, ordinal) as detail from class_def group by name) s on s.name = u.name) x
 where k = 1""")
-plan("unresolved_sites", "select u.site, u.name from use_site u where not exists (select 1 from function_def f where f.name = u.name) and not exists (select 1 from macro_def m where m.name = u.name)")
+plan("unresolved_sites", "select u.site, u.name from requested_symbol u where not exists (select 1 from function_def f where f.name = u.name) and not exists (select 1 from macro_def m where m.name = u.name)")
 plan("distinct_functions", "select base, name, min(start_line) as start_line, count(*) as defs from function_def group by base, name")
 plan("function_info", """
 select name, qname, len from (select name, qname, length(qname) as len, rank() over (partition by name order by length(qname), qname) as k from (select distinct name, qname from function_def) a) b where k = 1""")

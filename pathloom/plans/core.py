@@ -112,13 +112,15 @@ def forget(spark: SparkSession) -> None:
 
 
 def stamp(df: DataFrame) -> tuple:
-    """The files of a table with their sizes and times: another content under the same names is another table."""
-    spark, out = df.sparkSession, []
-    for f in sorted(df.inputFiles()):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-        out.append((f, status.getLen(), status.getModificationTime()))
-    return tuple(out)
+    """The files of a table with their sizes and times: another content under the same names is another table.  One listing
+    a folder, none a file."""
+    spark, out = df.sparkSession, {}
+    files = set(df.inputFiles())
+    for folder in {f.rpartition("/")[0] for f in files}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
+            out[folder, status.getPath().toUri().getRawPath().rpartition("/")[2]] = (status.getLen(), status.getModificationTime())
+    return tuple((f, *out[tuple(f.rpartition("/")[::2])]) for f in sorted(files))
 
 
 def frame(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFrame:

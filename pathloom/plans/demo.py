@@ -79,7 +79,7 @@ from (select fn, block as b, block * 10 as sl, block * 10 + case when block % 5
 plan("block_point", "select distinct user_id - user_id % 4 as fn, event_id % 140 as line from events")
 plan("macro_use", "select s_suppkey as ordinal, 'g' || cast(s_suppkey % 90 as string) as name, case when s_suppkey % 2 = 0 then 'src/' else 'lib/' end || 's' || cast(s_suppkey % 3 as string) || '.c' as use_file, 's' || cast(s_suppkey % 3 as string) || '.c' as base, s_suppkey * 37 % 500 as use_line, 'inc/m' || cast(s_suppkey % 7 as string) || '.h' as def_file, 'm' || cast(s_suppkey % 5 as string) as body from supplier")
 plan("requested_symbol", "select event_id as site, case event_id % 9 when 0 then '' when 1 then 'util/g1.c' when 2 then 'g1.h' when 3 then 'ns::g' || cast(event_id % 60 as string) when 4 then '9g' when 5 then 'std::move' when 6 then '__builtin_expect' when 7 then 'strlen' else 'g' || cast(event_id % 60 as string) end as name, 's' || cast(user_id % 3 as string) || '.c' as base, case when user_id % 2 = 0 then 'src/' else 'lib/' end as dir, event_id % 500 as line from events")
-plan("library_name", "select 'strlen' as name union all select 'memcpy' as name union all select 'sqrt' as name")
+plan("library_name", "select distinct case p_partkey % 50 when 0 then 'strlen' when 1 then 'memcpy' when 2 then 'sqrt' else 'lib' || cast(p_partkey as string) end as name from part")
 plan("alert", "select event_id as site, case event_id % 13 when 0 then 'lib/' when 1 then 'x/juliet-test-suite-c/' else '' end || 'src' || cast(user_id % 20 as string) || case when event_id % 17 = 0 then '/main.cpp' else '' end as file, event_id % 1000 as line, cast(user_id as bigint) as flow, event_id as pos from events")
 plan("probe", "select c_custkey as ordinal, 'cwe' || cast(c_custkey % 5 as string) as cwe_code, cast(c_custkey % 40 as string) as variable_name, md5(cast(c_custkey as string)) as chain_hash, case when c_custkey % 3 = 0 then '0' else md5('b' || cast(c_custkey as string)) end as backward_hash, '0' as forward_hash, 'p' as project, case c_custkey % 3 when 0 then 'F' when 1 then 'O' else 'P' end as analysis_type from customer")
 plan("recorded_result", "select o_orderkey as ordinal, case o_orderstatus when 'F' then true when 'O' then false end as fp, substr(o_orderpriority, 3) as level from orders")
@@ -145,5 +145,19 @@ select cwe, '/juliet-test-suite-c/testcases/CWE' || cast(cwe as string) || '_x/s
        'CWE' || cast(cwe as string) || '_' || cast(slot as string) || case slot % 4 when 0 then '_bad' when 1 then '_goodB2G' when 2 then '_helper' else 'BadSink' end as function
 from (select 20 + p_partkey % 3 as cwe, p_partkey % 5 as s, p_partkey % 2 as t, p_partkey % 41 as slot, p_size % 7 as size from part) x group by cwe, s, t, slot""")
 
+plan("asked_id", "select distinct case event_id % 9 when 0 then '12.3' when 1 then 'x.1_2.3' when 2 then '0.0_0.0' when 3 then cast(user_id as string) || '.4_' || cast(event_id % 90 as string) || '.1_L10i2' when 4 then '7.2_9.1_L3i2_L1i2' when 5 then '' when 6 then cast(user_id as string) || '_' || cast(user_id + 3 as string) when 7 then '5.1_b' else cast(event_id % 90 as string) || '.1_' || cast(user_id as string) || '.9' end as block_id from events")
+plan("asked_block", "select 'd' || cast(doc_id as string) || '.c' as file, cast(doc_id % 4 as string) || '.' || cast(1 + doc_id % 5 as string) || '_' || cast(doc_id % 3 + doc_id % 4 as string) || '.' || cast(doc_id % 60 as string) || case when doc_id % 6 = 0 then '_L1i2' else '' end as block_id from documents where doc_id is not null")
+plan("shown_constraint", "select fn, src * 100 + dst as place, case when dst = 5 then 0 else src * 10 end as line, etype as branch, case dst % 4 when 0 then 'UNKNOWN' when 1 then ' c' || cast(src as string) || ' ' when 2 then null else '' end as condition, case when src % 3 = 0 then '' else cast(src as string) || '.1_9.2' || case when src % 2 = 0 then '_L10i2' else '' end end as block_id from bb_edge where etype <> 'UNCONDITIONAL'")
+plan("query_version", "select doc_id as file, v as version, 'import cpp' || chr(10) || case when (doc_id + v) % 3 = 0 then 'import x.y' || chr(10) || ' import z' || chr(10) else '' end || case when (doc_id * v) % 4 = 1 then 'predicate p(int i) {' || chr(10) || '}' || chr(10) else '' end || case when v = 2 then coalesce(text, '') else '' end as text from (select doc_id, text, @series(1¦3)@ as v from documents) x")
+plan("raw_call", "select event_id as ordinal, event_id % 1500 + 1 as target, case event_id % 5 when 0 then '/usr/include/' when 1 then '/src/usr/include' else 'src/' end || 's' || cast(user_id % 3 as string) || '.c' as use_file, event_id % 500 as use_line from events")
+plan("raw_class", "select c_custkey as ordinal, 'k' || cast(c_custkey % 50 as string) as name, 'ns::k' || cast(c_custkey % 50 as string) as qname, case c_custkey % 4 when 0 then '/usr/include/c++/' when 1 then 'x/usr/include' else 'src/' end || 'k.h' as file_path from customer")
+plan("raw_global", "select s_suppkey as ordinal, 'v' || cast(s_suppkey % 50 as string) as name, s_name as type_name, case s_suppkey % 3 when 0 then '/usr/include/' else 'src/' end || 'v.h' as file_path from supplier")
+plan("raw_body", "select ordinal, case when ordinal % 5 = 0 then 'gen/' || base else file_path end as body_file from function_def")
+plan("text_function", "select 'd' || cast(doc_id as string) || '.c' as file, 'fn' || cast(k as string) as name, k * 3 + doc_id % 2 as start_line, k * 3 + doc_id % 2 + doc_id % 5 as end_line from (select doc_id, @series(1¦3)@ as k from documents where doc_id is not null) x")
+plan("text_site", "select event_id as site, 'd' || cast(event_id % 1000 as string) || '.c' as file, cast(user_id % 13 as bigint) as line from events")
+plan("unit_turn", "select u.segment, u.unit_key, c.turn, c.role, c.text from logic_unit u join conversations c on c.conv_id = u.first_path % 100")
+plan("path_turn", "select p.path_id, p.segment as phase, t.unit_key, t.turn, t.role, t.text from path_unit p join unit_turn t on t.segment = p.segment and t.unit_key = p.unit_key")
+plan("debug_row", "select 'segment' as type, segment || ':' || cast(path_id as string) as id, skey as detail from segment_key union all select 'unit' as type, segment || ':' || unit_key as id, cast(usage_count as string) as detail from logic_unit union all select 'connection' as type, kind || ':' || src || ':' || dst as id, cast(n as string) as detail from connection_edge union all select 'context_unit' as type, i_key || ':' || b_key || ':' || f_key as id, '' as detail from unit_contexts")
+
 #: Views that only stand in for a domain's tables; they are no queries of their own.
-DOMAIN = frozenset("stored_place stored_function stored_hit stored_score stored_report source_loop graph_point point_candidate function_call function_entry function_block function_edge reply reported_start graph_function cached_graph name_asked code_line related_code assessed_before".split())
+DOMAIN = frozenset("asked_id asked_block shown_constraint query_version raw_call raw_class raw_global raw_body text_function text_site unit_turn path_turn debug_row rows_debug stored_place stored_function stored_hit stored_score stored_report source_loop graph_point point_candidate function_call function_entry function_block function_edge reply reported_start graph_function cached_graph name_asked code_line related_code assessed_before".split())

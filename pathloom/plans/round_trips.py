@@ -33,6 +33,7 @@ plan("rows_debug_segments", "select path_id, segment, steps, skey from (select p
 plan("rows_decomposition_log", "select 'path_' || cast(path_id as string) || ': ' || coalesce(b_key, '-') || ' | ' || coalesce(i_key, '-') || ' | ' || coalesce(f_key, '-') as value from decomposition")
 plan("rows_evaluation", "select kind, file, fn as function, count(*) as hits from labelled_function where kind <> 'unknown' group by kind, file, fn")
 plan("rows_patched", "select user_id as report, cast(count(*) as bigint) as total, case when user_id % 2 = 0 then cast(max(event_id) as bigint) else cast(-1 as bigint) end as best from events group by user_id")
+plan("rows_debug", "select type, id, detail from (select type, id, detail, row_number() over (partition by type order by id, detail) as k from debug_row) x where k <= 1000 or type = 'context_unit'")
 plan("rows_box", "select file, @chain(case line when 2 then substr(text, 3) when 4 then substr(text, 1, 5) else text end¦~¦line)@ as text from source_line where line between 2 and 4 group by file")
 
 
@@ -159,6 +160,27 @@ def sink_patched_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.patched(reports, metrics, ["report"])
 
 
+def _conversations(name: str, by: list[str], folder: str):
+    """Turns nested by unit or path, written as one object each in folders by phase, and read back as turns."""
+
+    def trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows, path = view(name)(spark, sf_dir), fresh(spark, name)
+        turn = [c for c in rows.columns if c not in by]
+        sinks.nested(rows, by, "conversation_history").write.partitionBy(folder).option("ignoreNullFields", "false").json(path)
+        kinds = dict(rows.dtypes)
+        fields = ", ".join(f"{c}: {kinds[c]}" for c in turn)
+        read = spark.read.schema(", ".join(f"{c} {kinds[c]}" for c in by) + f", conversation_history array<struct<{fields}>>").json(path)
+        return read.select(*by, F.explode("conversation_history").alias("t")).select(*by, "t.*")
+
+    return trip
+
+
+def sink_debug_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh(spark, "debug")
+    sinks.debug_rows(view("debug_row")(spark, sf_dir), "type", ["id", "detail"]).write.partitionBy("type").parquet(path)
+    return spark.read.parquet(path).select("type", "id", "detail")
+
+
 def source_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = view("source_line")(spark, sf_dir)
     boxes = lines.select("file").distinct().selectExpr("file", "2 as start_line", "3 as start_col", "4 as end_line", "5 as end_col")
@@ -182,6 +204,9 @@ TRIPS |= {f"sink_{n}": (_json_sink(p), p) for n, p in {"statistics": "unit_stats
 TRIPS |= {"scan_suite": (scan_suite, "rows_suite"), "scan_suite_named": (scan_suite_named, "rows_suite"), "scan_history": (scan_history, "rows_history"), "scan_query_files": (scan_query_files, "rows_query_files"), "path_resolution": (path_resolution, "rows_resolved"), "path_location": (path_location, "rows_located"), "sink_token_csv": (sink_token_csv, "rows_token_csv"), "sink_debug_segments": (sink_debug_segments, "rows_debug_segments"), "sink_decomposition_log": (sink_decomposition_log, "rows_decomposition_log"), "sink_evaluation_json": (sink_evaluation_json, "rows_evaluation"), "sink_patched_report": (sink_patched_report, "rows_patched"), "source_box": (source_box, "rows_box"), "scan_sarif": (scan_sarif, "rows_sarif")}
 
 
+TRIPS |= {"sink_unit_conversations": (_conversations("unit_turn", ["segment", "unit_key"], "segment"), "unit_turn"), "sink_path_conversations": (_conversations("path_turn", ["path_id", "phase", "unit_key"], "phase"), "path_turn"), "sink_debug_rows": (sink_debug_rows, "rows_debug")}
+
+
 def queries() -> dict:
     return {name: trip for name, (trip, _) in TRIPS.items()}
 
