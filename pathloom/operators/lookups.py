@@ -1,6 +1,9 @@
 """Lookups of symbols, macros, calls, blocks and functions, each with its order of preference; caches by their whole key."""
 
 from ..plans.core import plan
+from .symbols import around
+
+ASKED_PATH = "select site, line, base, case when site % 3 = 0 then '/home/' || file_path when site % 3 = 1 then base else file_path end as file_path from use_site"
 
 plan("function_by_qname", """
 select u.site, f.qname, f.file_path, f.start_line
@@ -12,7 +15,11 @@ from (select u.site, coalesce(min(case when right(f.file_path, length(u.file_pat
       from (select site, line, base, case when site % 3 = 0 then '/home/' || file_path when site % 3 = 1 then base else file_path end as file_path from use_site) u
       join (select d.ordinal, d.file_path, d.base, d.start_line, d.end_line, @series(floor(d.start_line / 64)¦floor(d.end_line / 64))@ as bin from function_def d) f
         on f.base = u.base and f.bin = cast(floor(u.line / 64) as bigint) and u.line between f.start_line and f.end_line
-      group by u.site) b join function_def f on f.ordinal = b.ordinal""")
+      group by u.site) b join function_def f on f.ordinal = b.ordinal""", spark=f"""
+select b.site, f.qname, f.start_line, f.end_line
+from (select u.site, coalesce(min(p.near), min(p.any)) as ordinal from ({ASKED_PATH}) u
+      join ({around(f"select distinct file_path, base, line from ({ASKED_PATH}) v")}) p on p.base = u.base and p.line = u.line and p.file_path <=> u.file_path group by u.site) b
+join function_def f on f.ordinal = b.ordinal""")
 plan("macro_by_use", """
 select r.site, r.name, coalesce(u.body, n.body) as body, coalesce(u.def_file, n.def_file) as def_file, case when u.body is not null then 'use' else 'name' end as found_by
 from requested_symbol r

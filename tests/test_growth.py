@@ -36,3 +36,9 @@ def test_enclosing_function_of_copies(spark):
     got = run(spark, "enclosing_function", {"use_site": sites(spark, 300), "function_def": defs(spark, 300)})
     assert {tuple(r) for r in got.collect()} == {(i, 20, "g1", "ns::g1", 10, 30) for i in range(300)}
     assert joined(got) <= 300
+
+
+def test_enclosing_suffix_of_copies(spark):
+    got = run(spark, "enclosing_suffix", {"use_site": sites(spark, 300), "function_def": defs(spark, 300)})
+    assert {tuple(r) for r in got.collect()} == {(i, "ns::g1", 10, 30) for i in range(300)}
+    assert joined(got) <= 300
