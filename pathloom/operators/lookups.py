@@ -35,7 +35,9 @@ plan("macro_preload", """
 select l.path_id, m.name, min_by(m.body, l.first_seen * 1000000 + m.ordinal) as body, min_by(m.def_file, l.first_seen * 1000000 + m.ordinal) as def_file
 from (select path_id, file_path, line, min(pos) as first_seen from code_point group by path_id, file_path, line) l join macro_use m on m.base = l.file_path and m.use_line = l.line
 group by l.path_id, m.name""")
-plan("global_by_name", "select r.site, min_by(g.name, g.ordinal) as name, min_by(g.type_name, g.ordinal) as type_name from requested_symbol r join global_var g on g.name = split_part(r.name, '::', -1) group by r.site")
+plan("global_by_name", "select r.site, min_by(g.name, g.ordinal) as name, min_by(g.type_name, g.ordinal) as type_name from requested_symbol r join global_var g on g.name = split_part(r.name, '::', -1) group by r.site",
+     # the first variable of each name meets the places
+     spark="select r.site, min_by(g.name, g.ordinal) as name, min_by(g.type_name, g.ordinal) as type_name from requested_symbol r join (select name, min(ordinal) as ordinal, min_by(type_name, ordinal) as type_name from global_var group by name) g on g.name = split_part(r.name, '::', -1) group by r.site")
 plan("class_by_name", "select r.site, min_by(c.name, c.ordinal) as name, min_by(c.qname, c.ordinal) as qname from requested_symbol r join class_def c on c.name = split_part(r.name, '::', -1) group by r.site")
 plan("context_lookup", """
 select r.site, r.name, coalesce(c.qname, f.qname) as qname, case when c.n is not null then 1 else 0 end as in_context

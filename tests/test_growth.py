@@ -42,3 +42,11 @@ def test_enclosing_suffix_of_copies(spark):
     got = run(spark, "enclosing_suffix", {"use_site": sites(spark, 300), "function_def": defs(spark, 300)})
     assert {tuple(r) for r in got.collect()} == {(i, "ns::g1", 10, 30) for i in range(300)}
     assert joined(got) <= 300
+
+
+def test_global_by_name_of_copies(spark):
+    asked = spark.createDataFrame([(i, "ns::v" if i % 2 else "v", "a.c", "src/", 1) for i in range(300)], "site long, name string, base string, dir string, line long")
+    names = spark.createDataFrame([(i, "v", f"t{i}") for i in range(299, -1, -1)], "ordinal long, name string, type_name string")
+    got = run(spark, "global_by_name", {"requested_symbol": asked, "global_var": names})
+    assert {tuple(r) for r in got.collect()} == {(i, "v", "t0") for i in range(300)}
+    assert joined(got) <= 300
