@@ -42,7 +42,9 @@ plan("symbol_name", f"""
 select site, name, case when name = '' then 'required' when {any_of("name like '%{}'", SOURCE_ENDINGS)} then 'file path' when contains(name, '/') or contains(name, chr(92)) then 'separator'
        when @matches(name¦^[a-zA-Z_][a-zA-Z0-9_]*(::[a-zA-Z_][a-zA-Z0-9_]*)*$)@ then 'valid' else 'identifier' end as judged from requested_symbol""")
 plan("library_function", f"select r.site, r.name, {any_of("substr(r.name, 1, length('{0}')) = '{0}'", LIBRARY_PREFIXES)} or l.name is not null as is_library from requested_symbol r left join library_name l on l.name = r.name")
-plan("open_request", "select distinct r.name, r.base from requested_symbol r where r.name <> '' and not exists (select 1 from function_def f where f.name = r.name or f.qname = r.name) and not exists (select 1 from macro_def m where m.name = r.name)")
+plan("open_request", "select distinct r.name, r.base from requested_symbol r where r.name <> '' and not exists (select 1 from function_def f where f.name = r.name or f.qname = r.name) and not exists (select 1 from macro_def m where m.name = r.name)",
+     # names that no definition has, by name and by qualified name apart: each is a join on one key
+     spark="select r.name, r.base from (select distinct name, base from requested_symbol where name <> '') r where not exists (select 1 from function_def f where f.name = r.name) and not exists (select 1 from function_def q where q.qname = r.name) and not exists (select 1 from macro_def m where m.name = r.name)")
 plan("strict_kind", """
 select fn, case when c = 'bad' then 'bad' when c = 'good' then 'good' when lower(c) like '%bad%' and contains(c, 'Sink') then 'bad' when lower(c) like '%good%' and (contains(c, 'B2G') or contains(c, 'G2B')) then 'good'
        when @matches(c¦^CWE[0-9]+_)@ and @matches(split_part(c, '_', -1)¦bad|Bad|BAD)@ then 'bad' when @matches(c¦^CWE[0-9]+_)@ and @matches(split_part(c, '_', -1)¦good|Good|GOOD)@ then 'good'

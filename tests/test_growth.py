@@ -50,3 +50,11 @@ def test_global_by_name_of_copies(spark):
     got = run(spark, "global_by_name", {"requested_symbol": asked, "global_var": names})
     assert {tuple(r) for r in got.collect()} == {(i, "v", "t0") for i in range(300)}
     assert joined(got) <= 300
+
+
+def test_open_request_joins_on_keys(spark):
+    asked = spark.createDataFrame([(i, n, "a.c", "src/", 1) for i, n in enumerate(["g1", "ns::g1", "m", "x", "", None] * 3)], "site long, name string, base string, dir string, line long")
+    macros = spark.createDataFrame([(1, "m", "b", "a.c", 1)], "ordinal long, name string, body string, base string, line long")
+    got = run(spark, "open_request", {"requested_symbol": asked, "function_def": defs(spark, 300), "macro_def": macros})
+    assert [tuple(r) for r in got.collect()] == [("x", "a.c")]
+    assert not re.search("NestedLoop|Cartesian", got._jdf.queryExecution().sparkPlan().toString())
