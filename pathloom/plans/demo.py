@@ -2,6 +2,7 @@
 
 from .core import plan
 
+# Spark keeps the partitions by path that the numbers of points need, and texts are made behind that exchange.
 plan("flow_point", """
 select l_orderkey as path_id,
        row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 as pos,
@@ -9,7 +10,14 @@ select l_orderkey as path_id,
        l_partkey % 200 as line, l_returnflag as var,
        'f' || cast(l_suppkey % 7 as string) || 's' || cast(l_suppkey % 3 as string) || '.c' as code,
        cast(l_linenumber as bigint) as sc, cast(l_linenumber as bigint) + cast(l_quantity as bigint) as ec
-from lineitem""")
+from lineitem""", spark="""
+select path_id, pos, 'f' || cast(l_suppkey % 7 as string) as fn, 's' || cast(l_suppkey % 3 as string) || '.c' as file,
+       l_partkey % 200 as line, l_returnflag as var,
+       'f' || cast(l_suppkey % 7 as string) || 's' || cast(l_suppkey % 3 as string) || '.c' as code,
+       cast(l_linenumber as bigint) as sc, cast(l_linenumber as bigint) + cast(l_quantity as bigint) as ec
+from (select path_id, row_number() over (partition by path_id order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 as pos,
+             l_suppkey, l_partkey, l_returnflag, l_linenumber, l_quantity
+      from (select l_orderkey as path_id, l_suppkey, l_partkey, l_returnflag, l_linenumber, l_quantity, l_extendedprice, l_shipdate from lineitem) a) b""")
 
 plan("call_edge", """
 select distinct case when t_line % 2 = 0 then t_fn else f_fn end as caller, case when t_line % 2 = 0 then t_file else f_file end as caller_file,
@@ -100,7 +108,9 @@ group by fn, loop_line""")
 
 plan("constraint_row", """
 select segment, unit_key, fn, points as variant, f_line as line, case when relation = 'CALL' then 'TRUE' else 'FALSE' end as branch, case when (f_line + length(points)) % 3 = 0 then 'may' else 'must' end as kind
-from (select distinct s.segment, s.unit_key, s.fn, s.points, q.f_line, q.relation from point_set s join full_segment q on q.path_id = s.path_id and q.segment = s.segment and q.f_id = s.fn) x""")
+from (select distinct s.segment, s.unit_key, s.fn, s.points, q.f_line, q.relation from point_set s join full_segment q on q.path_id = s.path_id and q.segment = s.segment and q.f_id = s.fn) x""", spark="""
+select segment, unit_key, fn, points as variant, x.line, case when x.relation = 'CALL' then 'TRUE' else 'FALSE' end as branch, case when (x.line + length(points)) % 3 = 0 then 'may' else 'must' end as kind
+from (select distinct segment, unit_key, fn, points, x from (select segment, unit_key, fn, points, explode(cons) as x from unit_part) y) z""")
 plan("graph_point", """
 select function_id, line, cast(substr(function_id, 2, 1) as bigint) * 4 + cast(substr(function_id, 5, 1) as bigint) * 28 as fn, line % 140 as graph_line, line % 17 = 0 as is_parameter, cast(0 as bigint) as start_line
 from (select f_id as function_id, f_line as line from full_segment union select t_id as function_id, t_line as line from full_segment) x""")
