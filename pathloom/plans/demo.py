@@ -1,6 +1,6 @@
 """Domain tables projected from the driver's tables (the reference ships no inputs)."""
 
-from .core import plan
+from .core import inner, plan
 
 # Spark keeps the partitions by path that the numbers of points need, and texts are made behind that exchange.
 plan("flow_point", """
@@ -167,6 +167,9 @@ plan("text_function", "select 'd' || cast(doc_id as string) || '.c' as file, 'fn
 plan("text_site", "select event_id as site, 'd' || cast(event_id % 1000 as string) || '.c' as file, cast(user_id % 13 as bigint) as line from events")
 plan("unit_turn", "select u.segment, u.unit_key, c.turn, c.role, c.text from logic_unit u join conversations c on c.conv_id = u.first_path % 100")
 plan("path_turn", "select p.path_id, p.segment as phase, t.unit_key, t.turn, t.role, t.text from path_unit p join unit_turn t on t.segment = p.segment and t.unit_key = p.unit_key")
+# Which conversation is whose, without its texts.
+inner("unit_talk", "select segment, unit_key, first_path % 100 as conv_id from logic_unit")
+inner("path_talk", "select p.path_id, p.segment as phase, t.unit_key, t.conv_id from path_unit p join unit_talk t on t.segment = p.segment and t.unit_key = p.unit_key")
 plan("debug_row", "select 'segment' as type, segment || ':' || cast(path_id as string) as id, skey as detail from segment_key union all select 'unit' as type, segment || ':' || unit_key as id, cast(usage_count as string) as detail from logic_unit union all select 'connection' as type, kind || ':' || src || ':' || dst as id, cast(n as string) as detail from connection_edge union all select 'context_unit' as type, i_key || ':' || b_key || ':' || f_key as id, '' as detail from unit_contexts")
 
 #: Views that only stand in for a domain's tables; they are no queries of their own.

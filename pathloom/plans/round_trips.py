@@ -160,15 +160,25 @@ def sink_patched_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.patched(reports, metrics, ["report"])
 
 
-def _conversations(name: str, by: list[str], folder: str):
+def write_conversations(whose: DataFrame, turns: DataFrame, path: str, by: list[str], folder: str) -> None:
+    """One object each of ``whose`` (``by``, conv_id) with its turns, in folders by ``folder``.  Turns are nested by conversation
+    before they meet what has them, so no text is shuffled or sorted for each of these; folders are written one by one, since a
+    write by partitions would sort the texts."""
+    talks = sinks.nested(turns, ["conv_id"], "conversation_history")
+    for (value,) in whose.select(folder).distinct().collect():
+        own = whose.where(F.col(folder) == value).join(talks, "conv_id").select(*(c for c in by if c != folder), "conversation_history")
+        own.write.option("ignoreNullFields", "false").option("compression", "gzip").json(f"{path}/{folder}={value}")
+
+
+def _conversations(name: str, whose: str, by: list[str], folder: str):
     """Turns nested by unit or path, written as one object each in folders by phase, and read back as turns."""
 
     def trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows, path = view(name)(spark, sf_dir), fresh(spark, name)
-        turn = [c for c in rows.columns if c not in by]
-        sinks.nested(rows, by, "conversation_history").write.partitionBy(folder).option("ignoreNullFields", "false").json(path)
-        kinds = dict(rows.dtypes)
-        fields = ", ".join(f"{c}: {kinds[c]}" for c in turn)
+        owners, path = view(whose)(spark, sf_dir), fresh(spark, name)
+        turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+        write_conversations(owners, turns, path, by, folder)
+        kinds = dict(owners.dtypes)
+        fields = ", ".join(f"{c}: {k}" for c, k in turns.dtypes if c != "conv_id")
         read = spark.read.schema(", ".join(f"{c} {kinds[c]}" for c in by) + f", conversation_history array<struct<{fields}>>").json(path)
         return read.select(*by, F.explode("conversation_history").alias("t")).select(*by, "t.*")
 
@@ -204,7 +214,7 @@ TRIPS |= {f"sink_{n}": (_json_sink(p), p) for n, p in {"statistics": "unit_stats
 TRIPS |= {"scan_suite": (scan_suite, "rows_suite"), "scan_suite_named": (scan_suite_named, "rows_suite"), "scan_history": (scan_history, "rows_history"), "scan_query_files": (scan_query_files, "rows_query_files"), "path_resolution": (path_resolution, "rows_resolved"), "path_location": (path_location, "rows_located"), "sink_token_csv": (sink_token_csv, "rows_token_csv"), "sink_debug_segments": (sink_debug_segments, "rows_debug_segments"), "sink_decomposition_log": (sink_decomposition_log, "rows_decomposition_log"), "sink_evaluation_json": (sink_evaluation_json, "rows_evaluation"), "sink_patched_report": (sink_patched_report, "rows_patched"), "source_box": (source_box, "rows_box"), "scan_sarif": (scan_sarif, "rows_sarif")}
 
 
-TRIPS |= {"sink_unit_conversations": (_conversations("unit_turn", ["segment", "unit_key"], "segment"), "unit_turn"), "sink_path_conversations": (_conversations("path_turn", ["path_id", "phase", "unit_key"], "phase"), "path_turn"), "sink_debug_rows": (sink_debug_rows, "rows_debug")}
+TRIPS |= {"sink_unit_conversations": (_conversations("unit_turn", "unit_talk", ["segment", "unit_key"], "segment"), "unit_turn"), "sink_path_conversations": (_conversations("path_turn", "path_talk", ["path_id", "phase", "unit_key"], "phase"), "path_turn"), "sink_debug_rows": (sink_debug_rows, "rows_debug")}
 
 
 def queries() -> dict:

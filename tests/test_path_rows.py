@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom import catalog  # noqa: F401
-from pathloom.plans import core
+from pathloom.plans import core, round_trips
 
 FLOW = "path_id long, pos long, fn string, file string, line long, var string, code string, sc long, ec long"
 CALL = "caller string, caller_file string, line long, callee string, callee_file string"
@@ -58,3 +58,13 @@ def test_tables_that_stand_in_are_read(spark):
     assert [r.flow for r in core.run(spark, "path_flow", {"decomposition": keys}).collect()] == ["b > i > f"]
     edges = {r.kind: r.n for r in core.run(spark, "connection_edge", {"decomposition": keys}).collect()}
     assert edges == {"B-I": 1, "I-F": 1}
+
+
+def test_texts_of_conversations_stay_put(spark, tmp_path):
+    """Two paths share a conversation, one has another and one has none; files are compressed, and an object holds its turns in order."""
+    whose = spark.createDataFrame([(1, "forward", "u", 7), (2, "forward", "u", 7), (3, "backward", "w", 8), (4, "backward", "x", 9)], "path_id long, phase string, unit_key string, conv_id long")
+    turns = spark.createDataFrame([(7, 1, "b", "two"), (7, 0, "a", "one"), (8, None, None, None), (5, 0, "a", "x")], "conv_id long, turn int, role string, text string")
+    round_trips.write_conversations(whose, turns, f"{tmp_path}/c", ["path_id", "phase", "unit_key"], "phase")
+    got = spark.read.json(f"{tmp_path}/c")
+    assert {(r.path_id, r.phase, r.unit_key, tuple((t.turn, t.text) for t in r.conversation_history)) for r in got.collect()} == {(1, "forward", "u", ((0, "one"), (1, "two"))), (2, "forward", "u", ((0, "one"), (1, "two"))), (3, "backward", "w", ((None, None),))}
+    assert all(f.endswith(".json.gz") for f in got.inputFiles())
