@@ -68,3 +68,8 @@ def test_texts_of_conversations_stay_put(spark, tmp_path):
     got = spark.read.json(f"{tmp_path}/c")
     assert {(r.path_id, r.phase, r.unit_key, tuple((t.turn, t.text) for t in r.conversation_history)) for r in got.collect()} == {(1, "forward", "u", ((0, "one"), (1, "two"))), (2, "forward", "u", ((0, "one"), (1, "two"))), (3, "backward", "w", ((None, None),))}
     assert all(f.endswith(".json.gz") for f in got.inputFiles())
+
+
+def test_conditions_on_keys_stay_above_the_rules(spark, tables):
+    plan = core.run(spark, "unit_contexts", tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000
