@@ -6,7 +6,7 @@ import re
 import numpy as np
 
 from pathloom import catalog  # noqa: F401
-from pathloom.operators import graphs, walks
+from pathloom.operators import graphs, loops, walks
 
 SF = "/root/testdata/sf0.001"
 EDGE = "fn long, src long, dst long, etype string"
@@ -56,6 +56,16 @@ def test_original_paths_and_constraints(spark):
     assert len(got) == len(kinds) and set(got) == kinds and {k[-1] for k in kinds} == {"dominator", "must_take", "optional"}
 
 
+def test_constraints_counted_where_walked(spark):
+    """As many as classified from the paths, with clones, caps and an edge of two kinds; an edge of no function counts nowhere."""
+    edges = spark.createDataFrame([*GRAPHS, (10, 0, 3, "FALSE"), (10, 0, 3, "TRUE"), (None, 1, 2, "TRUE")], EDGE)
+    unrolled = loops.unroll(edges, edges.where("src > dst").selectExpr("fn", "dst as head", "src as tail"))
+    for graph, caps in ((unrolled, {}), (unrolled, {"max_paths": 3, "max_calls": 40}), (edges, {"max_paths": None, "max_calls": None})):
+        want = [tuple(r) for r in walks.classify_constraints(walks.enumerate_paths(graph, **caps)).collect()]
+        got = [tuple(r) for r in walks.enumerate_constraints(graph, **caps).collect()]
+        assert len(got) == len(want) and set(got) == set(want) and {k[-1] for k in want} == {"dominator", "must_take", "optional"}
+
+
 def test_pieces_hold_all_paths(monkeypatch):
     """A whole graph of 6 blocks and an entry, walked 1 path at a time and 4,000: as many paths, and no more at once than asked for."""
     edge = np.ones((2, 7, 7), bool)
@@ -69,6 +79,7 @@ def test_pieces_hold_all_paths(monkeypatch):
 
 def test_no_path_leaves_its_task(spark):
     """The edges move, paths don't: no rows are made of paths, nothing is counted or joined behind the walk."""
-    plan = walks.cfg_original_constraints(spark, SF)._jdf.queryExecution().sparkPlan().toString()
-    behind = plan.partition("MapInArrow")[0]
-    assert "MapInArrow" in plan and not re.search("Generate|Aggregate|Join|Window|Exchange", behind)
+    for query in (walks.cfg_original_constraints, walks.cfg_constraints):
+        plan = query(spark, SF)._jdf.queryExecution().sparkPlan().toString()
+        behind = plan.partition("MapInArrow")[0]
+        assert "MapInArrow" in plan and not re.search("Generate|Aggregate|Join|Window|Exchange", behind)
