@@ -185,7 +185,7 @@ def hash_words(dictionary: pa.Array) -> np.ndarray:
     import xxhash
 
     h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w) for w in dictionary.to_pylist()), dtype=np.uint64, count=len(dictionary))
+    return np.fromiter(map(h, dictionary.to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(dictionary))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

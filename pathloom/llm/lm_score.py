@@ -51,18 +51,16 @@ HASH_BYTES, GRAM_BYTES = 6, 5
 ROOT, BEGIN = 0, 1
 
 
-def token_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens (words, then end, a text) and the offsets of the texts in them."""
+def tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct tokens (words, then end), the number of each token (words, then end, a text) in
+    them, and the offsets of the texts."""
     coded, rows = common.words(texts)
-    hashes = common.hash_words(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.uint64)
-    counts = np.diff(rows) + 1
-    ends = np.cumsum(counts)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
-    out[ends - 1] = END
+    ends = np.cumsum(np.diff(rows) + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, len(coded.dictionary), np.int64)
     word = np.ones(len(out), dtype=bool)
     word[ends - 1] = False
-    out[word] = hashes
-    return out, np.concatenate([[0], ends]).astype(np.int64)
+    out[word] = coded.indices.to_numpy(zero_copy_only=False)
+    return np.append(common.hash_words(coded.dictionary), END), out, np.concatenate([[0], ends]).astype(np.int64)
 
 
 def places(offsets: np.ndarray) -> np.ndarray:
@@ -70,19 +68,21 @@ def places(offsets: np.ndarray) -> np.ndarray:
     return np.arange(offsets[-1]) - np.repeat(offsets[:-1], np.diff(offsets))
 
 
-def ngrams(tokens: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each order the value of the n-gram that ends at each position; 0 where the text is too short for it.
-    A history may begin with the start of the text."""
-    out = [common.mix(tokens) | np.uint64(1)]
-    for n in range(2, order + 1):
-        value = np.full(len(tokens), np.uint64(n * 0xA0761D6478BD642F % (1 << 64)))
-        for back in range(n - 1, -1, -1):
-            before = np.empty_like(tokens)
-            before[back:] = tokens[: len(tokens) - back] if back else tokens
-            before[place == back - 1] = START
-            value = common.mix(value ^ before) * np.uint64(0xE7037ED1A0B428DB)
-        out.append(np.where(place >= n - 2, common.mix(value) | np.uint64(1), np.uint64(0)))
-    return out
+def number(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each value among the distinct ones (all from 0 and below ``limit``), and a place of each of these.
+    Where they fit one integer, values are sorted together with their places, which takes a fraction of sorting indices."""
+    bits = len(values).bit_length()
+    if limit << bits <= 1 << 63:
+        packed = np.sort(values << bits | np.arange(len(values)))
+        order, values = packed & ((1 << bits) - 1), packed >> bits
+    else:
+        order = np.argsort(values)
+        values = values[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    ranks = np.empty(len(values), np.int64)
+    ranks[order] = np.cumsum(new) - 1
+    return ranks, order[new]
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -123,105 +123,109 @@ def small(counts: np.ndarray) -> np.ndarray:
 
 class Nodes:
     """The distinct n-grams of a block: ``at[n - 1]`` names the node of the n-gram of n tokens that ends at
-    each position (-1: none).  Nodes are numbered by order, after the two states that every automaton has."""
-
-    def __init__(self, tokens: np.ndarray, offsets: np.ndarray, order: int) -> None:
-        self.place = places(offsets)
-        self.at, keys, first, self.ends = [], [], [], [2]
-        for grams in ngrams(tokens, self.place, order):
-            there = np.flatnonzero(grams)
-            own, where, inverse = np.unique(grams[there], return_index=True, return_inverse=True)
-            node = np.full(len(grams), -1, np.int64)
-            node[there] = inverse + self.ends[-1]
+    each position (-1: the text is too short for it).  Nodes are numbered by order, after the two states that
+    every automaton has; those of single tokens as ``vocabulary``, the hashes of distinct tokens.  A longer one
+    is its history and a word: ``before`` and ``last`` name them, ``shorter`` the n-gram without its first
+    word.  A history may begin with the start of the text."""
+
+    def __init__(self, vocabulary: np.ndarray, words: np.ndarray, offsets: np.ndarray, order: int) -> None:
+        place = places(offsets)
+        self.at, self.ends = [words + 2], [2, 2 + len(vocabulary)]
+        self.before, self.shorter = [], []
+        keys = np.concatenate([np.array([0, START], np.uint64), common.mix(vocabulary)])
+        for n in range(2, order + 1):
+            there = np.flatnonzero(place >= n - 2)
+            before = self.at[-1][there - 1]
+            if n == 2:
+                before[place == 0] = BEGIN
+            last = words[there]
+            rank, first = number(before * len(vocabulary) + last, self.ends[-1] * len(vocabulary))
+            node = np.full(len(words), -1, np.int64)
+            node[there] = rank + self.ends[-1]
+            before, last = before[first], last[first]
+            self.before.append(before)
+            self.shorter.append(self.at[-1][there[first]])
             self.at.append(node)
-            keys.append(own)
-            first.append(there[where])
-            self.ends.append(self.ends[-1] + len(own))
-        self.keys, self.first = np.concatenate(keys), np.concatenate(first)
+            self.ends.append(self.ends[-1] + len(first))
+            keys = np.concatenate([keys, common.mix(keys[before] * np.uint64(0xE7037ED1A0B428DB) + vocabulary[last])])
+        self.keys = keys[2:]
 
     def in_buckets(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """The order of the nodes by bucket and key, and where each bucket ends in it."""
-        bucket, low = bucket_of(self.keys, buckets), low_bits(self.keys)
-        order = np.lexsort((low, bucket))
-        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+        bucket = bucket_of(self.keys, buckets)
+        order = np.argsort(bucket.astype(np.uint64) << np.uint64(8 * GRAM_BYTES) | low_bits(self.keys))
+        return order, np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
 
 
 class Automaton:
     """States, arcs and failure arcs that the texts of a block can reach.
 
-    A state is a node of at most ``order`` - 1 tokens with a count.  ``arcs`` holds state * words + word of
-    every arc, ascending, ``weights`` and ``targets`` what it weighs and where it leads; ``failure`` leads a
-    state to its history without the first word.  The empty history has an arc for every word.
+    A state is a node of at most ``order`` - 1 tokens with a count.  An arc is known by the node of the n-gram
+    that it completes, so the arc that a state of m tokens has for the word at a position is the node of m + 1
+    tokens that ends there.  ``weights`` and ``targets`` hold what an arc weighs and where it leads (-1: the
+    state has no such arc); ``failure`` leads a state to its history without the first word, and ``leave`` is
+    what that weighs.  The empty history has an arc for every word.
     """
 
     def __init__(self, nodes: Nodes, counts: np.ndarray, n: int, v: int, documents: int, weight: float) -> None:
-        order, size = len(nodes.at), nodes.ends[-1]
-        self.words = nodes.ends[1] - 2
+        order, size, words = len(nodes.at), nodes.ends[-1], slice(2, nodes.ends[1])
+        self.at = nodes.at
         count = np.concatenate([[0, documents], counts])
-        length = np.repeat(np.arange(order + 1), [2, *np.diff(nodes.ends)])
-        self.base = (count[2 : nodes.ends[1]] + 0.5) / (n + 0.5 * (v + 1))
+        self.length = np.repeat(np.arange(order + 1), [2, *np.diff(nodes.ends)])
+        self.length[BEGIN] = 1
         chance = np.zeros(size)
-        chance[2 : nodes.ends[1]] = self.base
-        state = (length < order) & (count > 0)
-        state[[ROOT, BEGIN]] = True
+        chance[words] = (count[words] + 0.5) / (n + 0.5 * (v + 1))
         self.failure = np.full(size, ROOT, np.int64)
-        target = np.full(size, ROOT, np.int64)
-        target[2 : nodes.ends[1]] = np.where(state[2 : nodes.ends[1]], np.arange(2, nodes.ends[1]), ROOT)
-        arcs, met = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in range(2, order + 1):
-            node = np.arange(nodes.ends[k - 1], nodes.ends[k])
-            here = nodes.first[node - 2]
-            before = np.where(nodes.place[here] == 0, BEGIN, nodes.at[k - 2][here - 1])
-            self.failure[node] = shorter = nodes.at[k - 2][here]
-            seen = count[node] > 0
-            chance[node] = np.where(seen, weight * count[node] / np.maximum(count[before], 1) + (1 - weight) * chance[shorter], 0)
-            target[node] = np.where(state[node], node, shorter)
-            arcs.append(before[seen] * self.words + nodes.at[0][here[seen]] - 2)
-            met.append(node[seen])
-        found, met = np.concatenate(arcs), np.concatenate(met)
-        by_key = np.argsort(found, kind="stable")
-        self.arcs = found[by_key]
+        self.targets = np.full(size, -1, np.int64)
+        self.targets[words] = np.where((count[words] > 0) & (order > 1), np.arange(2, nodes.ends[1]), ROOT)
+        for k, before, shorter in zip(range(2, order + 1), nodes.before, nodes.shorter, strict=True):
+            own = slice(nodes.ends[k - 1], nodes.ends[k])
+            self.failure[own] = shorter
+            seen = count[own] > 0
+            chance[own] = np.where(seen, weight * count[own] / np.maximum(count[before], 1) + (1 - weight) * chance[shorter], 0)
+            self.targets[own] = np.where(seen, np.arange(nodes.ends[k - 1], nodes.ends[k]) if k < order else shorter, -1)
         with np.errstate(divide="ignore"):
-            self.weights, self.root_weights = np.log10(chance[met[by_key]]), np.log10(self.base)
-            self.fall = np.log10(1 - weight) if weight < 1 else -np.inf
-        self.targets, self.root_targets = target[met[by_key]], target[2 : nodes.ends[1]]
+            self.weights = np.log10(chance)
+            fall = np.log10(1 - weight) if weight < 1 else -np.inf
         # a start that no training text has is no history; it weighs nothing to leave it
-        self.leave = np.where((count > 0) & (order > 1), self.fall, 0.0)
+        self.leave = np.where(count > 0, fall, 0.0)
+        self.start = BEGIN if order > 1 else ROOT
 
-    def step(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Reads one word in each state: the states after it, and the weights of the arcs on the way."""
+    def step(self, states: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Reads in each state the word at a position: the states after it, and the weights of the arcs on the way."""
         total, after = np.zeros(len(states)), np.empty(len(states), np.int64)
-        left, states = np.arange(len(states)), states.copy()
+        left = np.arange(len(states))
         while len(left):
-            asked = states[left] * self.words + words[left]
-            arc = np.minimum(np.searchsorted(self.arcs, asked), max(0, len(self.arcs) - 1))
-            hit = (self.arcs[arc] == asked) & (states[left] != ROOT) if len(self.arcs) else np.zeros(len(left), dtype=bool)
-            total[left[hit]] += self.weights[arc[hit]]
-            after[left[hit]] = self.targets[arc[hit]]
-            left = left[~hit]
-            ended = left[states[left] == ROOT]
-            total[ended] += self.root_weights[words[ended]]
-            after[ended] = self.root_targets[words[ended]]
-            left = left[states[left] != ROOT]
-            total[left] += self.leave[states[left]]
-            states[left] = self.failure[states[left]]
+            length, arc = self.length[states], np.empty(len(left), np.int64)
+            for m, nodes in enumerate(self.at):
+                own = np.flatnonzero(length == m)
+                arc[own] = nodes[at[own]]
+            target = self.targets[arc]
+            hit = target >= 0
+            done = left[hit]
+            total[done] += self.weights[arc[hit]]
+            after[done] = target[hit]
+            miss = ~hit
+            left, at, states = left[miss], at[miss], states[miss]
+            total[left] += self.leave[states]
+            states = self.failure[states]
         return after, total
 
-    def traverse(self, words: np.ndarray, offsets: np.ndarray, memory: int, lane: int = LANE) -> np.ndarray:
+    def traverse(self, offsets: np.ndarray, memory: int, lane: int = LANE) -> np.ndarray:
         """The weight of every token, all texts read from left to right side by side; a state depends on
         ``memory`` tokens."""
-        out = np.zeros(len(words))
+        out = np.zeros(int(offsets[-1]))
         pieces = -(-np.diff(offsets) // lane)
         begin = np.repeat(offsets[:-1], pieces) + lane * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
         end = np.minimum(begin + lane, np.repeat(offsets[1:], pieces))
         warm = np.maximum(begin - memory, np.repeat(offsets[:-1], pieces))
-        states = np.where(warm == np.repeat(offsets[:-1], pieces), BEGIN, ROOT)
+        states = np.where(warm == np.repeat(offsets[:-1], pieces), self.start, ROOT)
         order = np.argsort(warm - end, kind="stable")  # the longest lanes first
         begin, end, warm, states = begin[order], end[order], warm[order], states[order]
         for t in range(int((end - warm).max(initial=0))):
             k = int(np.searchsorted(warm - end, -t, side="left"))  # lanes longer than t
             at = warm[:k] + t
-            states[:k], weights = self.step(states[:k], words[at])
+            states[:k], weights = self.step(states[:k], at)
             own = at >= begin[:k]
             out[at[own]] = weights[own]
         return out
@@ -234,29 +238,29 @@ def score(docs: DataFrame, trained: F.Column, id_col: str = "doc_id", text_col:
 
     def read(ids: bytes, texts: bytes):
         keys, rows = common.block_texts(ids, texts)
-        tokens, offsets = token_hashes(rows)
-        return keys, offsets, Nodes(tokens, offsets, order)
+        vocabulary, words, offsets = tokens(rows)
+        return keys, offsets, Nodes(vocabulary, words, offsets, order)
 
     def scatter(batches):
         for pdf in batches:
             for block, ids, texts in zip(pdf["block"], pdf["ids"], pdf["texts"], strict=True):
                 _, offsets, nodes = read(ids, texts)
                 learned = common.block_flags(ids)
-                tokens = np.repeat(learned, np.diff(offsets))
-                counts = np.concatenate([np.bincount(at[tokens & (at >= 0)] - low, minlength=high - low) for at, low, high in zip(nodes.at, nodes.ends[:-1], nodes.ends[1:], strict=True)])
+                trained = np.repeat(learned, np.diff(offsets))
+                counts = np.concatenate([np.bincount(at[trained & (at >= 0)] - low, minlength=high - low) for at, low, high in zip(nodes.at, nodes.ends[:-1], nodes.ends[1:], strict=True)])
                 by_bucket, ends = nodes.in_buckets(buckets)
-                low, single = low_bits(nodes.keys), np.arange(len(nodes.keys)) < nodes.ends[1] - 2
-                out = [(int(i), common.pack_arrays(pack_keys(low[p]), small(counts[p]), np.packbits(single[p]))) for i in np.flatnonzero(np.diff(ends)) for p in [by_bucket[ends[i] : ends[i + 1]]]]
-                sums = {"n": int(tokens.sum()), "documents": int(learned.sum())}
+                low, counts, single = low_bits(nodes.keys)[by_bucket], counts[by_bucket], by_bucket < nodes.ends[1] - 2
+                out = [(int(i), common.pack_arrays(pack_keys(low[p]), small(counts[p]), np.packbits(single[p]))) for i in np.flatnonzero(np.diff(ends)) for p in [slice(ends[i], ends[i + 1])]]
+                sums = {"n": int(trained.sum()), "documents": int(learned.sum())}
                 yield pd.DataFrame({"block": block, "bucket": [i for i, _ in out], "grams": [g for _, g in out]} | {k: [x] + [0] * (len(out) - 1) for k, x in sums.items()})
-                del nodes, tokens, counts, by_bucket, low, single, out
+                del nodes, trained, counts, by_bucket, low, single, out
                 common.release()
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes, counts, single = zip(*(common.unpack_arrays(g) for g in pdf["grams"]), strict=True)
         sizes = [len(c) for c in counts]
         flags = np.concatenate([np.unpackbits(s)[:n] for s, n in zip(single, sizes, strict=True)])
-        keys, where = np.unique(np.concatenate([unpack_keys(h) for h in hashes]), return_inverse=True)
+        where, keys = number(np.concatenate([unpack_keys(h) for h in hashes]).astype(np.int64), 1 << 8 * GRAM_BYTES)
         total = np.bincount(where, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
         word = np.zeros(len(keys), dtype=bool)
         word[where[flags == 1]] = True
@@ -274,10 +278,10 @@ def score(docs: DataFrame, trained: F.Column, id_col: str = "doc_id", text_col:
         counts = np.empty(len(nodes.keys), np.int64)
         counts[nodes.in_buckets(buckets)[0]] = np.concatenate([common.unpack_arrays(t)[0] for _, t in sorted(zip(right["bucket"], right["totals"], strict=True))])
         automaton = Automaton(nodes, counts, n, v, documents, weight)
-        words = nodes.at[0] - 2
+        words = nodes.at[0]
         del nodes
-        known = (counts[: automaton.words] > 0)[words].astype(np.int64)
-        sums = [np.add.reduceat(x, offsets[:-1]) for x in (known, automaton.root_weights[words], automaton.traverse(words, offsets, order - 1, lane))]
+        known = (counts > 0)[words - 2].astype(np.int64)
+        sums = [np.add.reduceat(x, offsets[:-1]) for x in (known, automaton.weights[words], automaton.traverse(offsets, order - 1, lane))]
         return pd.DataFrame({"id": keys, "n_tokens": np.diff(offsets), "n_known": sums[0], "train_tokens": np.int64(n), "base_score": sums[1], "score": sums[2]})
 
     out = blocks.groupBy("block").cogroup(replies.select("block", "bucket", "totals").groupBy("block")).applyInPandas(common.of_cogroup(traverse), "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
