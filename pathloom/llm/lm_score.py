@@ -21,7 +21,7 @@ read in lanes, each of which first reads the ``ORDER`` - 1 tokens before it,
 on which alone its state depends, so the result is that of one reading.
 N-grams are counted in each block first, so a frequent one is one entry a block;
 no task and no broadcast holds the whole model.  An n-gram is known by the
-bucket and 40 more bits of its hash.
+bucket and 48 other bits of its hash.
 
 Null texts are empty: one end token.  Without training rows N = V = 0 and all
 orders give 0.5 / 0.5.  Rows with a null id are left out; rows that share an id
@@ -46,7 +46,7 @@ BLOCK_BYTES = 4 << 20
 #: Values of the two tokens that are no words.
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 #: Bytes of a key beside its bucket: of shingles and of n-grams.
-HASH_BYTES, GRAM_BYTES = 6, 5
+HASH_BYTES, GRAM_BYTES = 6, 6
 #: The states that every automaton has; those of n-grams follow.
 ROOT, BEGIN = 0, 1
 
@@ -101,11 +101,11 @@ def widen(data: np.ndarray) -> np.ndarray:
 
 
 def low_bits(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(1)) & np.uint64((1 << 8 * GRAM_BYTES) - 1)
+    return keys & np.uint64((1 << 8 * GRAM_BYTES) - 1)
 
 
 def pack_keys(keys: np.ndarray) -> np.ndarray:
-    """Ascending values below 2 ^ 40 as their differences, byte by byte, the highest bytes first."""
+    """Ascending values below 2 ^ 48 as their differences, byte by byte, the highest bytes first."""
     steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
     return np.ascontiguousarray(steps[:, GRAM_BYTES - 1 :: -1].T).ravel()
 

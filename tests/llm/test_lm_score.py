@@ -68,6 +68,13 @@ def test_without_training_rows(spark):
     assert result(spark.createDataFrame([], KIND)) == []
 
 
+@pytest.mark.parametrize("one,other", [("w2981193", "w20633406"), ("w15102725", "w19877574")])
+def test_words_alike_in_40_bits(spark, one, other):
+    """The hashes of these words agree in 40 bits and in the bucket; the second one has no training row."""
+    rows = [(i, f"{other} x" if held(i) else f"{one} x") for i in range(40)]
+    same(result(spark.createDataFrame(rows, KIND)), brute(rows, 3))
+
+
 def test_keys():
     keys = np.sort(np.random.default_rng(1).integers(0, 1 << 40, 5000).astype(np.uint64))
     keys[10] = keys[11]
