@@ -121,6 +121,16 @@ def small(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
 
 
+def planes(counts: np.ndarray) -> np.ndarray:
+    """Counts as rows of bytes, the lowest bytes first; each row compresses best by itself."""
+    counts = small(counts)
+    return counts.astype(counts.dtype.newbyteorder("<")).view(np.uint8).reshape(-1, counts.itemsize).T
+
+
+def of_planes(rows: list[np.ndarray]) -> np.ndarray:
+    return sum(row.astype(np.int64) << 8 * i for i, row in enumerate(rows))
+
+
 class Nodes:
     """The distinct n-grams of a block: ``at[n - 1]`` names the node of the n-gram of n tokens that ends at
     each position (-1: the text is too short for it).  Nodes are numbered by order, after the two states that
@@ -246,28 +256,28 @@ def score(docs: DataFrame, trained: F.Column, id_col: str = "doc_id", text_col:
             for block, ids, texts in zip(pdf["block"], pdf["ids"], pdf["texts"], strict=True):
                 _, offsets, nodes = read(ids, texts)
                 learned = common.block_flags(ids)
-                trained = np.repeat(learned, np.diff(offsets))
-                counts = np.concatenate([np.bincount(at[trained & (at >= 0)] - low, minlength=high - low) for at, low, high in zip(nodes.at, nodes.ends[:-1], nodes.ends[1:], strict=True)])
+                taught = np.repeat(learned, np.diff(offsets))
+                counts = np.concatenate([np.bincount(at[taught & (at >= 0)] - low, minlength=high - low) for at, low, high in zip(nodes.at, nodes.ends[:-1], nodes.ends[1:], strict=True)])
                 by_bucket, ends = nodes.in_buckets(buckets)
                 low, counts, single = low_bits(nodes.keys)[by_bucket], counts[by_bucket], by_bucket < nodes.ends[1] - 2
-                out = [(int(i), common.pack_arrays(pack_keys(low[p]), small(counts[p]), np.packbits(single[p]))) for i in np.flatnonzero(np.diff(ends)) for p in [slice(ends[i], ends[i + 1])]]
-                sums = {"n": int(trained.sum()), "documents": int(learned.sum())}
+                out = [(int(i), common.pack_arrays(*pack_keys(low[p]).reshape(GRAM_BYTES, -1), small(counts[p]), np.packbits(single[p]))) for i in np.flatnonzero(np.diff(ends)) for p in [slice(ends[i], ends[i + 1])]]
+                sums = {"n": int(taught.sum()), "documents": int(learned.sum())}
                 yield pd.DataFrame({"block": block, "bucket": [i for i, _ in out], "grams": [g for _, g in out]} | {k: [x] + [0] * (len(out) - 1) for k, x in sums.items()})
-                del nodes, trained, counts, by_bucket, low, single, out
+                del nodes, taught, counts, by_bucket, low, single, out
                 common.release()
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes, counts, single = zip(*(common.unpack_arrays(g) for g in pdf["grams"]), strict=True)
+        *hashes, counts, single = zip(*(common.unpack_arrays(g) for g in pdf["grams"]), strict=True)
         sizes = [len(c) for c in counts]
         flags = np.concatenate([np.unpackbits(s)[:n] for s, n in zip(single, sizes, strict=True)])
-        where, keys = number(np.concatenate([unpack_keys(h) for h in hashes]).astype(np.int64), 1 << 8 * GRAM_BYTES)
+        where, keys = number(np.concatenate([unpack_keys(np.concatenate(h)) for h in zip(*hashes, strict=True)]).astype(np.int64), 1 << 8 * GRAM_BYTES)
         total = np.bincount(where, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
         word = np.zeros(len(keys), dtype=bool)
         word[where[flags == 1]] = True
         ends = np.cumsum(sizes)
         back = total[where]
         known = [int((word & (total > 0)).sum())] + [0] * (len(pdf) - 1)
-        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "totals": [common.pack_arrays(small(back[e - n : e])) for n, e in zip(sizes, ends, strict=True)], "known": known, "n": pdf["n"], "documents": pdf["documents"]})
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "totals": [common.pack_arrays(*planes(back[e - n : e])) for n, e in zip(sizes, ends, strict=True)], "known": known, "n": pdf["n"], "documents": pdf["documents"]})
 
     sent = blocks.mapInPandas(scatter, "block long, bucket int, grams binary, n long, documents long")
     replies = common.materialise(sent.groupBy("bucket").applyInPandas(common.of_group(add_up), "block long, bucket int, totals binary, known long, n long, documents long"), "totals")
@@ -276,7 +286,7 @@ def score(docs: DataFrame, trained: F.Column, id_col: str = "doc_id", text_col:
     def traverse(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         keys, offsets, nodes = read(left["ids"].iloc[0], left["texts"].iloc[0])
         counts = np.empty(len(nodes.keys), np.int64)
-        counts[nodes.in_buckets(buckets)[0]] = np.concatenate([common.unpack_arrays(t)[0] for _, t in sorted(zip(right["bucket"], right["totals"], strict=True))])
+        counts[nodes.in_buckets(buckets)[0]] = np.concatenate([of_planes(common.unpack_arrays(t)) for _, t in sorted(zip(right["bucket"], right["totals"], strict=True))])
         automaton = Automaton(nodes, counts, n, v, documents, weight)
         words = nodes.at[0]
         del nodes

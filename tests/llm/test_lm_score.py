@@ -82,6 +82,12 @@ def test_keys():
     assert lm_score.small(np.array([1, 2**33])).dtype == np.uint64
 
 
+def test_planes():
+    for top in (0, 200, 70_000, 2**33):
+        counts = np.append(np.random.default_rng(3).integers(0, top + 1, 1000), top)
+        assert (lm_score.of_planes(list(lm_score.planes(counts))) == counts).all()
+
+
 @pytest.mark.parametrize("limit", [1000, 1 << 62])
 def test_number(limit):
     values = np.random.default_rng(2).integers(0, 1000, 5000)
