@@ -113,7 +113,9 @@ select segment, unit_key, fn, points as variant, x.line, case when x.relation =
 from (select distinct segment, unit_key, fn, points, x from (select segment, unit_key, fn, points, explode(cons) as x from unit_part) y) z""")
 plan("graph_point", """
 select function_id, line, cast(substr(function_id, 2, 1) as bigint) * 4 + cast(substr(function_id, 5, 1) as bigint) * 28 as fn, line % 140 as graph_line, line % 17 = 0 as is_parameter, cast(0 as bigint) as start_line
-from (select f_id as function_id, f_line as line from full_segment union select t_id as function_id, t_line as line from full_segment) x""")
+from (select f_id as function_id, f_line as line from full_segment union select t_id as function_id, t_line as line from full_segment) x""", spark="""
+select function_id, line, cast(substr(function_id, 2, 1) as bigint) * 4 + cast(substr(function_id, 5, 1) as bigint) * 28 as fn, line % 140 as graph_line, line % 17 = 0 as is_parameter, cast(0 as bigint) as start_line
+from (select distinct function_id, line from (select inline(array(struct(f_fn || '@' || f_file as function_id, f_line as line), struct(t_fn || '@' || t_file as function_id, t_line as line))) from step where path_id is not null) y) x""")
 plan("point_candidate", """
 select event_id - event_id % 8 as question, event_id % 3 as point,
        cast(event_id % 5 * 10 as string) || '.1_' || cast(event_id % 5 * 10 + user_id % 4 as string) || '.9' || case user_id % 5 when 0 then '' when 1 then '' when 2 then '_L10i2' when 3 then '_L10i2_L0i2' else '_L0i2' end as block_id, user_id % 4 + 1 as size
