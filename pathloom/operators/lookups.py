@@ -1,6 +1,6 @@
 """Lookups of symbols, macros, calls, blocks and functions, each with its order of preference; caches by their whole key."""
 
-from ..plans.core import plan
+from ..plans.core import inner, plan
 from .symbols import around
 
 ASKED_PATH = "select site, line, base, case when site % 3 = 0 then '/home/' || file_path when site % 3 = 1 then base else file_path end as file_path from use_site"
@@ -34,7 +34,12 @@ left join (select name, dir, count(*) as n, min_by(body, ordinal) as body, min_b
 plan("macro_preload", """
 select l.path_id, m.name, min_by(m.body, l.first_seen * 1000000 + m.ordinal) as body, min_by(m.def_file, l.first_seen * 1000000 + m.ordinal) as def_file
 from (select path_id, file_path, line, min(pos) as first_seen from code_point group by path_id, file_path, line) l join macro_use m on m.base = l.file_path and m.use_line = l.line
+group by l.path_id, m.name""", spark="""
+select l.path_id, m.name, min_by(m.body, l.first_seen * 1000000 + m.ordinal) as body, min_by(m.def_file, l.first_seen * 1000000 + m.ordinal) as def_file
+from (select path_id, file_path, line, min(pos) as first_seen from code_point group by path_id, file_path, line) l join macro_first m on m.base = l.file_path and m.use_line = l.line
 group by l.path_id, m.name""")
+# The first macro of each name on a line is the first for all paths that pass it.
+inner("macro_first", "select base, use_line, name, min(ordinal) as ordinal, min_by(body, ordinal) as body, min_by(def_file, ordinal) as def_file from macro_use group by base, use_line, name")
 plan("global_by_name", "select r.site, min_by(g.name, g.ordinal) as name, min_by(g.type_name, g.ordinal) as type_name from requested_symbol r join global_var g on g.name = split_part(r.name, '::', -1) group by r.site",
      # the first variable of each name meets the places
      spark="select r.site, min_by(g.name, g.ordinal) as name, min_by(g.type_name, g.ordinal) as type_name from requested_symbol r join (select name, min(ordinal) as ordinal, min_by(type_name, ordinal) as type_name from global_var group by name) g on g.name = split_part(r.name, '::', -1) group by r.site")

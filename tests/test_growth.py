@@ -58,3 +58,12 @@ def test_open_request_joins_on_keys(spark):
     got = run(spark, "open_request", {"requested_symbol": asked, "function_def": defs(spark, 300), "macro_def": macros})
     assert [tuple(r) for r in got.collect()] == [("x", "a.c")]
     assert not re.search("NestedLoop|Cartesian", got._jdf.queryExecution().sparkPlan().toString())
+
+
+def test_macros_of_copies(spark):
+    """A line's macros are reduced to the first of each name before paths meet them."""
+    points = spark.createDataFrame([(p, i, "a.c", 5 + i) for p in range(100) for i in range(2)], "path_id long, pos long, file_path string, line long")
+    macros = spark.createDataFrame([(i, "m" if i % 2 else "n", "src/a.c", "a.c", 5 + i % 3, f"d{i}.h", f"b{i}") for i in range(300, -1, -1)], "ordinal long, name string, use_file string, base string, use_line long, def_file string, body string")
+    got = run(spark, "macro_preload", {"code_point": points, "macro_use": macros})
+    assert {tuple(r) for r in got.collect()} == {(p, *x) for p in range(100) for x in (("n", "b0", "d0.h"), ("m", "b3", "d3.h"))}
+    assert joined(got) <= 400
