@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import files, readers, sinks
-from .core import compile_sql, plan, shared_dir
+from .core import compile_sql, kept, plan, shared_dir
 
 plan("rows_functionlist", "select name || cast(ordinal as string) as name, qname as qualified_name, file_path, cast(start_line as int) as start_line, cast(end_line as int) as end_line from function_def")
 plan("rows_function_use_def", "select name || cast(ordinal as string) as name, qname as qualified_name, base as use_file, cast(start_line + 3 as int) as use_line, file_path as def_file, cast(start_line as int) as def_start, cast(end_line as int) as def_end from function_def")
@@ -161,10 +161,12 @@ def sink_patched_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_conversations(whose: DataFrame, turns: DataFrame, path: str, by: list[str], folder: str) -> None:
-    """One object each of ``whose`` (``by``, conv_id) with its turns, in folders by ``folder``.  Turns are nested by conversation
-    before they meet what has them, so no text is shuffled or sorted for each of these; folders are written one by one, since a
-    write by partitions would sort the texts."""
-    talks = sinks.nested(turns, ["conv_id"], "conversation_history")
+    """One object each of ``whose`` (``by``, conv_id) with its turns, in folders by ``folder``.  Whose they are is written first, since
+    each folder reads it, and of the turns those that somebody has.  Turns are nested by conversation before they meet what has them,
+    so no text is shuffled or sorted for each of these; folders are written one by one, since a write by partitions would sort the
+    texts.  Those that have one conversation stand together, where compression finds the text again."""
+    whose = kept(whose.sortWithinPartitions("conv_id"), "whose")
+    talks = kept(sinks.nested(turns.join(whose.select("conv_id").distinct(), "conv_id", "left_semi"), ["conv_id"], "conversation_history"), "talk")
     for (value,) in whose.select(folder).distinct().collect():
         own = whose.where(F.col(folder) == value).join(talks, "conv_id").select(*(c for c in by if c != folder), "conversation_history")
         own.write.option("ignoreNullFields", "false").option("compression", "gzip").json(f"{path}/{folder}={value}")

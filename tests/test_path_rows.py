@@ -70,6 +70,16 @@ def test_texts_of_conversations_stay_put(spark, tmp_path):
     assert all(f.endswith(".json.gz") for f in got.inputFiles())
 
 
+def test_one_conversation_of_many_is_stored_about_once(spark, tmp_path):
+    """20 conversations of 4,000 random letters, each of 100 paths by turns: compression finds the text of the path before."""
+    rng = random.Random(3)
+    turns = spark.createDataFrame([(c, 0, "a", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4000))) for c in range(20)], "conv_id long, turn int, role string, text string")
+    whose = spark.range(2000).selectExpr("id as path_id", "'forward' as phase", "'u' as unit_key", "id % 20 as conv_id").coalesce(1)
+    round_trips.write_conversations(whose, turns, f"{tmp_path}/c", ["path_id", "phase", "unit_key"], "phase")
+    assert spark.read.json(f"{tmp_path}/c").count() == 2000
+    assert sum(f.stat().st_size for f in (tmp_path / "c").rglob("*.json.gz")) < 1_000_000
+
+
 def test_conditions_on_keys_stay_above_the_rules(spark, tables):
     plan = core.run(spark, "unit_contexts", tables)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 100_000
